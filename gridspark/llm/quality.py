@@ -11,6 +11,7 @@ empty table gives an empty result with the rules in their written order.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 2000
 WORD_END = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[^#*$%&|<>]+"
 
 
 def bound(value: Column, body) -> Column:
@@ -59,92 +59,77 @@ def repeat_words(all_words: Column, n: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where the expression over the measures holds; walks `chars` a character and `per_word` a word."""
+    """Rejects where `rejects(m)` holds for the measures m; walks `chars` a character and `per_word` a word."""
 
     name: str
-    rejects: str
+    rejects: Callable[[Mapping[str, Column]], Column]
     chars: float = 0.0
     per_word: float = 0.0
 
 
 #: The two first make base_failed. Costs are in nanoseconds as measured on one core.
 RULES = (
-    Rule("words", "n_words < 10", 12),
-    Rule("repeats", "100 * n_repeat_words > 20 * n_words", 12, 900),
-    Rule("symbols", "n_symbols > 0.5 * n_words", 12),
-    Rule("lines", "n_dup_lines > 3 and 100 * n_dup_lines > 30 * n_lines", 8),
-    Rule("word_length", "word_chars > 25 * n_words or word_chars < 1.5 * n_words", 12, 15),
+    Rule("words", lambda m: m["n_words"] < 10, 1),
+    Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"], 1, 900),
+    Rule("symbols", lambda m: m["n_symbols"] > 0.2 * m["n_words"], 12),
+    Rule("shouting", lambda m: m["n_exclaims"] > 0.5 * m["n_words"], 12),
+    Rule("stutter", lambda m: m["n_stutters"] > 0.3 * m["n_words"], 1, 150),
+    Rule("lines", lambda m: (m["n_dup_lines"] > 3) & (100 * m["n_dup_lines"] > 30 * m["n_lines"]), 8),
+    Rule("word_length", lambda m: (m["word_chars"] > 25 * m["n_words"]) | (m["word_chars"] < 1.5 * m["n_words"]), 1, 15),
 )
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """All measures as expressions over the text; `w` is the column of its words."""
-    full = F.coalesce(text, F.lit(""))
+def measures() -> dict[str, Column]:
+    """All measures as expressions over the columns text and _w, its words."""
+    text, w = F.coalesce("text", F.lit("")), F.col("_w")
     return {
-        "n_words": F.size("w").cast("long"),
-        "word_chars": F.length(F.array_join("w", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(full, SYMBOLS, "")).cast("long"),
-        "n_dup_lines": dup_lines(text).cast("long"),
-        "n_repeat_words": repeat_words(F.col("w")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_exclaims": F.length(F.regexp_replace(text, "[^!]+", "")).cast("long"),
+        "n_stutters": bound(w, lambda x: F.size(F.filter(x, lambda y, i: F.coalesce(y == F.get(x, i - 1), F.lit(False))))).cast("long"),
+        "n_dup_lines": dup_lines(F.col("text")).cast("long"),
+        "n_lines": F.size(F.split(text, "\n", -1)).cast("long"),
+        "n_repeat_words": repeat_words(w).cast("long"),
     }
 
 
-def judged(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs (doc_id, text) with all measures and each row's number of lines."""
-    # One generated row of words: an expression that later steps share and never evaluate again.
-    rows = docs.select(*keep, "text", F.explode(F.array(words(F.col("text")))).alias("w"))
-    rows = rows.select(*keep, *(c.alias(k) for k, c in measures(F.col("text")).items()), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    return rows
+def with_words(docs: DataFrame) -> DataFrame:
+    """docs with _w. A generated row keeps the words from being evaluated again by each measure."""
+    return docs.withColumn("_w", F.explode(F.array(words(F.col("text")))))
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """Rules by rejections per cost over a sample of at most `sample_rows` whole rows."""
-    sample = judged(docs.select("text").limit(sample_rows))
-    shares = [F.avg(F.expr(r.rejects).cast("double")).alias(r.name) for r in rules]
-    got = sample.agg(F.avg("word_chars").alias("chars"), F.avg("n_words").alias("per_word"), *shares).first()
-    if got["chars"] is None:
+    m = measures()
+    sample = with_words(docs.select("text").limit(sample_rows)).select(*(c.alias(k) for k, c in m.items()))
+    named = {k: F.col(k) for k in m}
+    shares = [F.avg(r.rejects(named).cast("double")).alias(r.name) for r in rules]
+    got = sample.agg(F.avg("word_chars").alias("_chars"), F.avg("n_words").alias("_words"), *shares).first()
+    if got["_chars"] is None:
         return rules
-    value = lambda r: (got[r.name] or 0) / (1 + r.chars * got["chars"] + r.per_word * got["per_word"])
+    value = lambda r: (got[r.name] or 0) / (1 + r.chars * got["_chars"] + r.per_word * got["_words"])
     return tuple(sorted(rules, key=lambda r: (-value(r), r.chars + r.per_word, r.name)))
 
 
-def cascade(rules: tuple[Rule, ...]) -> Column:
+def cascade(rules: tuple[Rule, ...], m: Mapping[str, Column]) -> Column:
     """The first rule that rejects, null if none does; CASE stops at the first that holds."""
     out = F.lit(None).cast("string")
     for r in reversed(rules):
-        out = F.when(F.expr(r.rejects), r.name).otherwise(out)
+        out = F.when(r.rejects(m), r.name).otherwise(out)
     return out
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """All measures with the verdict: doc_id, n_words, ..., base_failed, kept, rejected_by."""
-    rules = ordered_rules(docs)
-    rows = judged(docs, "doc_id").withColumn("rejected_by", cascade(rules))
-    base = F.expr(" or ".join(f"({r.rejects})" for r in RULES[:2]))
+    rules, m = ordered_rules(docs), measures()
+    rows = with_words(docs.select("doc_id", "text")).select("doc_id", *(c.alias(k) for k, c in m.items()))
+    named = {k: F.col(k) for k in m}
+    base = RULES[0].rejects(named) | RULES[1].rejects(named)
+    rows = rows.withColumn("rejected_by", cascade(rules, named))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that no rule rejects; measures are taken inside the CASE, dear ones last."""
-    rules = ordered_rules(docs)
-    rows = docs.withColumn("_w", F.explode(F.array(words(F.col("text")))))
-    text = F.coalesce("text", F.lit(""))
-    parts = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
-        "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")),
-        "n_dup_lines": dup_lines(F.col("text")),
-        "n_repeat_words": repeat_words(F.col("_w")),
-        "n_lines": F.size(F.split(text, "\n", -1)),
-    }
-    passes = {
-        "words": parts["n_words"] >= 10,
-        "repeats": 100 * parts["n_repeat_words"] <= 20 * parts["n_words"],
-        "symbols": parts["n_symbols"] <= 0.5 * parts["n_words"],
-        "lines": bound(parts["n_dup_lines"], lambda d: (d <= 3) | (100 * d <= 30 * parts["n_lines"])),
-        "word_length": bound(parts["word_chars"], lambda c: (c <= 25 * parts["n_words"]) & (c >= 1.5 * parts["n_words"])),
-    }
-    verdict = F.lit(True)
-    for r in reversed(rules):
-        verdict = F.when(passes[r.name], verdict).otherwise(False)
-    return rows.where(verdict).select(docs.columns)
+    """The rows of docs that no rule rejects; measures are taken inside the CASE, rule by rule."""
+    return with_words(docs).where(cascade(ordered_rules(docs), measures()).isNull()).select(docs.columns)

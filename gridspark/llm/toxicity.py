@@ -29,7 +29,7 @@ from gridspark.llm.common import NOT_ALNUM, chunks, held_out, training_row, word
 
 EXAMPLES, EXAMPLE_BYTES, VOCABULARY, BLOCK, NEIGHBOURS = 2500, 100_000, 1024, 64, 15
 #: A term's least chi-squared value, and examples that hold it.
-CHI2, LEAST_DF = 20.0, 4
+CHI2, LEAST_DF = 15.0, 3
 THRESHOLD = 0.3
 
 
