@@ -5,9 +5,11 @@ that exact copies never meet in a join. Classes post (coordinate, value) keys; k
 one class holds are dropped. Two linked classes agree in at least `matches` of the coordinates
 but for a chance of MISS at the threshold itself, so they share one of the rarest
 `coordinates - matches + 1` keys of each (the prefix); only those are joined.
-Each class is first held against the smallest of its key's group. Links unite components;
-then only classes of other components than that of their group's smallest meet the rest of
-the group. Signatures are compared within the join and full sets of words after it.
+Each class is first held against one member of its key's group, one that has the fewest
+coordinates of its own. Links unite components; then only classes of other components than that
+member's meet the rest of the group. For these, shingles that no other such class holds bound
+what a pair can share, which leaves out the many half-similar pairs of a family of edited
+copies. Bounds and signatures are compared within the join, full sets of words after it.
 
 Null or wordless texts have no shingles and link with nothing. Repeated rows are copies.
 A null doc_id never names a component unless all of the component's ids are null; such a row is not kept
@@ -83,6 +85,19 @@ def sketches(n: int, coordinates: int):
     return run
 
 
+def exploded(n: int):
+    """A row for each distinct shingle of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in chunks(batch):
+                h, first = shingle_sets(texts, n)
+                of = pa.array(np.repeat(np.arange(len(texts)), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([rows.column("vid").take(of), pa.array(h.view(np.int64))], names=["vid", "h"])
+
+    return run
+
+
 def similar(n: int, percent: int):
     """Confirm pairs on the full sets of both texts."""
 
@@ -111,8 +126,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     posted = classes.select("vid", F.posexplode("sig").alias("k", "v")).select("vid", (F.col("k").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     rare = posted.join(shared, "key").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= least)
-    prefix = cut(rare.select("vid", F.explode(F.slice("keys", 1, F.size("keys") - (least - 1))).alias("p")).select("vid", F.col("p.key").alias("key")))
-    groups = prefix.groupBy("key").agg(F.min("vid").alias("pivot"), F.max("vid").alias("most")).where("pivot <> most").drop("most")
+    prefix = rare.select("vid", F.size("keys").alias("common"), F.explode(F.slice("keys", 1, F.size("keys") - (least - 1))).alias("p"))
+    prefix = cut(prefix.select("vid", "common", F.col("p.key").alias("key")))
+    groups = prefix.groupBy("key").agg(F.max(F.struct("common", "vid"))["vid"].alias("pivot"), F.count("*").alias("k")).where("k > 1").select("key", "pivot")
 
     sigs = classes.select("vid", "sig", "n")
     side = lambda x: sigs.select(*(F.col(c).alias(f"{c}_{x}") for c in sigs.columns))
@@ -121,23 +137,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     stars = prefix.join(groups, "key").where("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = stars.join(side("a"), F.col("a") == F.col("vid_a")).join(side("b"), (F.col("b") == F.col("vid_b")) & in_size & agree).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(classes.select("vid", "rk"), "vid")
-        texts = cut(docs.select("rk", "text").join(ends, "rk").dropDuplicates(["rk"]).select("vid", "text"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        rows = ids.join(classes.select("vid", "rk"), "vid")
+        return cut(docs.select("rk", "text").join(rows, "rk").dropDuplicates(["rk"]).select("vid", "text"))
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("vid").alias(x), F.col("text").alias(y)) for x, y in (("a", "left"), ("b", "right")))
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(similar(shingle, percent), "a long, b long"))
 
-    near = confirmed(cut(stars))
+    stars = cut(stars)
+    near = confirmed(stars, texts_of(stars.select(F.explode(F.array("a", "b")).alias("vid")).distinct()))
     comps = components(near)
 
-    placed = prefix.join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min(F.struct("vid", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "p.*").toDF("key", "pivot", "home")
-    members = cut(placed.join(mixed, "key").where("vid <> pivot").join(sigs, "vid"))
-    left = members.where("comp <> home").select("key", *(F.col(c).alias(f"{c}_a") for c in ("vid", "comp", "sig", "n")))
-    right = members.select("key", "home", *(F.col(c).alias(f"{c}_b") for c in ("vid", "comp", "sig", "n")))
+    placed = prefix.join(groups, "key").join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", "pivot", F.coalesce("comp", "vid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("vid") == F.col("pivot"), F.col("comp"))).alias("home"))
+    members = cut(placed.join(mixed.where("low <> high").select("key", "home"), "key").where("vid <> pivot").drop("pivot"))
+    texts = texts_of(members.select("vid").distinct())
+    single = texts.mapInArrow(exploded(shingle), "vid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
+    own = single.groupBy("vid").agg(F.count("*").alias("own")).withColumnRenamed("vid", "of")
+    able = sigs.join(own, sigs["vid"] == own["of"], "left").select("vid", "sig", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    members = cut(members.join(able, "vid"))
+    columns = ("vid", "comp", "sig", "n", "most")
+    left = members.where("comp <> home").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = members.select("key", "home", *(F.col(c).alias(f"{c}_b") for c in columns))
     once = (F.col("comp_b") == F.col("home")) | (F.col("vid_a") < F.col("vid_b"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & agree)
-    more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()))
+    both = F.least("most_a", "most_b")
+    possible = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & agree)
+    more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()), texts)
     comps = components(near.unionByName(more)) if more.limit(1).count() else comps
 
     found = classes.join(comps, classes["vid"] == comps["id"], "left").select("vid", "least", F.coalesce("comp", "vid").alias("comp"))
