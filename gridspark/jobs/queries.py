@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import grid, tokens
 from gridspark.operators import dataset, labelling, neighbours, rewards, sampling, scoring
+from gridspark.operators.rounds import cut
 from gridspark.sources.files import byte_of, table_levels, table_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,11 +200,12 @@ def smp8_oversampled(spark, d):
 
 
 def corpus(spark, d):
-    return solved(spark, d).where("split = 'train'").select("text", "canonical")
+    return cut(solved(spark, d).where("split = 'train'").select("text", "canonical"))
 
 
 def scores(spark, d):
-    return scoring.scored(table_samples(spark, d), corpus(spark, d), fixed_edges(spark))
+    """Scored samples; the tables that several joins read are materialised first, as a job would write them."""
+    return cut(scoring.scored(cut(table_samples(spark, d)), corpus(spark, d), fixed_edges(spark)))
 
 
 @query
@@ -213,24 +215,24 @@ def join1_novel(spark, d):
 
 @query
 def join2_nearest_edit(spark, d):
-    asked = table_samples(spark, d).where("sample_id % 50 = 0")
+    asked = cut(table_samples(spark, d).where("sample_id % 50 = 0"))
     return neighbours.nearest_edit(asked, corpus(spark, d)).select("sample_id", "nearest")
 
 
 @query
 def join3_nearest_edit_symmetric(spark, d):
-    asked = table_samples(spark, d).where("sample_id % 50 = 0")
+    asked = cut(table_samples(spark, d).where("sample_id % 50 = 0"))
     return neighbours.nearest_edit(asked, corpus(spark, d), symmetric=True).select("sample_id", "nearest")
 
 
 @query
 def join4_novel_k(spark, d):
-    return neighbours.novel_k(table_samples(spark, d), corpus(spark, d)).select("sample_id", "novel_k")
+    return neighbours.novel_k(cut(table_samples(spark, d)), corpus(spark, d)).select("sample_id", "novel_k")
 
 
 @query
 def join5_close_pairs(spark, d):
-    return neighbours.close_pairs(table_samples(spark, d))
+    return neighbours.close_pairs(cut(table_samples(spark, d)))
 
 
 @query
@@ -255,7 +257,7 @@ def agg9_spearman(spark, d):
 
 @query
 def agg10_diversity(spark, d):
-    rows = scoring.grouped(table_samples(spark, d)).select("group", "sample_id", "text")
+    rows = scoring.grouped(cut(table_samples(spark, d))).select("group", "sample_id", "text")
     return scoring.diversity(rows)
 
 

@@ -35,28 +35,29 @@ def pieces(text: Column, k: int, length: Column, shift: Column | None = None) ->
 
 
 def near_pairs(left: DataFrame, right: DataFrame, k: int, ordered: bool = False) -> DataFrame:
-    """Distinct (a, b, distance) of texts under k edits apart; left (a, text), right (b, text), both distinct by text.
+    """Distinct (ta, tb, distance) of texts under k edits apart; left (ta), right (tb), both distinct.
 
     Tile counts that differ by k or more can't be under k edits apart: they are a join condition.
     """
     walls = lambda t: F.length(t) - F.length(F.translate(t, "#", ""))
-    posted = left.select("a", F.col("text").alias("ta"), walls(F.col("text")).alias("wa"), F.explode(pieces(F.col("text"), k, F.length("text"))).alias("key"))
     near = range(-(k - 1), k)
-    lengths = F.array(*(F.length("text") + d for d in near))
-    moved = right.select("b", F.col("text"), walls(F.col("text")).alias("wb"), F.explode(lengths).alias("n")).where("n >= 0")
-    moved = moved.select("b", F.col("text").alias("tb"), "wb", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(F.col("text"), k, F.col("n"), F.lit(d)) for d in near))))).alias("key"))
-    pairs = posted.join(moved, "key").where(F.abs(F.col("wa") - F.col("wb")) < k)
-    pairs = pairs.where("a < b") if ordered else pairs
-    pairs = pairs.select("a", "b", "ta", "tb").distinct()
-    return pairs.withColumn("distance", F.levenshtein("ta", "tb", k - 1)).where("distance >= 0").select("a", "b", "distance")
+    posted = left.select("ta", walls(F.col("ta")).alias("wa"), F.explode(pieces(F.col("ta"), k, F.length("ta"))).alias("key"))
+    moved = right.select("tb", walls(F.col("tb")).alias("wb"), F.explode(F.array(*(F.length("tb") + d for d in near))).alias("n")).where("n >= 0")
+    moved = moved.select("tb", "wb", F.explode(F.sequence(F.lit(near[0]), F.lit(near[-1]))).alias("d"), "n")
+    moved = moved.select("tb", "wb", F.explode(pieces(F.col("tb"), k, F.col("n"), F.col("d"))).alias("key")).distinct()
+    pairs = posted.join(moved, (posted["key"] == moved["key"]) & (F.abs(F.col("wa") - F.col("wb")) < k))
+    pairs = pairs.where("ta < tb") if ordered else pairs
+    pairs = pairs.select("ta", "tb").distinct()
+    return pairs.withColumn("distance", F.levenshtein("ta", "tb", k - 1)).where("distance >= 0")
 
 
 def novel_k(samples: DataFrame, corpus: DataFrame, k: int = 5, symmetric: bool = False) -> DataFrame:
     """JOIN-4: `novel_k`: no corpus text (or image of the sample) is under k edits away; a null text is not novel."""
     texts = samples.select("text").where("text IS NOT NULL").distinct()
-    asked = texts.select(F.col("text").alias("a"), F.explode(orbit(F.col("text"))).alias("text")).distinct() if symmetric else texts.select(F.col("text").alias("a"), "text")
-    known = corpus.select("text").where("text IS NOT NULL").distinct().select(F.col("text").alias("b"), "text")
-    hits = near_pairs(asked, known, k).select(F.col("a").alias("_near")).distinct()
+    images = texts.select(F.col("text").alias("_near"), F.explode(orbit(F.col("text")) if symmetric else F.array("text")).alias("image"))
+    known = corpus.select(F.col("text").alias("tb")).where("tb IS NOT NULL").distinct()
+    close = near_pairs(images.select(F.col("image").alias("ta")).distinct(), known, k).select("ta").distinct()
+    hits = images.join(close, F.col("image") == F.col("ta"), "left_semi").select("_near").distinct()
     out = samples.join(hits, F.col("text") == F.col("_near"), "left")
     return out.withColumn("novel_k", F.col("text").isNotNull() & F.col("_near").isNull()).drop("_near")
 
@@ -64,7 +65,8 @@ def novel_k(samples: DataFrame, corpus: DataFrame, k: int = 5, symmetric: bool =
 def close_pairs(samples: DataFrame, k: int = 5) -> DataFrame:
     """JOIN-5: pairs of distinct texts under k edits apart (a < b), by text."""
     texts = samples.select("text").where("text IS NOT NULL").distinct()
-    return near_pairs(texts.select(F.col("text").alias("a"), "text"), texts.select(F.col("text").alias("b"), "text"), k, ordered=True)
+    left, right = texts.withColumnRenamed("text", "ta"), texts.withColumnRenamed("text", "tb")
+    return near_pairs(left, right, k, ordered=True).toDF("a", "b", "distance")
 
 
 def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric: bool = False) -> DataFrame:
