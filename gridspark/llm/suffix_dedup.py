@@ -7,7 +7,8 @@ one cell of GRID values form a row whose key hashes the bytes that all of them h
 equal windows meet under one key. Keys are counted with map-side combine; rows of keys that
 stand once are dropped.
 
-Rows with the same bytes in and around them (their context) are one class; two rows in a class
+Rows with the same bytes in and around them (their context) are one class, by the hash of the
+context beside the key's hash of the core (128 bits together); two rows in a class
 are repeated throughout. Where a key has several classes, one context of each goes to a task by
 key, which sorts the suffixes at the window starts: prefix polynomial hashes and a binary search
 give the common extension of two suffixes, so that a comparison in the mergesort takes
@@ -54,10 +55,10 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def cells(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Rows of windows: text, first start in it, number of windows, key and two hashes of the context."""
+    """Rows of windows: text, first start in it, number of windows, key and hash of the context."""
     raw = np.frombuffer(data, np.uint8)
     if len(raw) < length:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     gram, grid = min(GRAM, length), min(GRID, max(1, length // 3))
     prefix, back = prefix_hash(raw), inverse_powers(len(raw) + 1)
     at = np.arange(len(raw) - gram + 1)
@@ -77,9 +78,7 @@ def cells(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...
     core = anchor[first] - grid * cell[first]
     key = mix(span_hash(prefix, core, core + length - grid + 1, back) + cell[first].astype(U64))
     full = mix(span_hash(prefix, first, first + n - 1 + length, back) + n.astype(U64))
-    other, other_back = second_hash(raw)
-    more = mix((other[first + n - 1 + length] - other[first]) * other_back[first] + n.astype(U64))
-    return doc[first], first - starts[doc[first]], n, key.view(np.int64), full.view(np.int64), more.view(np.int64)
+    return doc[first], first - starts[doc[first]], n, key.view(np.int64), full.view(np.int64)
 
 
 def all_cells(length: int):
@@ -99,7 +98,7 @@ def all_cells(length: int):
                 for group in groups:
                     got = cells(b"".join(x for _, _, x in group), np.cumsum([0, *(len(x) for _, _, x in group)]), length)
                     text, shift = (np.array([g[k] for g in group], np.int64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([rows.column("rk").take(pa.array(text[got[0]])), pa.array(got[1] + shift[got[0]]), *map(pa.array, got[2:])], names=["rk", "p", "n", "key", "full", "more"])
+                    yield pa.RecordBatch.from_arrays([rows.column("rk").take(pa.array(text[got[0]])), pa.array(got[1] + shift[got[0]]), *map(pa.array, got[2:])], names=["rk", "p", "n", "key", "full"])
 
     return run
 
@@ -180,40 +179,40 @@ class Suffixes:
         return out
 
 
-MARK = "key long, full long, more long, lo long, hi long"
+MARK = "key long, full long, lo long, hi long"
 
 
 def sorted_marks(length: int):
     """Contexts in order of key: the ranges of their windows that another context of the key repeats."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        data = b"".join(r[4] for r in rows)
-        at = np.cumsum([0, *(len(r[4]) for r in rows)])[:-1]
-        n = np.array([len(r[4]) - length + 1 for r in rows])
+        data = b"".join(r[3] for r in rows)
+        at = np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
+        n = np.array([len(r[3]) - length + 1 for r in rows])
         row = np.repeat(np.arange(len(rows)), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         key = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
         # Equal windows lie equally far before their anchor.
-        bucket = key[row] * (1 << 20) + np.array([r[3] for r in rows])[row] - offset + length
+        bucket = key[row] * (1 << 20) + np.array([r[2] for r in rows])[row] - offset + length
         order = np.argsort(bucket, kind="stable")
         flag = np.zeros(len(row), bool)
         flag[order] = Suffixes(data, length).repeated((at[row] + offset)[order], bucket[order])
         lo, hi = ranges_by(flag, n)
         which = np.searchsorted(np.cumsum(n), lo, side="right")
         first = np.cumsum(n) - n
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in which], pa.int64()) for k in range(3)] + [pa.array(lo - first[which]), pa.array(hi - first[which])], names=["key", "full", "more", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in which], pa.int64()) for k in range(2)] + [pa.array(lo - first[which]), pa.array(hi - first[which])], names=["key", "full", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "full", "more", "ahead", "context")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "full", "ahead", "context")]
             for r in zip(*columns, strict=True):
                 if size > CHUNK_BYTES and r[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[3])
         if rows:
             yield solve(rows)
 
@@ -236,14 +235,14 @@ def contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for x, wanted in zip(texts, rows.column("rows").to_pylist(), strict=True):
                     for r in wanted:
                         c = x[r["p"] : r["p"] + r["n"] - 1 + length]
-                        for column, v in zip(out, (r["key"], r["full"], r["more"], r["c"], r["d"], c), strict=True):
+                        for column, v in zip(out, (r["key"], r["full"], r["c"], r["d"], c), strict=True):
                             column.append(v)
-                ahead = [anchor_of(c, length) for c in out[5]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(ahead, pa.int64()), pa.array(out[5], pa.binary())], names=["key", "full", "more", "c", "d", "ahead", "context"])
+                ahead = [anchor_of(c, length) for c in out[4]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(ahead, pa.int64()), pa.array(out[4], pa.binary())], names=["key", "full", "c", "d", "ahead", "context"])
 
     return run
 
@@ -262,7 +261,7 @@ def window_hashes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(c) for c in ("key", "full", "more", "c")]
+            keys = [batch.column(c) for c in ("key", "full", "c")]
             for i, c in enumerate(batch.column("context").to_pylist()):
                 raw = np.frombuffer(c, np.uint8)
                 at = np.arange(len(raw) - length + 1)
@@ -270,7 +269,7 @@ def window_hashes(length: int):
                 other, other_back = second_hash(raw)
                 a = mix(span_hash(prefix, at, at + length, back)).view(np.int64)
                 b = mix((other[at + length] - other[at]) * other_back[at]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(np.full(len(at), i))) for k in keys), pa.array(at), pa.array(a), pa.array(b)], names=["key", "full", "more", "c", "at", "a", "b"])
+                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(np.full(len(at), i))) for k in keys), pa.array(at), pa.array(a), pa.array(b)], names=["key", "full", "c", "at", "a", "b"])
 
     return run
 
@@ -291,23 +290,23 @@ def removed(texts: list[bytes | None], marks: list[list | None]) -> Iterator[tup
 
 def spans_of(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """rk, marks array<struct<lo, hi>>: byte ranges to remove of rows with any; docs (rk, text)."""
-    rows = docs.select("rk", "text").where(F.octet_length("text") >= length).mapInArrow(all_cells(length), "rk long, p long, n long, key long, full long, more long")
+    rows = docs.select("rk", "text").where(F.octet_length("text") >= length).mapInArrow(all_cells(length), "rk long, p long, n long, key long, full long")
     shared = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     near = cut(rows.join(shared, "key"))
-    classes = near.groupBy("key", "full", "more").agg(F.count("*").alias("c"), F.min(F.struct("rk", "p", "n")).alias("r"))
-    classes = cut(classes.select("key", "full", "more", "c", "r.*"))
+    classes = near.groupBy("key", "full").agg(F.count("*").alias("c"), F.min(F.struct("rk", "p", "n")).alias("r"))
+    classes = cut(classes.select("key", "full", "c", "r.*"))
     several = classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
-    wanted = classes.join(several, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "full", "more", "c", "d", "p", "n")).alias("rows"))
+    wanted = classes.join(several, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "full", "c", "d", "p", "n")).alias("rows"))
     texts = docs.select("rk", "text").join(wanted, "rk").dropDuplicates(["rk"])
-    context = cut(texts.mapInArrow(contexts(length), "key long, full long, more long, c long, d long, ahead long, context binary"))
+    context = cut(texts.mapInArrow(contexts(length), "key long, full long, c long, d long, ahead long, context binary"))
 
-    whole = classes.where("c > 1").select("key", "full", "more", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
+    whole = classes.where("c > 1").select("key", "full", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
     some = context.where(F.col("d") <= group).repartition("key").sortWithinPartitions("key").mapInArrow(sorted_marks(length), MARK)
-    single = context.where(F.col("d") > group).mapInArrow(window_hashes(length), "key long, full long, more long, c long, at long, a long, b long")
+    single = context.where(F.col("d") > group).mapInArrow(window_hashes(length), "key long, full long, c long, at long, a long, b long")
     again = single.groupBy("a", "b").agg(F.sum("c").alias("k")).where("k > 1").select("a", "b")
-    hot = single.join(again, ["a", "b"]).select("key", "full", "more", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    hot = single.join(again, ["a", "b"]).select("key", "full", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     marks = whole.unionByName(some).unionByName(hot)
-    placed = near.join(marks, ["key", "full", "more"]).select("rk", (F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi") - 1 + length).alias("hi"))
+    placed = near.join(marks, ["key", "full"]).select("rk", (F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi") - 1 + length).alias("hi"))
     return placed.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
 
 
