@@ -191,15 +191,15 @@ def joined(docs: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
                     words = [" ".join(w.word(k).decode() for k in range(s, s + n)) for s in start]
                     yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(w.doc[start])), pa.array(start - w.first[w.doc[start]]), pa.array(np.full(len(start), n)), pa.array(h.view(np.int64)), pa.array(words, pa.string())], names=["rk", "at", "size", "h", "words"])
 
-    keyed = docs.withColumn("rk", row_key())
-    places = keyed.select("rk", "text").mapInArrow(of_docs, "rk long, at long, size long, h long, words string")
+    keyed = docs.withColumn("_rk", row_key())
+    places = keyed.select(F.col("_rk").alias("rk"), "text").mapInArrow(of_docs, "rk long, at long, size long, h long, words string")
     hits = places.join(found, ["h", "size", "words"]).select("rk", "item_id", "at", "size").distinct()
-    named = hits.select("rk", "item_id").distinct().groupBy("rk").agg(F.sort_array(F.collect_list("item_id")).alias("names"))
-    spans = hits.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("k")).distinct().groupBy("rk").agg(F.count("*").alias("n_hit"))
+    named = hits.select("rk", "item_id").distinct().groupBy(F.col("rk").alias("rk_n")).agg(F.sort_array(F.collect_list("item_id")).alias("names"))
+    spans = hits.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("k")).distinct().groupBy(F.col("rk").alias("rk_s")).agg(F.count("*").alias("n_hit"))
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     rest = [keyed[c] for c in docs.columns if c != "text"]
-    out = keyed.join(named, keyed["rk"] == named["rk"], "left").join(spans, keyed["rk"] == spans["rk"], "left")
+    out = keyed.join(named, F.col("_rk") == F.col("rk_n"), "left").join(spans, F.col("_rk") == F.col("rk_s"), "left")
     made = (words, zero(spans["n_hit"]), zero(F.array_size(named["names"])), F.sha2(F.coalesce(F.array_join(named["names"], ","), F.lit("")), 256), zero(spans["n_hit"]) > 0)
     return out.select(*rest, *(c.alias(prefix + x.split()[0]) for c, x in zip(made, SCHEMA.split(", "), strict=True)))
 

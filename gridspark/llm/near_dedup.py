@@ -181,8 +181,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     The row that stays is the first by id (null ids last), then by content, even where rows repeat.
     """
     found = near_duplicates(docs, shingle, percent)
-    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("rk"))
+    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("_best"))
     keyed = docs.withColumn("_rk", row_key())
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = keyed.where(~blank).join(best, F.col("_rk") == F.col("rk"), "left_semi").dropDuplicates(["_rk"])
+    one = keyed.where(~blank).join(best, F.col("_rk") == F.col("_best"), "left_semi").dropDuplicates(["_rk"])
     return one.unionByName(keyed.where(blank)).select(docs.columns)
