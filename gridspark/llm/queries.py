@@ -60,4 +60,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_sharding, op10_pii)
 }
-ORACLES: dict[str, str] = {}
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BLANK, OTHER = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def split_sql(text: str, ends_word: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{ends_word}'), lambda x: x <> '')"
+
+
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {split_sql(LOWER, BLANK)} AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+        c AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)""",
+    "op2_quality_rules": f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS t, {split_sql("coalesce(text, '')", BLANK)} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        g AS MATERIALIZED (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+        twice AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+        hit AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT g.r, unnest(range(i, i + 5)) AS k FROM g JOIN twice USING (r, g)) GROUP BY r),
+        m AS (SELECT doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint AS n_symbols,
+            length(regexp_replace(t, '[^!]+', '', 'g'))::bigint AS n_exclaims, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters, len(l) AS n_lines,
+            (len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::bigint AS n_dup_lines, coalesce(hit.n, 0)::bigint AS n_repeat_words
+            FROM d LEFT JOIN hit USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.2 * n_words OR n_exclaims > 0.5 * n_words OR n_stutters > 0.3 * n_words OR (n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 25 * n_words OR word_chars < 1.5 * n_words) AS kept FROM m""",
+    "op8_decontamination": f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {split_sql(LOWER, OTHER)} AS w FROM documents),
+        b AS (SELECT item_id::varchar AS item, {split_sql(LOWER, OTHER)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        win AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+        grams AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, (SELECT DISTINCT n FROM win))),
+        hit AS MATERIALIZED (SELECT r, i, grams.n, item FROM grams JOIN win ON win.n = grams.n AND win.g = grams.g),
+        spans AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+        names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN spans USING (r) LEFT JOIN names USING (r)""",
+}
