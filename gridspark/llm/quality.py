@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that orders the rules.
+#: Rows, in expectation, of the sample that orders the rules.
 SAMPLE_ROWS = 2000
 WORD_END = r"[\x20\x09-\x0D]+"
 
@@ -100,9 +100,10 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Rules by rejections per cost over a sample of at most `sample_rows` whole rows."""
+    """Rules by rejections per cost over a sample of about `sample_rows` whole rows from all partitions."""
     m = measures()
-    sample = with_words(docs.select("text").limit(sample_rows)).select(*(c.alias(k) for k, c in m.items()))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = with_words(docs.select("text").sample(share, seed=2)).select(*(c.alias(k) for k, c in m.items()))
     named = {k: F.col(k) for k in m}
     shares = [F.avg(r.rejects(named).cast("double")).alias(r.name) for r in rules]
     got = sample.agg(F.avg("word_chars").alias("_chars"), F.avg("n_words").alias("_words"), *shares).first()
