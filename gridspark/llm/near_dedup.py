@@ -5,11 +5,16 @@ that exact copies never meet in a join. Classes post (coordinate, value) keys; k
 one class holds are dropped. Two linked classes agree in at least `matches` of the coordinates
 but for a chance of MISS at the threshold itself, so they share one of the rarest
 `coordinates - matches + 1` keys of each (the prefix); only those are joined.
-Each class is first held against one member of its key's group, one that has the fewest
-coordinates of its own. Links unite components; then only classes of other components than that
-member's meet the rest of the group. For these, shingles that no other such class holds bound
-what a pair can share, which leaves out the many half-similar pairs of a family of edited
-copies. Bounds and signatures are compared within the join, full sets of words after it.
+Each key's group has a pivot, the member with the fewest coordinates of its own. Each class is
+first held against the greatest of its pivots, then against those of other components than its
+own, so that a family of copies costs about one link a member. Links unite components; then only
+classes of other components than the pivot's meet the rest of the group. For these, shingles that
+no other such class holds bound what a pair can share.
+
+A class also carries the parities of its shingles by hash bucket. Two sets whose parities differ
+in d buckets differ in d shingles at least, which leaves out the many half-similar pairs of a
+family of edited copies and never a linked pair. Bounds, parities and signatures are compared
+within the join, full sets of words after it.
 
 Null or wordless texts have no shingles and link with nothing. Repeated rows are copies.
 A null doc_id never names a component unless all of the component's ids are null; such a row is not kept
@@ -29,6 +34,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import BLANKS, U64, chunks, components, cut, mix, row_key, window_hash, words_of
 
 MISS = 1e-6
+#: 64-bit words of shingle parities a class carries.
+PARITY_WORDS = 16
 
 
 def least_matches(coordinates: int, percent: int) -> int:
@@ -72,14 +79,17 @@ def sketches(n: int, coordinates: int):
                 full = np.flatnonzero(size)
                 sig = np.zeros((len(texts), coordinates), np.int32)
                 vid = np.zeros(len(texts), np.int64)
+                buckets = 64 * PARITY_WORDS
+                bucket = np.repeat(np.arange(len(texts)), size) * buckets + (mix(hashes) % U64(buckets)).astype(np.int64)
+                odd = np.packbits(np.bincount(bucket, minlength=len(texts) * buckets).astype(np.uint8) & 1).view(np.int64)
                 if len(full):
                     at = first[full]
                     vid[full] = mix(np.add.reduceat(mix(hashes ^ U64(0x5851F42D4C957F2D)), at) + size[full].astype(U64)).view(np.int64)
                     for k, seed in enumerate(seeds):
                         sig[full, k] = (np.minimum.reduceat((hashes ^ seed) * U64(0xD6E8FEB86659FD93) ^ (hashes >> U64(29)) * seed, at) >> U64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("rk"), pa.array(size.astype(np.int64)), pa.array(vid), pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel()))],
-                    names=["doc_id", "rk", "n_shingles", "vid", "sig"],
+                    [rows.column("doc_id"), rows.column("rk"), pa.array(size.astype(np.int64)), pa.array(vid), pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY_WORDS, dtype=np.int32)), pa.array(odd))],
+                    names=["doc_id", "rk", "n_shingles", "vid", "sig", "odd"],
                 )
 
     return run
@@ -119,8 +129,8 @@ def similar(n: int, percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
     """Rows (doc_id, rk, n_shingles, component_id, group, kept), one for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text", row_key().alias("rk"))
-    sketch = cut(docs.mapInArrow(sketches(shingle, coordinates), "doc_id long, rk long, n_shingles long, vid long, sig array<int>"))
-    classes = cut(sketch.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    sketch = cut(docs.mapInArrow(sketches(shingle, coordinates), "doc_id long, rk long, n_shingles long, vid long, sig array<int>, odd array<long>"))
+    classes = cut(sketch.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")))
     least = least_matches(coordinates, percent)
 
     posted = classes.select("vid", F.posexplode("sig").alias("k", "v")).select("vid", (F.col("k").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"))
@@ -130,12 +140,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     prefix = cut(prefix.select("vid", "common", F.col("p.key").alias("key")))
     groups = prefix.groupBy("key").agg(F.max(F.struct("common", "vid"))["vid"].alias("pivot"), F.count("*").alias("k")).where("k > 1").select("key", "pivot")
 
-    sigs = classes.select("vid", "sig", "n")
+    sigs = classes.select("vid", "sig", "odd", "n")
     side = lambda x: sigs.select(*(F.col(c).alias(f"{c}_{x}") for c in sigs.columns))
     agree = sum(((F.col("sig_a")[i] == F.col("sig_b")[i]).cast("int") for i in range(coordinates)), F.lit(0)) >= least
     in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    stars = prefix.join(groups, "key").where("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(side("a"), F.col("a") == F.col("vid_a")).join(side("b"), (F.col("b") == F.col("vid_b")) & in_size & agree).select("a", "b")
+    differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    alike = agree & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         rows = ids.join(classes.select("vid", "rk"), "vid")
@@ -145,8 +155,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         left, right = (texts.select(F.col("vid").alias(x), F.col("text").alias(y)) for x, y in (("a", "left"), ("b", "right")))
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(similar(shingle, percent), "a long, b long"))
 
-    stars = cut(stars)
-    near = confirmed(stars, texts_of(stars.select(F.explode(F.array("a", "b")).alias("vid")).distinct()))
+    def linked(stars: DataFrame) -> DataFrame:
+        stars = stars.join(side("a"), F.col("a") == F.col("vid_a")).join(side("b"), (F.col("b") == F.col("vid_b")) & in_size & alike)
+        stars = cut(stars.select("a", "b"))
+        return confirmed(stars, texts_of(stars.select(F.explode(F.array("a", "b")).alias("vid")).distinct()))
+
+    pivots = cut(prefix.join(groups, "key").where("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct())
+    near = linked(pivots.groupBy("a").agg(F.max("b").alias("b")))
+    comps = components(near)
+    of = lambda x: comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    apart = pivots.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+    near = near.unionByName(linked(apart.select("a", "b")))
     comps = components(near)
 
     placed = prefix.join(groups, "key").join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", "pivot", F.coalesce("comp", "vid").alias("comp"))
@@ -155,15 +174,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     texts = texts_of(members.select("vid").distinct())
     single = texts.mapInArrow(exploded(shingle), "vid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
     own = single.groupBy("vid").agg(F.count("*").alias("own")).withColumnRenamed("vid", "of")
-    able = sigs.join(own, sigs["vid"] == own["of"], "left").select("vid", "sig", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    able = sigs.join(own, sigs["vid"] == own["of"], "left").select("vid", "sig", "odd", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     members = cut(members.join(able, "vid"))
-    columns = ("vid", "comp", "sig", "n", "most")
+    columns = ("vid", "comp", "sig", "odd", "n", "most")
     left = members.where("comp <> home").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = members.select("key", "home", *(F.col(c).alias(f"{c}_b") for c in columns))
     once = (F.col("comp_b") == F.col("home")) | (F.col("vid_a") < F.col("vid_b"))
     both = F.least("most_a", "most_b")
     possible = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & agree)
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & alike)
     more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()), texts)
     comps = components(near.unionByName(more)) if more.limit(1).count() else comps
 
