@@ -7,7 +7,8 @@ but for a chance of MISS at the threshold itself, so they share one of the rares
 `coordinates - matches + 1` keys of each (the prefix); only those are joined.
 Each key's group has a pivot, the member with the fewest coordinates of its own. Each class is
 first held against the greatest of its pivots, then against those of other components than its
-own, so that a family of copies costs about one link a member. Links unite components; then only
+own, then against a pivot outside the first one's component, so that a family of copies costs
+about one link a member. Links unite components; then only
 classes of other components than the pivot's meet the rest of the group. For these, shingles that
 no other such class holds bound what a pair can share.
 
@@ -35,7 +36,7 @@ from gridspark.llm.common import BLANKS, U64, chunks, components, cut, mix, row_
 
 MISS = 1e-6
 #: 64-bit words of shingle parities a class carries.
-PARITY_WORDS = 16
+PARITY_WORDS = 8
 
 
 def least_matches(coordinates: int, percent: int) -> int:
@@ -140,7 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     prefix = cut(prefix.select("vid", "common", F.col("p.key").alias("key")))
     groups = prefix.groupBy("key").agg(F.max(F.struct("common", "vid"))["vid"].alias("pivot"), F.count("*").alias("k")).where("k > 1").select("key", "pivot")
 
-    sigs = classes.select("vid", "sig", "odd", "n")
+    # Seven bits of each coordinate: as many agree as in full, or more.
+    sigs = classes.select("vid", F.transform("sig", lambda x: F.pmod(x, F.lit(128)).cast("tinyint")).alias("sig"), "odd", "n")
     side = lambda x: sigs.select(*(F.col(c).alias(f"{c}_{x}") for c in sigs.columns))
     agree = sum(((F.col("sig_a")[i] == F.col("sig_b")[i]).cast("int") for i in range(coordinates)), F.lit(0)) >= least
     in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -168,6 +170,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     near = near.unionByName(linked(apart.select("a", "b")))
     comps = components(near)
 
+    # Another pivot of each key that still holds several components, one outside the first pivot's.
+    here = cut(prefix.join(groups, "key").join(of("a"), F.col("vid") == F.col("a"), "left").select("key", "vid", "pivot", F.coalesce("comp_a", "vid").alias("comp")))
+    homes = here.where("vid = pivot").select("key", F.col("comp").alias("home"))
+    other = here.join(homes, "key").where("comp <> home").groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "vid").alias("h"), "vid", "comp")).alias("o"))
+    other = here.join(other, "key").where(F.col("comp") != F.col("o.comp")).select(F.col("vid").alias("a"), F.col("o.vid").alias("b")).distinct()
+    near = near.unionByName(linked(other))
+    comps = components(near)
+
     placed = prefix.join(groups, "key").join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", "pivot", F.coalesce("comp", "vid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("vid") == F.col("pivot"), F.col("comp"))).alias("home"))
     members = cut(placed.join(mixed.where("low <> high").select("key", "home"), "key").where("vid <> pivot").drop("pivot"))
