@@ -7,10 +7,9 @@ but for a chance of MISS at the threshold itself, so they share one of the rares
 `coordinates - matches + 1` keys of each (the prefix); only those are joined.
 Each key's group has a pivot, the member with the fewest coordinates of its own. Each class is
 first held against the greatest of its pivots, then against those of other components than its
-own, then against a pivot outside the first one's component, so that a family of copies costs
-about one link a member. Links unite components; then only
-classes of other components than the pivot's meet the rest of the group. For these, shingles that
-no other such class holds bound what a pair can share.
+own, so that a family of copies costs about one link a member. Links unite components; then only
+classes of other components than the pivot's meet the rest of the group, each pair under the
+least key it shares. For these, shingles that no other such class holds bound what a pair can share.
 
 A class also carries the parities of its shingles by hash bucket. Two sets whose parities differ
 in d buckets differ in d shingles at least, which leaves out the many half-similar pairs of a
@@ -141,13 +140,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     prefix = cut(prefix.select("vid", "common", F.col("p.key").alias("key")))
     groups = prefix.groupBy("key").agg(F.max(F.struct("common", "vid"))["vid"].alias("pivot"), F.count("*").alias("k")).where("k > 1").select("key", "pivot")
 
-    # Seven bits of each coordinate: as many agree as in full, or more.
-    sigs = classes.select("vid", F.transform("sig", lambda x: F.pmod(x, F.lit(128)).cast("tinyint")).alias("sig"), "odd", "n")
+    # Bits of each coordinate, eight coordinates in a number, one a byte with a zero bit above: as many agree as in full, or more.
+    low = lambda i: F.shiftleft(F.col("sig")[i].bitwiseAND(0x3F if i % 8 == 7 else 0x7F).cast("long"), 8 * (i % 8))
+    lanes = [sum((low(i) for i in range(at + 1, min(at + 8, coordinates))), low(at)).alias(f"s{at // 8}") for at in range(0, coordinates, 8)]
+    sigs = classes.select("vid", "n", *lanes, *(F.col("odd")[i].alias(f"o{i}") for i in range(PARITY_WORDS)))
     side = lambda x: sigs.select(*(F.col(c).alias(f"{c}_{x}") for c in sigs.columns))
-    agree = sum(((F.col("sig_a")[i] == F.col("sig_b")[i]).cast("int") for i in range(coordinates)), F.lit(0)) >= least
+    xor = lambda c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+    unequal = sum((F.bit_count((xor(f"s{i}") + F.lit(0x3F7F7F7F7F7F7F7F)).bitwiseAND(0x4080808080808080)) for i in range(len(lanes))), F.lit(0))
     in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
-    alike = agree & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    differ = sum((F.bit_count(xor(f"o{i}")) for i in range(PARITY_WORDS)), F.lit(0))
+    alike = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (unequal <= coordinates - least)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         rows = ids.join(classes.select("vid", "rk"), "vid")
@@ -170,30 +172,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     near = near.unionByName(linked(apart.select("a", "b")))
     comps = components(near)
 
-    # Another pivot of each key that still holds several components, one outside the first pivot's.
-    here = cut(prefix.join(groups, "key").join(of("a"), F.col("vid") == F.col("a"), "left").select("key", "vid", "pivot", F.coalesce("comp_a", "vid").alias("comp")))
-    homes = here.where("vid = pivot").select("key", F.col("comp").alias("home"))
-    other = here.join(homes, "key").where("comp <> home").groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "vid").alias("h"), "vid", "comp")).alias("o"))
-    other = here.join(other, "key").where(F.col("comp") != F.col("o.comp")).select(F.col("vid").alias("a"), F.col("o.vid").alias("b")).distinct()
-    near = near.unionByName(linked(other))
-    comps = components(near)
-
     placed = prefix.join(groups, "key").join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", "pivot", F.coalesce("comp", "vid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("vid") == F.col("pivot"), F.col("comp"))).alias("home"))
     members = cut(placed.join(mixed.where("low <> high").select("key", "home"), "key").where("vid <> pivot").drop("pivot"))
     texts = texts_of(members.select("vid").distinct())
     single = texts.mapInArrow(exploded(shingle), "vid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
     own = single.groupBy("vid").agg(F.count("*").alias("own")).withColumnRenamed("vid", "of")
-    able = sigs.join(own, sigs["vid"] == own["of"], "left").select("vid", "sig", "odd", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
-    members = cut(members.join(able, "vid"))
-    columns = ("vid", "comp", "sig", "odd", "n", "most")
+    able = sigs.join(own, sigs["vid"] == own["of"], "left").select(*sigs.columns, (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    # A pair that shares several keys meets under the least of them only.
+    keys = members.groupBy("vid").agg(F.collect_list("key").alias("keys"))
+    members = cut(members.join(able.join(keys, "vid"), "vid"))
+    columns = ("comp", "most", "keys", *sigs.columns)
     left = members.where("comp <> home").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = members.select("key", "home", *(F.col(c).alias(f"{c}_b") for c in columns))
     once = (F.col("comp_b") == F.col("home")) | (F.col("vid_a") < F.col("vid_b"))
     both = F.least("most_a", "most_b")
     possible = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & alike)
-    more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()), texts)
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & alike & (F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]))
+    more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"))), texts)
     comps = components(near.unionByName(more)) if more.limit(1).count() else comps
 
     found = classes.join(comps, classes["vid"] == comps["id"], "left").select("vid", "least", F.coalesce("comp", "vid").alias("comp"))
