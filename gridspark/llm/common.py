@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from tempfile import mkdtemp
@@ -47,8 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint, which cuts lineage and survives lost executors."""
+    """Checkpoint, which cuts lineage and survives lost executors.
+
+    Spark deletes shuffle files of finished steps once the driver's garbage is collected; asking for
+    that here keeps long chains of steps from holding all their files to the end.
+    """
     shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 
