@@ -1,11 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
 Examples are a bounded, class-balanced sample of the labelled training rows (EXAMPLES of either
-class, texts of up to EXAMPLE_BYTES). Terms are words that stand with label 1 beyond chance in
-the examples (VOCABULARY at most); their document frequencies are counted over all documents.
-The index lists each term's examples with their weights, in blocks; each block keeps every
-term's largest weight. A query sums the block maxima of its terms, scores blocks from the
-largest bound down and stops when no bound beats the k-th best cosine, so the neighbours are exact.
+class, texts of up to EXAMPLE_BYTES). All their words are terms, with document frequencies counted
+over all documents; a word that stands with label 1 beyond chance in the examples weighs more by
+sqrt(1 + chi-squared), no word weighs less than its TF-IDF. A query's own length scales all its
+cosines alike, which neither order nor votes see: words that no example holds change nothing.
+
+The index lists each term's examples with their weights. Rare terms are summed from their lists;
+of the COMMON most frequent terms each block of examples keeps the largest weight. Bounds are a
+block's best rare sum and those maxima; blocks are scored from the largest bound down until no
+bound reaches the k-th best cosine, so the neighbours are exact.
 Neighbours vote with the square of their cosine, weighted back to the class shares of the
 labels; a monotone fit over the examples, each scored without itself, turns votes into scores.
 
@@ -16,19 +20,20 @@ to the lower place in the index. Without labelled rows all scores are 0.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import NOT_ALNUM, chunks, held_out, training_row, words_of
+from gridspark.llm.common import CHUNK_BYTES, NOT_ALNUM, U64, chunks, cut, held_out, training_row, words_of
 
-EXAMPLES, EXAMPLE_BYTES, VOCABULARY, BLOCK, NEIGHBOURS = 2500, 100_000, 1024, 64, 15
-#: A term's least chi-squared value, and examples that hold it.
+EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 2500, 100_000, 64, 15
+#: Terms with block maxima, and the most list entries and queries that are summed at once.
+COMMON, ENTRIES, QUERIES = 1024, 2_000_000, 128
+#: The least chi-squared value, and examples that hold it, of a term that weighs more.
 CHI2, LEAST_DF = 15.0, 3
 THRESHOLD = 0.3
 
@@ -36,62 +41,63 @@ THRESHOLD = 0.3
 def example_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, int]]:
     """(text, toxic) of the sampled training rows, and how many training labels either class has."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(training_row())
-    shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    # Labels meet the documents before any limit: a label without a usable text takes no place.
+    keys = cut(rows.select("doc_id", "h", (F.octet_length("text") <= EXAMPLE_BYTES).alias("fits")).join(marked, "doc_id").distinct())
+    shares = {r["toxic"]: r["count"] for r in keys.groupBy("toxic").count().collect()}
     out = []
     for value in (0, 1):
-        ids = F.broadcast(marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).select("doc_id"))
-        texts = rows.join(ids, "doc_id").where(F.octet_length("text") <= EXAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(EXAMPLES)
+        ids = F.broadcast(keys.where((F.col("toxic") == value) & F.col("fits")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES).select("doc_id", "h"))
+        texts = rows.join(ids, ["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES)
         out += [(r["text"], value) for r in texts.select("text").collect()]
     return out, shares
 
 
-def terms_of(texts: list[bytes | None]) -> list[Counter]:
-    w = words_of(texts, NOT_ALNUM)
-    return [Counter(w.word(i) for i in range(w.first[d], w.first[d + 1])) for d in range(len(texts))]
+def slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts of about CHUNK_BYTES together, and the place of the first."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        size += len(x) + 1
+        if size >= CHUNK_BYTES or i == len(texts) - 1:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
 
 
-def chosen(terms: list[Counter], toxic: np.ndarray) -> list[bytes]:
-    """Words that stand with label 1 beyond chance, the strongest first."""
+def leaning(doc: np.ndarray, term: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """Each term's factor: above 1 where it stands with label 1 beyond chance."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    with1, with0 = Counter(), Counter()
-    for t, y in zip(terms, toxic, strict=True):
-        (with1 if y else with0).update(t.keys())
-    found = []
-    for word, a in with1.items():
-        b = with0[word]
-        if a + b >= LEAST_DF and a * n0 > b * n1:
-            n = n0 + n1
-            chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(1, (a + b) * (n - a - b) * n1 * n0)
-            if chi2 >= CHI2:
-                found.append((-chi2, word))
-    return [w for _, w in sorted(found)[:VOCABULARY]]
-
-
-def counts_in(texts: list[bytes | None], terms: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of all terms in the texts, by word hash."""
+    every = np.bincount(term, minlength=n_terms).astype(float)
+    a = np.bincount(term, toxic[doc], minlength=n_terms)
+    b, n = every - a, n0 + n1
+    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, every * (n - every) * n1 * n0)
+    return np.where((every >= LEAST_DF) & (a * n0 > b * n1) & (chi2 >= CHI2), np.sqrt(1 + chi2), 1.0)
+
+
+def counts_in(texts: list[bytes | None], terms: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of all terms in the texts; terms are ascending word hashes and their numbers."""
+    known, ids = terms
     w = words_of(texts, NOT_ALNUM)
-    known = np.fromiter(sorted(terms), np.uint64, len(terms))
     if not len(known) or not len(w.hash):
         return (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
     hit = known[at] == w.hash
-    ids = np.array([terms[int(h)] for h in known])[at[hit]]
-    pair, times = np.unique(w.doc[hit] * len(known) + ids, return_counts=True)
+    pair, times = np.unique(w.doc[hit] * len(known) + ids[at[hit]], return_counts=True)
     return pair // len(known), pair % len(known), times
 
 
-def weights(doc: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """TF-IDF weights scaled to length 1 a text."""
-    value = (1 + np.log(times)) * idf[term]
-    return value / np.sqrt(np.bincount(doc, value**2, minlength=n))[doc] if len(value) else value
+def entries(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The places of first[i]:last[i] for all i, one after the other."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 @dataclass
 class Index:
-    terms: dict[int, int]
+    terms: tuple[np.ndarray, np.ndarray]
+    #: Inverse document frequency times leaning.
     idf: np.ndarray
-    #: Postings of term t are at first[t]:first[t + 1]; `cut[t]` has where each block begins in them.
+    #: Postings of term t are at first[t]:first[t + 1]. The first terms are the common ones: of
+    #: these `cut[t]` has where each block begins in the postings, `most[t]` each block's largest weight.
     first: np.ndarray
     example: np.ndarray
     weight: np.ndarray
@@ -102,44 +108,71 @@ class Index:
     raw: np.ndarray
     score: np.ndarray
     none: float
+    dense: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def block(self, b: int) -> np.ndarray:
+        """Weights of the common terms in the examples of block b."""
+        if b not in self.dense:
+            lo, hi = self.cut[:, b], self.cut[:, b + 1]
+            at, out = entries(lo, hi), np.zeros((len(self.most), BLOCK))
+            out[np.repeat(np.arange(len(lo)), hi - lo), self.example[at] - b * BLOCK] = self.weight[at]
+            self.dense[b] = out
+        return self.dense[b]
+
+    def batch(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine of n queries, best first, and their cosines; 0 where there are fewer."""
+        common, blocks = self.most.shape
+        wide, rare = blocks * BLOCK, term >= common
+        lo, hi = self.first[term[rare]], self.first[term[rare] + 1]
+        at, n_at = entries(lo, hi), hi - lo
+        sums = np.bincount(np.repeat(doc[rare], n_at) * wide + self.example[at], np.repeat(weight[rare], n_at) * self.weight[at], minlength=n * wide).reshape(n, blocks, BLOCK)
+        query = np.zeros((n, common))
+        query[doc[~rare], term[~rare]] = weight[~rare]
+        limit = sums.max(2) + query @ self.most
+        order = np.argsort(-limit, axis=1, kind="stable")
+        sims, least, k = np.zeros((n, blocks, BLOCK)), np.zeros(n), min(k, wide)
+        flat = sims.reshape(n, wide)
+        for a, b in ((0, 4), (4, 16), (16, blocks)):
+            want = np.zeros((n, blocks), bool)
+            np.put_along_axis(want, order[:, a:b], True, 1)
+            # A hair below the k-th best, as sums of another order round another way.
+            want &= (limit > 0) & (limit >= least[:, None] * (1 - 1e-9))
+            for at in np.flatnonzero(want.any(0)):
+                asked = np.flatnonzero(want[:, at])
+                sims[asked, at] = sums[asked, at] + query[asked] @ self.block(at)
+            if without is not None:
+                flat[np.arange(n), without] = 0
+            least = np.partition(flat, wide - k, axis=1)[:, wide - k]
+        ids = np.argpartition(-flat, k - 1, axis=1)[:, :k]
+        for i in np.flatnonzero((flat >= least[:, None]).sum(1) > k):
+            ids[i] = np.argsort(-flat[i], kind="stable")[:k]
+        got = np.take_along_axis(flat, ids, 1)
+        best = np.lexsort((ids, -got))
+        return np.take_along_axis(ids, best, 1), np.take_along_axis(got, best, 1)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, and their cosines."""
-        limit = weight @ self.most[term]
-        order = np.argsort(-limit, kind="stable")
-        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        step = 4
-        for at in range(0, len(order), step):
-            blocks = order[at : at + step]
-            blocks = blocks[limit[blocks] > least]
-            if not len(blocks):
-                break
-            parts_id, parts_w = [], []
-            for t, q in zip(term, weight, strict=True):
-                for b in blocks:
-                    lo, hi = self.cut[t, b], self.cut[t, b + 1]
-                    if lo < hi:
-                        parts_id.append(self.example[lo:hi])
-                        parts_w.append(self.weight[lo:hi] * q)
-            if not parts_id:
-                continue
-            found, place = np.unique(np.concatenate(parts_id), return_inverse=True)
-            got = np.bincount(place, np.concatenate(parts_w))
-            ids, sims = np.append(ids, found), np.append(sims, got)
-            keep = ids != without
-            ids, sims = ids[keep], sims[keep]
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-            least = sims[-1] if len(sims) == k else 0.0
-        return ids, sims
-
-    def votes(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> float:
-        """Share of label 1 among the neighbours' votes, -1 without any."""
-        ids, sims = self.nearest(term, weight, without)
-        if not len(ids):
-            return -1.0
-        vote = sims**2 * self.vote[ids]
-        return float((vote * self.toxic[ids]).sum() / vote.sum())
+        """The k examples of highest cosine above 0, and their cosines (times the query's length)."""
+        ids, sims = self.batch(np.zeros(len(term), np.int64), term, weight, 1, None if without < 0 else np.array([without]), k)
+        return ids[sims > 0], sims[sims > 0]
+
+    def votes(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, left_out: bool = False) -> np.ndarray:
+        """Share of label 1 among the neighbours' votes for each of n texts, -1 without any; left_out: text i is example i."""
+        out = np.full(n, -1.0)
+        if not len(self.vote):
+            return out
+        bounds = np.searchsorted(doc, np.arange(n + 1))
+        work = np.append(0, np.cumsum(np.where(term >= len(self.most), self.first[term + 1] - self.first[term], 0)))[bounds]
+        a = 0
+        while a < n:
+            b = min(max(a + 1, int(np.searchsorted(work, work[a] + ENTRIES))), a + QUERIES, n)
+            x = slice(bounds[a], bounds[b])
+            ids, sims = self.batch(doc[x] - a, term[x], (1 + np.log(times[x])) * self.idf[term[x]], b - a, np.arange(a, b) if left_out else None, NEIGHBOURS)
+            ids = np.minimum(ids, len(self.vote) - 1)
+            vote = sims**2 * self.vote[ids]
+            has = sims[:, 0] > 0
+            out[a:b][has] = (vote * self.toxic[ids]).sum(1)[has] / vote.sum(1)[has]
+            a = b
+        return out
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.where(raw < 0, self.none, np.interp(raw, self.raw, self.score)) if len(self.raw) else np.full(len(raw), self.none)
@@ -161,49 +194,57 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     rows, shares = example_rows(docs, labels)
     texts, toxic = [r[0].encode() for r in rows], np.array([r[1] for r in rows], np.int64)
-    words = chosen(terms_of(texts), toxic) if len(rows) else []
-    hashes = {int(h): i for i, h in enumerate(words_of([b" ".join(words)], NOT_ALNUM).hash)}
+    known = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(words_of(part, NOT_ALNUM).hash) for _, part in slices(texts))]))
+    found = [(d + at, t, k) for at, part in slices(texts) for d, t, k in [counts_in(part, (known, np.arange(len(known))))]]
+    doc, term, times = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3))
+    # Terms are numbered from the most frequent down.
+    ids = np.empty(len(known), np.int64)
+    ids[np.argsort(-np.bincount(term, minlength=len(known)), kind="stable")] = np.arange(len(known))
+    term, terms, n_terms = ids[term], (known, ids), len(known)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(hashes) + 1, np.int64), 0
+        df, n = np.zeros(n_terms + 1, np.int64), 0
         for batch in batches:
             for _, part in chunks(batch):
-                df += np.bincount(counts_in(part, hashes)[1], minlength=len(df))
+                df += np.bincount(counts_in(part, shared.value)[1], minlength=n_terms + 1)
                 n += len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(df))), pa.array(np.append(df[:-1], n))], names=["term", "n"])
-
-    # One small row for each term of the bounded vocabulary.
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(len(hashes), 0)
-    idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(hashes))], float))) + 1
-    doc, term, times = counts_in(texts, hashes)
-    value = weights(doc, term, times, idf, len(rows))
+        df[-1] = n
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
+
+    # One small row for each term of the examples.
+    got = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms + 1)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * leaning(doc, term, toxic, n_terms)
+    value = (1 + np.log(times)) * idf[term]
+    value /= np.sqrt(np.bincount(doc, value**2, minlength=len(rows)))[doc]
     # Examples with the same strongest term stand together, so that few blocks matter to a query.
-    lead = np.full(len(rows), len(hashes))
-    for i in np.argsort(value, kind="stable"):
-        lead[doc[i]] = term[i]
+    lead = np.full(len(rows), n_terms)
+    strongest = np.argsort(value, kind="stable")
+    lead[doc[strongest]] = term[strongest]
     order = np.lexsort((np.arange(len(rows)), toxic, lead))
-    place = np.argsort(order)
-    doc, toxic = place[doc], toxic[order]
+    doc, toxic = np.argsort(order)[doc], toxic[order]
     by = np.lexsort((doc, term))
     doc_by, term_by, value_by = doc[by], term[by], value[by]
-    first = np.searchsorted(term_by, np.arange(len(hashes) + 1))
-    n_blocks = max(1, -(-len(rows) // BLOCK))
-    cut, most = np.zeros((len(hashes), n_blocks + 1), np.int64), np.zeros((len(hashes), n_blocks))
-    for t in range(len(hashes)):
+    first = np.searchsorted(term_by, np.arange(n_terms + 1))
+    n_blocks, common = max(1, -(-len(rows) // BLOCK)), min(COMMON, n_terms)
+    cuts, most = np.zeros((common, n_blocks + 1), np.int64), np.zeros((common, n_blocks))
+    for t in range(common):
         lo, hi = first[t], first[t + 1]
-        cut[t] = lo + np.searchsorted(doc_by[lo:hi], np.arange(n_blocks + 1) * BLOCK)
+        cuts[t] = lo + np.searchsorted(doc_by[lo:hi], np.arange(n_blocks + 1) * BLOCK)
         np.maximum.at(most[t], doc_by[lo:hi] // BLOCK, value_by[lo:hi])
     have = {v: max(1, int((toxic == v).sum())) for v in (0, 1)}
     vote = np.array([shares[int(v)] / have[int(v)] for v in toxic])
-    index = Index(hashes, idf, first, doc_by, value_by, cut, most, vote, toxic, np.zeros(0), np.zeros(0), 0.0)
+    index = Index(terms, idf, first, doc_by.astype(np.int32), value_by, cuts, most, vote, toxic, np.zeros(0), np.zeros(0), 0.0)
     own = np.lexsort((term, doc))
-    bounds = np.searchsorted(doc[own], np.arange(len(rows) + 1))
-    raw = np.array([index.votes(term[own[a:b]], value[own[a:b]], i) if a < b else -1.0 for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
+    raw = index.votes(doc[own], term[own], times[own], len(rows), left_out=True)
     if len(raw):
         none = raw < 0
         index.none = float((vote * toxic)[none].sum() / vote[none].sum()) if none.any() else 0.0
         index.raw, index.score = monotone(raw[~none], toxic[~none], vote[~none])
+    index.dense = {}
     return index
 
 
@@ -217,9 +258,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, texts in chunks(batch):
                 doc, term, times = counts_in(texts, index.terms)
-                value = weights(doc, term, times, index.idf, len(texts))
-                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-                raw = np.array([index.votes(term[a:b], value[a:b]) if a < b else -1.0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+                raw = index.votes(doc, term, times, len(texts))
                 s = np.clip(index.calibrated(raw), 0, 1)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

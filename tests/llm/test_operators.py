@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import public_tokenizers
@@ -163,5 +164,20 @@ def test_nearest_is_exact():
             assert np.allclose(sims, all_sims)
 
 
+def test_toxicity_weighs_all_words(spark):
+    """No word here leans to a label often enough, so that a list of leaning words would be empty."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    texts = ["storm harbour", "storm harbour gull", "storm harbour tide", "storm harbour mast", "field barley plough", "field barley oxen", "field barley scythe", "field barley mill"]
+    docs = spark.createDataFrame([*zip(ids, texts), (held, "storm harbour quay"), (held + 1000, "field barley loft")], "doc_id long, text string")
+    labels = spark.createDataFrame([*((d, int(i < 4)) for i, d in enumerate(ids)), (7777, 1)], "doc_id long, toxic int")
+    rows, shares = toxicity.example_rows(docs, labels)
+    assert len(rows) == 8 and shares == {0: 4, 1: 4}
+    index = toxicity.fit(docs, labels)
+    assert len(index.terms[0]) == len({w for x in texts for w in x.split()})
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    assert got[held] > 0.5 > got[held + 1000]
+
+
 def test_digest_of_nothing():
     assert decontaminate.digest(set()) == hashlib.sha256(b"").hexdigest()
