@@ -2,14 +2,16 @@
 
 Base kinds (email, ip, card, phone) are matched by fixed patterns and checks. High-recall
 generators propose further, possibly overlapping spans. Boosted trees (trained by Spark's own
-GBTClassifier on candidates of a bounded sample of texts) see format and context features;
-they become one nested CASE expression, so scoring needs no shuffle and no Python. A candidate
-is kept above its generator's threshold and where no base span overlaps it; of overlapping
+GBTClassifier on candidates of all documents, SAMPLE_SPANS at most, shared out evenly to all
+generators and labels) see format and context features; they become one nested CASE expression,
+so scoring needs no shuffle and no Python. A candidate is kept where its format check holds or
+above its generator's threshold, and where no base span overlaps it; of overlapping
 candidates the one of highest probability stays, then the longest, then the first.
 
 There are no labelled spans: a candidate of the sample teaches 1 where its format check holds
 (checksum, key prefix, structure) and 0 where it fails. Thresholds are the smallest that hold
-PRECISION on the held-out half of the sample, 0.5 at least.
+PRECISION on the held-out half of the sample, by the candidates' true shares, 0.5 at least.
+Where no model can be fitted, the candidates whose format check holds are kept.
 
 Offsets are code points, end exclusive. Null texts are empty and have no spans. Repeated rows
 are judged alike; an empty table gives an empty result and trains nothing.
@@ -18,12 +20,15 @@ are judged alike; an empty table gives an empty result and trains nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of the training sample (in expectation; drawn in place from all partitions), and candidates that it may give.
-SAMPLE_ROWS, SAMPLE_SPANS, PRECISION = 20_000, 20_000, 0.95
+from gridspark.llm.common import cut
+
+#: Candidates that the trees may learn from; the same share for each generator and label.
+SAMPLE_SPANS, PRECISION = 20_000, 0.95
 TREES, DEPTH = 8, 3
 CONTEXT = 32
 
@@ -155,13 +160,18 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on candidates of a bounded sample; None where they don't hold both classes."""
+    """Fit on a bounded sample of the candidates of all documents; None where its fitting half lacks a label."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
-    sample = docs.where("text IS NOT NULL").select("text").sample(share, seed=10)
-    rows = sample.select(F.explode(proposals(F.col("text"))).alias("c")).select("c.f", F.col("c.k"), F.col("c.f")[6].alias("label"), F.pmod(F.xxhash64("c"), F.lit(2)).alias("part")).limit(SAMPLE_SPANS)
+    every = cut(docs.where("text IS NOT NULL").select(F.explode(proposals(F.col("text"))).alias("c")).select("c.f", "c.k", F.col("c.f")[6].alias("label"), F.xxhash64("c").alias("h")))
+    # Each stratum gives its first candidates by hash, and counts as many as it stands for.
+    most = SAMPLE_SPANS // (2 * len(GENERATORS))
+    counts = every.groupBy("k", "label").count().collect()
+    if len({r["label"] for r in counts}) < 2:
+        return None
+    parts = [every.where((F.col("k") == r["k"]) & (F.col("label") == r["label"])).orderBy("h").limit(most).withColumn("w", F.lit(max(1.0, r["count"] / most))) for r in counts]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(2)))
     rows = rows.withColumn("features", array_to_vector("f")).persist()
     try:
         fitting = rows.where("part = 0")
@@ -172,7 +182,7 @@ def train(docs: DataFrame) -> Model | None:
         model = Model(trees, [float(w) for w in got.treeWeights], ())
         grid = [0.5, 0.6, 0.7, 0.8, 0.9]
         held = rows.where("part = 1").withColumn("p", model.probability(F.col("f")))
-        sums = held.groupBy("k").agg(*(F.avg(F.when(F.col("p") >= t, F.col("label"))).alias(f"t{i}") for i, t in enumerate(grid)))
+        sums = held.groupBy("k").agg(*((F.sum(F.when(F.col("p") >= t, F.col("w") * F.col("label"))) / F.sum(F.when(F.col("p") >= t, F.col("w")))).alias(f"t{i}") for i, t in enumerate(grid)))
         by = {r["k"]: r for r in sums.collect()}  # a row a generator
         pick = lambda r: next((t for i, t in enumerate(grid) if r is not None and (r[f"t{i}"] or 0) >= PRECISION), grid[-1])
         model.thresholds = tuple(pick(by.get(len(BASE) + k)) for k in range(len(GENERATORS)))
@@ -187,10 +197,9 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def added(base: Column, candidates: Column, model: Model | None) -> Column:
     """Candidates above their thresholds that overlap no base span and no better candidate."""
-    if model is None:
-        return F.filter(base, lambda x: F.lit(False))
-    limits = F.array(*map(F.lit, model.thresholds))
-    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind"), model.probability(c["f"]).alias("p")))
+    limits = F.array(*map(F.lit, model.thresholds if model else [1.0] * len(GENERATORS)))
+    chance = lambda c: F.when(c["f"][6] == 1, 1.0).otherwise(model.probability(c["f"]) if model else 0.0)
+    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind"), chance(c).alias("p")))
     good = F.filter(rated, lambda c: (c["p"] >= limits[c["k"] - len(BASE)]) & ~F.exists(base, lambda b: overlaps(b, c)))
     better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["e"] - a["s"] > b["e"] - b["s"]) | ((a["e"] - a["s"] == b["e"] - b["s"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
     best = bound(good, lambda g: F.filter(g, lambda c: ~F.exists(g, lambda o: overlaps(o, c) & better(o, c))))
