@@ -4,13 +4,17 @@ Base kinds (email, ip, card, phone) are matched by fixed patterns and checks. Hi
 generators propose further, possibly overlapping spans. Boosted trees (trained by Spark's own
 GBTClassifier on candidates of all documents, SAMPLE_SPANS at most, shared out evenly to all
 generators and labels) see format and context features; they become one nested CASE expression,
-so scoring needs no shuffle and no Python. A candidate is kept where its format check holds or
-above its generator's threshold, and where no base span overlaps it; of overlapping
+so scoring needs no shuffle and no Python. A candidate is kept where its format check holds, or,
+where a failed check says nothing (`open` generators), above its generator's threshold, and where
+no base span overlaps it; of overlapping
 candidates the one of highest probability stays, then the longest, then the first.
 
 There are no labelled spans: a candidate of the sample teaches 1 where its format check holds
-(checksum, key prefix, structure) and 0 where it fails. Thresholds are the smallest that hold
-PRECISION on the held-out half of the sample, by the candidates' true shares, 0.5 at least.
+(checksum, key prefix, structure) and 0 where it fails. The check is no feature: the trees rate
+how much a candidate is like those that pass, by its characters and what stands before it, and so
+decide only secrets of no known format. Thresholds are the smallest that hold PRECISION on the
+held-out half of the sample, by the candidates' true shares, 0.5 at least; a generator where none
+does keeps no more than what passes.
 Where no model can be fitted, the candidates whose format check holds are kept.
 
 Offsets are code points, end exclusive. Null texts are empty and have no spans. Repeated rows
@@ -19,6 +23,7 @@ are judged alike; an empty table gives an empty result and trains nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +35,8 @@ from gridspark.llm.common import cut
 #: Candidates that the trees may learn from; the same share for each generator and label.
 SAMPLE_SPANS, PRECISION = 20_000, 0.95
 TREES, DEPTH = 8, 3
+#: A threshold that no probability reaches.
+NEVER = 2.0
 CONTEXT = 32
 
 
@@ -85,19 +92,42 @@ BASE = {
 
 @dataclass(frozen=True)
 class Generator:
-    """Proposes matches of `pattern`; `check` is the format check that teaches the trees."""
+    """Proposes matches of `pattern`; `check` is the format check that teaches the trees, of the match and what stands before it."""
 
     kind: str
     pattern: str
-    check: str
+    check: Callable[[Column, Column], Column]
     hint: str
+    #: Whether a candidate that fails the check may still be one.
+    open: bool = False
 
 
+def mod97(m: Column) -> Column:
+    """Whether an IBAN's check digits hold: its first four characters moved to the end, letters as 10 to 35, modulo 97."""
+    d = F.replace(m, F.lit(" "), F.lit(""))
+    each = F.split(F.concat(F.substring(d, 5, 64), F.substring(d, 1, 4)), "")
+    step = lambda a, x: F.when(x.rlike("[0-9]"), a * 10 + F.ascii(x) - 48).otherwise(a * 100 + F.ascii(x) - 55) % 97
+    return F.length(d).between(15, 34) & (F.aggregate(each, F.lit(0), step) == 1)
+
+
+def iban_of(m: Column) -> Column:
+    """The match without up to two last groups, which may be words after it: the longest whose check digits hold, or all."""
+    shorter = F.regexp_replace(m, " [A-Z0-9]{1,4}$", "")
+    shortest = F.regexp_replace(m, "(?: [A-Z0-9]{1,4}){1,2}$", "")
+    return F.when(mod97(m), m).when(mod97(shorter), shorter).when(mod97(shortest), shortest).otherwise(m)
+
+
+KEY = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:ghp|gho|ghs)_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[bp]-[A-Za-z0-9-]{10,}$|^(?=[^A-Za-z]*[A-Za-z])(?=(?:[^0-9]*[0-9]){5})[a-z0-9]{24,}$"
+#: A key of any alphabet where a word for secrets is assigned to: all of upper case, lower case and digits, three changes between letters and digits.
+MIXED = r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9]).{20,}$"
+CHANGE = "[A-Za-z][0-9]|[0-9][A-Za-z]"
+ASSIGNED = "(?i)(?:key|token|secret|passw)[a-z_]*[\\x20\"']*[:=]+[\\x20\"']*$"
+
 #: Proposals beyond the base kinds, each with a word list that often stands before it.
 GENERATORS = (
-    Generator("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,128}+(?![A-Za-z0-9_/+-])", r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:ghp|gho|ghs)_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[bp]-[A-Za-z0-9-]{10,}$|^(?=[^A-Za-z]*[A-Za-z])(?=(?:[^0-9]*[0-9]){5})[a-z0-9]{24,}$", "(?i)(?:key|token|secret|passw)"),
-    Generator("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "(?i)(?:ssn|social)"),
-    Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^(?:DE[0-9]{2}(?: ?[0-9]{4}){4} ?[0-9]{2}|FR[0-9]{2}.{18,30}|ES[0-9]{2}(?: ?[0-9]{4}){5}|GB[0-9]{2} ?[A-Z]{4}(?: ?[0-9]{4}){3} ?[0-9]{2})$", "(?i)(?:iban|bank|konto)"),
+    Generator("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+", lambda m, before: m.rlike(KEY) | (m.rlike(MIXED) & (F.regexp_count(m, F.lit(CHANGE)) >= 3) & before.rlike(ASSIGNED)), "(?i)(?:key|token|secret|passw)", open=True),
+    Generator("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m, before: m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "(?i)(?:ssn|social)"),
+    Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m, before: mod97(m), "(?i)(?:iban|bank|konto)"),
 )
 
 
@@ -115,25 +145,28 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(BASE))))
 
 
-FEATURES = ("kind", "length", "digits", "upper", "lower", "marks", "check", "hint", "assigned", "switches")
+FEATURES = ("kind", "length", "digits", "upper", "lower", "marks", "hint", "assigned", "switches")
 
 
 def proposals(text: Column) -> Column:
-    """array<struct<s,e,kind,k,f array<double>>> of all generators' candidates with their features."""
+    """array<struct<s,k,e,kind,ok boolean,f array<double>>> of all generators' candidates with their features."""
 
     def share(m: Column, others: str) -> Column:
         return F.length(F.regexp_replace(m, others, "")).cast("double") / F.greatest(F.length(m), F.lit(1))
 
     def of(k: int, g: Generator) -> Column:
         def made(x: Column) -> Column:
-            m = x["m"]
-            before = F.substring(text, F.greatest(x["s"] - (CONTEXT - 1), F.lit(1)), F.least(F.lit(CONTEXT), x["s"]))
+            m = iban_of(x["m"]) if g.kind == "iban" else x["m"]
+            return bound(m, lambda m: described(x["s"], m))
+
+        def described(s: Column, m: Column) -> Column:
+            before = F.substring(text, F.greatest(s - (CONTEXT - 1), F.lit(1)), F.least(F.lit(CONTEXT), s))
             f = F.array(
                 F.lit(float(k)), F.length(m).cast("double"), share(m, "[^0-9]"), share(m, "[^A-Z]"), share(m, "[^a-z]"), share(m, "[A-Za-z0-9]"),
-                m.rlike(g.check).cast("double"), before.rlike(g.hint).cast("double"), before.rlike("[:=][\\x20\"']*$").cast("double"),
-                F.regexp_count(m, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")).cast("double"),
+                before.rlike(g.hint).cast("double"), before.rlike("[:=][\\x20\"']*$").cast("double"),
+                F.regexp_count(m, F.lit(CHANGE)).cast("double"),
             )
-            return F.struct(x["s"].alias("s"), F.lit(len(BASE) + k).alias("k"), x["e"].alias("e"), F.lit(g.kind).alias("kind"), f.alias("f"))
+            return F.struct(s.alias("s"), F.lit(len(BASE) + k).alias("k"), (s + F.length(m)).alias("e"), F.lit(g.kind).alias("kind"), g.check(m, before).alias("ok"), f.alias("f"))
 
         return F.transform(spans(text, g.pattern), made)
 
@@ -164,7 +197,7 @@ def train(docs: DataFrame) -> Model | None:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    every = cut(docs.where("text IS NOT NULL").select(F.explode(proposals(F.col("text"))).alias("c")).select("c.f", "c.k", F.col("c.f")[6].alias("label"), F.xxhash64("c").alias("h")))
+    every = cut(docs.where("text IS NOT NULL").select(F.explode(proposals(F.col("text"))).alias("c")).select("c.f", "c.k", F.col("c.ok").cast("double").alias("label"), F.xxhash64("c").alias("h")))
     # Each stratum gives its first candidates by hash, and counts as many as it stands for.
     most = SAMPLE_SPANS // (2 * len(GENERATORS))
     counts = every.groupBy("k", "label").count().collect()
@@ -184,7 +217,7 @@ def train(docs: DataFrame) -> Model | None:
         held = rows.where("part = 1").withColumn("p", model.probability(F.col("f")))
         sums = held.groupBy("k").agg(*((F.sum(F.when(F.col("p") >= t, F.col("w") * F.col("label"))) / F.sum(F.when(F.col("p") >= t, F.col("w")))).alias(f"t{i}") for i, t in enumerate(grid)))
         by = {r["k"]: r for r in sums.collect()}  # a row a generator
-        pick = lambda r: next((t for i, t in enumerate(grid) if r is not None and (r[f"t{i}"] or 0) >= PRECISION), grid[-1])
+        pick = lambda r: next((t for i, t in enumerate(grid) if r is not None and (r[f"t{i}"] or 0) >= PRECISION), NEVER)
         model.thresholds = tuple(pick(by.get(len(BASE) + k)) for k in range(len(GENERATORS)))
         return model
     finally:
@@ -197,10 +230,10 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def added(base: Column, candidates: Column, model: Model | None) -> Column:
     """Candidates above their thresholds that overlap no base span and no better candidate."""
-    limits = F.array(*map(F.lit, model.thresholds if model else [1.0] * len(GENERATORS)))
-    chance = lambda c: F.when(c["f"][6] == 1, 1.0).otherwise(model.probability(c["f"]) if model else 0.0)
-    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind"), chance(c).alias("p")))
-    good = F.filter(rated, lambda c: (c["p"] >= limits[c["k"] - len(BASE)]) & ~F.exists(base, lambda b: overlaps(b, c)))
+    limits = F.array(*(F.lit(model.thresholds[k] if model and g.open else NEVER) for k, g in enumerate(GENERATORS)))
+    chance = lambda c: F.when(c["ok"], 1.0).otherwise(model.probability(c["f"]) if model else 0.0)
+    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind"), c["ok"].alias("ok"), chance(c).alias("p")))
+    good = F.filter(rated, lambda c: (c["ok"] | (c["p"] >= limits[c["k"] - len(BASE)])) & ~F.exists(base, lambda b: overlaps(b, c)))
     better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["e"] - a["s"] > b["e"] - b["s"]) | ((a["e"] - a["s"] == b["e"] - b["s"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
     best = bound(good, lambda g: F.filter(g, lambda c: ~F.exists(g, lambda o: overlaps(o, c) & better(o, c))))
     return F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind")))
