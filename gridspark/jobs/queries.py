@@ -294,24 +294,21 @@ def ord1_examples(spark, d):
     return labelling.examples(labelling.agreement(table_levels(spark, d), theirs(spark, d)))
 
 
-def small_levels(spark, d):
-    """4 x 4 interiors cut from the grids of all documents, with at most two boxes: small enough for the bundled solver."""
-    rows = table_levels(spark, d)
-    lines = F.split("text", "\n")
-    inner = F.transform(F.slice(lines, 2, 4), lambda x: F.concat(F.lit("#"), F.substring(x, 2, 4), F.lit("#")))
-    return rows.select("id", F.array_join(F.concat(F.array(F.lit("######")), inner, F.array(F.lit("######"))), "\n").alias("text"))
+def label_table(levels):
+    """Labels of most texts, each from its first document; the others have yet to be solved."""
+    key = F.col("doc_id").cast("string")
+    return levels.where(byte_of(key, ":z") > 12).groupBy("text").agg(F.min_by(F.struct("status", "moves"), "doc_id").alias("l")).select("text", "l.*")
 
 
 @query
 def lbl1_labels(spark, d):
-    return labelling.label(small_levels(spark, d), 20_000).select("id", "status", "moves", "error")
+    rows = cut(table_levels(spark, d).select("id", "doc_id", "text", "status", "moves"))
+    return labelling.merged(rows.select("id", "text"), label_table(rows)).select("id", "status", "moves", "error")
 
 
 @query
 def fn14_verified(spark, d):
-    rows = labelling.label(small_levels(spark, d), 20_000).where("status = 'solved'")
-    damaged = F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, F.reverse(F.upper("path"))).otherwise(F.col("path"))
-    return labelling.verified(rows.select("id", "text", damaged.alias("path"))).select("id", "path", "path_ok")
+    return labelling.verified(table_levels(spark, d).select("id", "text", path().alias("path"))).select("id", "path", "path_ok")
 
 
 def rewarded(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import normalised, parse_error
+from gridspark.sources.files import unlabelled
 
 Solver = Callable[[list[str], int], list[tuple[str, int, int, str, int]]]
 SCHEMA = "status string, moves int, pushes int, path string, nodes_expanded long"
@@ -82,6 +83,19 @@ def label(levels: DataFrame, max_nodes: int, solver: Solver = breadth_first, par
     return levels.join(found, F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
 
 
+def merged(levels: DataFrame, labels: DataFrame) -> DataFrame:
+    """LBL-1 around any solver: levels (text, ...) with status, moves and error by a label table (text, status, moves), one row a text.
+
+    Faulty texts are `invalid` with their error; `unlabelled` are the distinct texts that a solver has yet to see.
+    """
+    texts = levels.select("text").distinct().withColumn("error", parse_error(normalised(F.col("text"))))
+    valid, faulty = texts.where("error IS NULL"), texts.where("error IS NOT NULL")
+    known = valid.join(labels.select("text", "status", "moves"), "text").select("text", "status", "moves", "error")
+    missing = unlabelled(valid, labels, "text").select("text", F.lit("unlabelled").alias("status"), F.lit(None).cast("int").alias("moves"), "error")
+    found = known.unionByName(missing).unionByName(faulty.select("text", F.lit("invalid").alias("status"), F.lit(0).alias("moves"), "error"))
+    return levels.join(found.withColumnRenamed("text", "_text"), F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def replayed(texts: list[str], paths: list[str]) -> list[bool | None]:
     """Lock-step replay of all paths of one shape on boolean boards."""
     rows = [t.split("\n") for t in texts]

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridspark.functions import grid, tokens
+from gridspark.jobs import queries
 from gridspark.operators import dataset, labelling, neighbours, scoring
 from gridspark.sources import files
 
@@ -79,6 +80,24 @@ def test_labels_replay_and_statuses(spark):
     assert [r["path_ok"] for r in labelling.verified(wrong).collect()] == [False] * 3
 
 
+def test_labels_and_replay_take_whole_levels(spark):
+    d = "/root/testdata/sf0.001"
+    levels = files.table_levels(spark, d).select("id", grid.is_valid(F.col("text")).alias("valid")).collect()
+    valid = {r["id"] for r in levels if r["valid"]}
+    labels = queries.lbl1_labels(spark, d).collect()
+    assert len(labels) == len(levels) and {r["id"] for r in labels if r["status"] != "invalid"} == valid
+    assert {"solved", "unlabelled", "invalid"} <= {r["status"] for r in labels}
+    paths = queries.fn14_verified(spark, d).collect()
+    assert len(paths) == len(levels) and {r["id"] for r in paths if r["path_ok"] is not None} == valid
+
+
+def test_labels_merge_back(spark):
+    texts = [WIDE, WIDE, "#####\n#@$.#\n#####", "###\n#@#\n###", None]
+    table = spark.createDataFrame([(WIDE, "solved", 1)], "text string, status string, moves int")
+    got = labelling.merged(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), table).orderBy("i").collect()
+    assert [(r["status"], r["moves"], r["error"] is None) for r in got] == [("solved", 1, True), ("solved", 1, True), ("unlabelled", None, True), ("invalid", 0, False), ("invalid", 0, False)]
+
+
 def test_diversity_equals_the_sequential_greedy(spark):
     rng = random.Random(2)
     rows = []
