@@ -235,6 +235,12 @@ def join5_close_pairs(spark, d):
     return neighbours.close_pairs(cut(table_samples(spark, d)))
 
 
+@query
+def join5_close_links(spark, d):
+    """The same by sample, with membership and copies."""
+    return neighbours.close_links(cut(table_samples(spark, d)))
+
+
 @query
 def join6_scored(spark, d):
     return scores(spark, d).select("sample_id", "target", "valid", "status", "solved", "moves", "bucket", "novel_strict", "novel_k", "novel_exact")

@@ -63,12 +63,25 @@ def novel_k(samples: DataFrame, corpus: DataFrame, k: int = 5, symmetric: bool =
 
 
 def close_pairs(samples: DataFrame, k: int = 5) -> DataFrame:
-    """JOIN-5: pairs of distinct texts under k edits apart (a < b), by text."""
+    """JOIN-5 by text: pairs of distinct texts under k edits apart (a < b); close_links has the samples."""
     texts = samples.select("text").where("text IS NOT NULL").distinct()
     left, right = texts.withColumnRenamed("text", "ta"), texts.withColumnRenamed("text", "tb")
     return near_pairs(left, right, k, ordered=True).toDF("a", "b", "distance")
 
 
+def close_links(samples: DataFrame, k: int = 5) -> DataFrame:
+    """JOIN-5 by sample: class_id (least sample_id of the text) and links, the other samples under k edits away, copies among them.
+
+    Links are counted by class, copies are never paired; a null text has neither.
+    """
+    classes = samples.where("text IS NOT NULL").groupBy("text").agg(F.min("sample_id").alias("class_id"), F.count("*").alias("copies"))
+    pairs = close_pairs(samples, k)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("text"), F.col("b").alias("other")), F.struct(F.col("b").alias("text"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    near = both.join(classes.select(F.col("text").alias("other"), "copies"), "other").groupBy("text").agg(F.sum("copies").alias("near"))
+    links = classes.join(near, "text", "left").select(F.col("text").alias("_text"), "class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return samples.join(links, F.col("text") == F.col("_text"), "left").select("sample_id", "class_id", "links")
+
+
 def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric: bool = False) -> DataFrame:
     """JOIN-2, JOIN-3: the least edit distance of each sample to any corpus text, cap + 1 beyond the cap.
 

@@ -137,6 +137,17 @@ def test_near_pairs_find_all(spark):
     assert got == {(r["a"], r["b"]) for r in every.collect()}
 
 
+def test_close_links_count_copies(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choices("ab#", k=7)) for _ in range(12)]
+    rows = [(100 - i, rng.choice([*base, None])) for i in range(50)]
+    got = {r["sample_id"]: (r["class_id"], r["links"]) for r in neighbours.close_links(spark.createDataFrame(rows, "sample_id long, text string"), 3).collect()}
+    df = spark.createDataFrame(rows, "i long, t string")
+    near = df.crossJoin(df.toDF("j", "u")).where("i <> j").where(F.levenshtein("t", "u") < 3).groupBy("i").count()
+    links = {r["i"]: r["count"] for r in near.collect()}
+    assert got == {i: (min(j for j, u in rows if u == t), links.get(i, 0)) if t is not None else (None, None) for i, t in rows}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "004.txt").write_text("junk\n; 0\n###\n#@#\n\n; 1\n####\r\n\n#$.#\n")
     rows = files.read_levels(spark, str(tmp_path), "test").orderBy("index").collect()
