@@ -9,7 +9,8 @@ from tempfile import mkdtemp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -37,16 +38,23 @@ def row_key():
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a folder of our own only where none is set."""
+    """The checkpoint folder that the cluster names; one of our own where none is set, in local mode only."""
     context = spark.sparkContext
     now = context._jsc.sc().getCheckpointDir()
     if now.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or mkdtemp(prefix="spark-checkpoint-"))
         now = context._jsc.sc().getCheckpointDir()
     return now.get()
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one struct `row` with the columns `more` beside it, so that no name of the caller's can clash with ours."""
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint, which cuts lineage and survives lost executors.
 
@@ -165,12 +173,18 @@ def window_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours whose sizes sum to `most` at most; a larger one stands alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of a batch with about CHUNK_BYTES of text each; a longer text stands alone."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-    at = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or b"") + 1
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
-            yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-            at, size = i + 1, 0
+    """Slices of a batch with CHUNK_BYTES of text each at most; a longer text stands alone. Only a slice's texts become Python objects."""
+    texts = batch.column(column).cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1
+    for at, to in pieces(sizes, CHUNK_BYTES):
+        yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()

@@ -7,17 +7,25 @@ one cell of GRID values form a row whose key hashes the bytes that all of them h
 equal windows meet under one key. Keys are counted with map-side combine; rows of keys that
 stand once are dropped.
 
-Rows with the same bytes in and around them (their context) are one class, by the hash of the
-context beside the key's hash of the core (128 bits together); two rows in a class
+Rows with the same bytes in and around them (their context) are one class; two rows in a class
 are repeated throughout. Where a key has several classes, one context of each goes to a task by
 key, which sorts the suffixes at the window starts: prefix polynomial hashes and a binary search
 give the common extension of two suffixes, so that a comparison in the mergesort takes
 logarithmic time; neighbours with LENGTH bytes in common are verified byte by byte. Keys of more
-than GROUP classes (a passage in very many texts) are dealt out as single windows instead and
-counted by a 128-bit hash, so that no task holds such a group.
-
-Null texts are empty; texts under LENGTH bytes lose nothing. Repeated rows repeat all their
-strings. An empty table gives an empty result.
+than GROUP classes (a passage in very many texts) are dealt out as single windows instead, which
+meet by a 128-bit hash, so that no task holds such a group.
+
+What hashes alone have matched (rows of one class, windows of a frequent key) is a claim: these
+bytes equal those of the class's or window's first place. Claims of one text and shift are merged
+into runs, each run gets the bytes of its first place by a join, and the text's own task compares
+them before anything goes. Bytes that differ stop the job: no result rests on a hash collision.
+Joins on keys that many rows share have tables of one row a key on the other side, so that Spark
+can split them.
+
+Null texts are empty; texts under LENGTH bytes lose nothing. A long text comes in pieces that
+overlap. Repeated rows repeat all their strings; ties between places go to the least row key and
+place, which changes no result. An empty table gives an empty result. Only doc_id and text are
+read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +192,7 @@ MARK = "key long, full long, lo long, hi long"
 
 
 def sorted_marks(length: int):
-    """Contexts in order of key: the ranges of their windows that another context of the key repeats."""
+    """Contexts in order of key: the ranges of their windows that another context of the key repeats, where the class has no other row."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         data = b"".join(r[3] for r in rows)
@@ -197,7 +206,7 @@ def sorted_marks(length: int):
         order = np.argsort(bucket, kind="stable")
         flag = np.zeros(len(row), bool)
         flag[order] = Suffixes(data, length).repeated((at[row] + offset)[order], bucket[order])
-        lo, hi = ranges_by(flag, n)
+        lo, hi = ranges_by(flag & (np.array([r[4] for r in rows]) == 1)[row], n)
         which = np.searchsorted(np.cumsum(n), lo, side="right")
         first = np.cumsum(n) - n
         return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in which], pa.int64()) for k in range(2)] + [pa.array(lo - first[which]), pa.array(hi - first[which])], names=["key", "full", "lo", "hi"])
@@ -206,19 +215,50 @@ def sorted_marks(length: int):
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "full", "ahead", "context")]
-            for r in zip(*columns, strict=True):
-                if size > CHUNK_BYTES and r[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[3])
+            for part, context in chunks(batch, "context"):
+                columns = [part.column(c).to_pylist() for c in ("key", "full", "ahead", "c")]
+                for key, full, ahead, c, data in zip(*columns, context, strict=True):
+                    if size > CHUNK_BYTES and key != rows[-1][0]:
+                        yield solve(rows)
+                        rows, size = [], 0
+                    rows.append((key, full, ahead, data, c))
+                    size += len(data)
         if rows:
             yield solve(rows)
 
     return run
 
 
+def merged_runs(*keys: str):
+    """Rows of keys with a list of spans (lo, hi): one row for each run of spans that touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans")
+            sizes = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            lo, hi = (np.asarray(spans.flatten().field(c)) for c in ("lo", "hi"))
+            by = np.lexsort((lo, row))
+            row, lo, hi = row[by], lo[by], hi[by]
+            new = np.ones(len(row), bool)
+            # Spans of one shift are windows of equal length or rows of them: in order of lo, ends by row rise too once carried on.
+            end = carried(row, hi)
+            new[1:] = (row[1:] != row[:-1]) | (lo[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row)) - 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[first])) for k in keys), pa.array(lo[first]), pa.array(end[last])], names=[*keys, "lo", "hi"])
+
+    return run
+
+
+def carried(row: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest end so far within each row (rows ascend)."""
+    if not len(hi):
+        return hi
+    wide = int(hi.max()) + 1
+    return np.maximum.accumulate(row * wide + hi) - row * wide
+
+
 def ranges_by(flag: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of True, broken where a context ends."""
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -229,20 +269,22 @@ def ranges_by(flag: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return lo[flag[lo]], hi[flag[lo]]
 
 
+CONTEXT = "key long, full long, c long, d long, rk long, p long, ahead long, context binary"
+
+
 def contexts(length: int):
-    """Bytes of rows: docs joined with the list of their rows."""
+    """Bytes of rows: texts with the list of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch):
-                out: list[list] = [[], [], [], [], []]
-                for x, wanted in zip(texts, rows.column("rows").to_pylist(), strict=True):
-                    for r in wanted:
-                        c = x[r["p"] : r["p"] + r["n"] - 1 + length]
-                        for column, v in zip(out, (r["key"], r["full"], r["c"], r["d"], c), strict=True):
-                            column.append(v)
-                ahead = [anchor_of(c, length) for c in out[4]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(ahead, pa.int64()), pa.array(out[4], pa.binary())], names=["key", "full", "c", "d", "ahead", "context"])
+                for rk, x, wanted in zip(rows.column("rk").to_pylist(), texts, rows.column("rows").to_pylist(), strict=True):
+                    # A row is LENGTH + GRID bytes at most; a text's rows come in slices of about CHUNK_BYTES.
+                    for k in range(0, len(wanted), CHUNK_BYTES // (length + GRID)):
+                        part = wanted[k : k + CHUNK_BYTES // (length + GRID)]
+                        context = [x[r["p"] : r["p"] + r["n"] - 1 + length] for r in part]
+                        longs = [[r[c] for r in part] for c in ("key", "full", "c", "d")] + [[rk] * len(part), [r["p"] for r in part], [anchor_of(c, length) for c in context]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in longs), pa.array(context, pa.binary())], names=[c.split()[0] for c in CONTEXT.split(", ")])
 
     return run
 
@@ -261,24 +303,28 @@ def window_hashes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(c) for c in ("key", "full", "c")]
-            for i, c in enumerate(batch.column("context").to_pylist()):
-                raw = np.frombuffer(c, np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                prefix, back = prefix_hash(raw), inverse_powers(len(raw) + 1)
-                other, other_back = second_hash(raw)
-                a = mix(span_hash(prefix, at, at + length, back)).view(np.int64)
-                b = mix((other[at + length] - other[at]) * other_back[at]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(np.full(len(at), i))) for k in keys), pa.array(at), pa.array(a), pa.array(b)], names=["key", "full", "c", "at", "a", "b"])
+            for part, context in chunks(batch, "context"):
+                keys = [part.column(c) for c in ("key", "full", "c", "rk", "p")]
+                for i, c in enumerate(context):
+                    raw = np.frombuffer(c, np.uint8)
+                    at = np.arange(len(raw) - length + 1)
+                    prefix, back = prefix_hash(raw), inverse_powers(len(raw) + 1)
+                    other, other_back = second_hash(raw)
+                    a = mix(span_hash(prefix, at, at + length, back)).view(np.int64)
+                    b = mix((other[at + length] - other[at]) * other_back[at]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(k.take(pa.array(np.full(len(at), i))) for k in keys), pa.array(at), pa.array(a), pa.array(b)], names=["key", "full", "c", "rk", "p", "at", "a", "b"])
 
     return run
 
 
 def removed(texts: list[bytes | None], marks: list[list | None]) -> Iterator[tuple[bytes, int, int]]:
-    """(rest, removed bytes, removed runs) of each text."""
+    """(rest, removed bytes, removed runs) of each text, once the bytes that come with a mark are found in it."""
     for x, spans in zip(texts, marks, strict=True):
         x, rest, end, runs = x or b"", [], -1, 0
-        for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or []):
+        for s in sorted(spans or [], key=lambda s: (s["lo"], s["hi"])):
+            lo, hi, proof = s["lo"], s["hi"], s["proof"]
+            if proof is not None and x[lo:hi] != proof:
+                raise RuntimeError("two strings of one hash differ: nothing was removed")
             if lo > end:  # ranges that touch are one run
                 rest.append(x[max(end, 0) : lo])
                 runs += 1
@@ -289,25 +335,38 @@ def removed(texts: list[bytes | None], marks: list[list | None]) -> Iterator[tup
 
 
 def spans_of(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """rk, marks array<struct<lo, hi>>: byte ranges to remove of rows with any; docs (rk, text)."""
+    """rk, marks array<struct<lo, hi, proof>>: byte ranges to remove of rows with any; docs (rk, text)."""
     rows = docs.select("rk", "text").where(F.octet_length("text") >= length).mapInArrow(all_cells(length), "rk long, p long, n long, key long, full long")
-    shared = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
     near = cut(rows.join(shared, "key"))
     classes = near.groupBy("key", "full").agg(F.count("*").alias("c"), F.min(F.struct("rk", "p", "n")).alias("r"))
     classes = cut(classes.select("key", "full", "c", "r.*"))
-    several = classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
+    several = cut(classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
+    # Texts that a class begins in: its contexts and the bytes of claims come from them.
+    sources = cut(docs.select("rk", "text").join(classes.select("rk").distinct(), "rk", "left_semi").dropDuplicates(["rk"]))
     wanted = classes.join(several, "key").groupBy("rk").agg(F.collect_list(F.struct("key", "full", "c", "d", "p", "n")).alias("rows"))
-    texts = docs.select("rk", "text").join(wanted, "rk").dropDuplicates(["rk"])
-    context = cut(texts.mapInArrow(contexts(length), "key long, full long, c long, d long, ahead long, context binary"))
-
-    whole = classes.where("c > 1").select("key", "full", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
-    some = context.where(F.col("d") <= group).repartition("key").sortWithinPartitions("key").mapInArrow(sorted_marks(length), MARK)
-    single = context.where(F.col("d") > group).mapInArrow(window_hashes(length), "key long, full long, c long, at long, a long, b long")
-    again = single.groupBy("a", "b").agg(F.sum("c").alias("k")).where("k > 1").select("a", "b")
-    hot = single.join(again, ["a", "b"]).select("key", "full", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    context = cut(sources.join(wanted, "rk").select("rk", "text", "rows").mapInArrow(contexts(length), CONTEXT))
+
+    # Marks of a class's windows lo to hi: proven, or equal to those from place p0 of text rk0.
+    none = F.lit(None).cast("long")
+    whole = classes.where("c > 1").select("key", "full", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), F.col("rk").alias("rk0"), F.col("p").alias("p0"))
+    some = context.where(F.col("d") <= group).repartition("key").sortWithinPartitions("key").mapInArrow(sorted_marks(length), MARK).withColumns({"rk0": none, "p0": none})
+    single = context.where(F.col("d") > group).mapInArrow(window_hashes(length), "key long, full long, c long, rk long, p long, at long, a long, b long")
+    again = single.groupBy("a", "b").agg(F.sum("c").alias("k"), F.min(F.struct("rk", (F.col("p") + F.col("at")).alias("q"))).alias("r")).where("k > 1")
+    again = cut(again.select("a", "b", F.col("r.rk").alias("rk0"), F.col("r.q").alias("q")))
+    hot = single.where("c = 1").join(again, ["a", "b"]).groupBy("key", "full", "rk0", (F.col("q") - F.col("at")).alias("p0")).agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))).alias("spans"))
+    hot = hot.mapInArrow(merged_runs("key", "full", "rk0", "p0"), "key long, full long, rk0 long, p0 long, lo long, hi long")
     marks = whole.unionByName(some).unionByName(hot)
-    placed = near.join(marks, ["key", "full"]).select("rk", (F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi") - 1 + length).alias("hi"))
-    return placed.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    at = {"lo": F.col("p") + F.col("lo"), "hi": F.col("p") + F.col("hi") - 1 + length, "shift": F.col("p0") - F.col("p")}
+    placed = cut(near.join(marks, ["key", "full"]).select("rk", "rk0", *(c.alias(n) for n, c in at.items())))
+
+    claim = F.col("rk0").isNotNull() & ~((F.col("rk") == F.col("rk0")) & (F.col("shift") == 0))
+    runs = placed.where(claim).groupBy("rk", "rk0", "shift").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    runs = runs.mapInArrow(merged_runs("rk", "rk0", "shift"), "rk long, rk0 long, shift long, lo long, hi long")
+    first = sources.select(F.col("rk").alias("rk0"), F.col("text").cast("binary").alias("data"))
+    claims = runs.join(first, "rk0").select("rk", "lo", "hi", F.substring("data", (F.col("lo") + F.col("shift") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("proof"))
+    proven = placed.where(~claim).select("rk", "lo", "hi", F.lit(None).cast("binary").alias("proof")).distinct()
+    return claims.unionByName(proven).groupBy("rk").agg(F.collect_list(F.struct("lo", "hi", "proof")).alias("marks"))
 
 
 def digests(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -316,11 +375,9 @@ def digests(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch):
-                got = list(removed(texts, rows.column("marks").to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
+                got = [(len(x or b""), n, k, hashlib.sha256(kept).hexdigest()) for x, (kept, n, k) in zip(texts, removed(texts, rows.column("marks").to_pylist()), strict=True)]
+                columns = [pa.array([g[k] for g in got], pa.int64() if k < 3 else pa.string()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     keyed = docs.select("doc_id", "text", row_key().alias("rk"))
     return keyed.join(spans_of(keyed, length, group), "rk", "left").select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
