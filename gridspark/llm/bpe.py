@@ -5,7 +5,9 @@ negative rank and normalisation is the identity, so that sentencepiece merges th
 rank first, leftmost on ties. Pre-tokens are encoded separately; one that is an entry itself is
 that entry. Decoding maps ids back to bytes.
 
-Null texts are empty and have no ids. Equal texts get equal results; an empty table gives none.
+Null texts are empty and have no ids. Equal texts get equal results; an empty table gives none. A
+text is encoded whole, however long; a worker holds the slice of texts at hand and KEPT_BYTES of
+known pre-tokens at most. Two pairs of one rank in a pre-token are merged from the left.
 """
 
 from __future__ import annotations
@@ -18,18 +20,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as spm
 
-from gridspark.llm.common import chunks
+from gridspark.llm.common import chunks, pieces
 
 #: Code point of byte 0; all 256 are letters without case, marks or forms of normalisation.
 FIRST = 0x4E00
-#: Pre-tokens kept with their ids in one worker, beside those of the text at hand.
-KEPT = 400_000
+#: Bytes of pre-tokens kept with their ids in one worker, beside those of the text at hand; each counts ENTRY more for its objects.
+KEPT_BYTES, ENTRY = 64_000_000, 250
+#: Ids decoded at once.
+CHUNK_IDS = 500_000
 
 
 def mapped(data: bytes) -> str:
@@ -84,6 +89,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(self.ranks))
         self.find, self.find_narrow = regex.compile(pattern).findall, narrow(pattern).findall
         self.kept: dict[str, str] = {}
+        self.kept_bytes = 0
 
     def learn(self, new: list[str]) -> None:
         """Keep the ids of pre-tokens, each followed by a comma."""
@@ -97,6 +103,7 @@ class Codec:
         got = self.model.encode([mapped(x.encode()) for x in rest], num_threads=1) if rest else []
         for x, ids in zip(rest, got, strict=True):
             self.kept[x] = "".join([f"{i - 1}," for i in ids])
+        self.kept_bytes += sum(len(x) + len(self.kept[x]) + ENTRY for x in new)
 
     def written(self, text: str) -> str:
         """The ids of a text in decimal, joined by commas."""
@@ -107,8 +114,9 @@ class Codec:
             pre = self.find(text)
         kept = self.kept
         if new := [x for x in set(pre) if x not in kept]:
-            if len(kept) + len(new) > KEPT:
+            if self.kept_bytes > KEPT_BYTES:
                 kept.clear()
+                self.kept_bytes = 0
                 new = list(set(pre))
             self.learn(new)
         return "".join([kept[x] for x in pre])[:-1]
@@ -150,30 +158,51 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """Lists of ids as one Arrow array, without a Python object for each id."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of docs with `ids` array<int> after them; a null text has no ids."""
+    """All columns of docs with `ids` array<int> after them (in place of a column ids that docs has); a null text has no ids."""
+    docs = docs.drop("ids")
     schema = docs.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             for rows, texts in chunks(batch):
-                ids = pa.array([c.encode((x or b"").decode()) for x in texts], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*schema, "ids"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, id_lists([c.encode((x or b"").decode()) for x in texts])], names=[*schema, "ids"])
 
-    if "ids" in schema:
-        raise ValueError("docs already has a column ids")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """tokens (ids) with `bytes` binary, what the ids stand for."""
-    schema = [x for x in tokens.columns if x != "ids"]
+    """tokens (ids array<int>) with `bytes` binary, what the ids stand for, in place of ids; no ids stand for no bytes."""
+    schema = [x for x in tokens.columns if x not in ("ids", "bytes")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            for at, to in pieces(sizes, CHUNK_IDS):
+                ids = batch.column("ids").slice(at, to - at).flatten().to_numpy()
+                ends = np.cumsum(np.append(0, c.size[ids]))[np.cumsum(np.append(0, sizes[at:to]))]
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(c.decode(ids))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(at, to - at) for x in schema), data.cast(pa.binary())], names=[*schema, "bytes"])
+
+    return tokens.select(*schema, "ids").mapInArrow(run, T.StructType([*tokens.select(schema).schema.fields, T.StructField("bytes", T.BinaryType())]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, text, n_tokens, ids, round_trip: each text encoded, and whether its ids decode to it, in one pass over docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            data = pa.array([c.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in schema), data], names=[*schema, "bytes"])
+            for rows, texts in chunks(batch):
+                ids = [c.encode((x or b"").decode()) for x in texts]
+                same = [c.decode(x) == (t or b"") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array([len(x) for x in ids], pa.int64()), id_lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "text", "n_tokens", "ids", "round_trip"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.select(schema).schema.fields, T.StructField("bytes", T.BinaryType())]))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n_tokens long, ids array<int>, round_trip boolean")
