@@ -18,7 +18,10 @@ within the join, full sets of words after it.
 
 Null or wordless texts have no shingles and link with nothing. Repeated rows are copies.
 A null doc_id never names a component unless all of the component's ids are null; such a row is not kept
-if another row of its component has an id. An empty table gives an empty result.
+if another row of its component has an id. An empty table gives an empty result. Long texts are read
+whole, a slice of texts at a time. Of classes that tie for a pivot or a hub the greatest or least
+hash is taken; which one it is changes the work, never the links. Further columns of docs, whatever
+their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import BLANKS, U64, chunks, components, cut, mix, row_key, window_hash, words_of
+from gridspark.llm.common import BLANKS, U64, chunks, components, cut, mix, packed, row_key, window_hash, words_of
 
 MISS = 1e-6
 #: 64-bit words of shingle parities a class carries.
@@ -206,8 +209,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     The row that stays is the first by id (null ids last), then by content, even where rows repeat.
     """
     found = near_duplicates(docs, shingle, percent)
-    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("_best"))
-    keyed = docs.withColumn("_rk", row_key())
+    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("best"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = keyed.where(~blank).join(best, F.col("_rk") == F.col("_best"), "left_semi").dropDuplicates(["_rk"])
-    return one.unionByName(keyed.where(blank)).select(docs.columns)
+    keyed = packed(docs, row_key().alias("rk"), blank.alias("blank"))
+    one = keyed.where("NOT blank").join(best, F.col("rk") == F.col("best"), "left_semi").dropDuplicates(["rk"])
+    return one.unionByName(keyed.where("blank")).select("row.*")

@@ -1,12 +1,16 @@
 """Quality rules as a short-circuit cascade of column expressions.
 
-Every rule rejects by a boolean expression. On a sample of whole texts each rule's share of
-rejections and its cost (characters or words its expressions walk, weighted) are estimated;
-rules run in order of rejections per cost inside one CASE, so that a text which a cheap rule
-rejects never reaches a dear one. The order changes the work and `rejected_by`, never the verdict.
-
-Null and blank texts have no words, fail `words` and go. Repeated rows are judged alike; an
-empty table gives an empty result with the rules in their written order.
+Every rule rejects by a boolean expression. A sample of whole texts, drawn in place from all
+partitions, gives each rule's share of rejections and its cost in nanoseconds, by a clock read
+before and after the rule's own expressions. Rules run in order of rejections per cost inside one
+CASE that holds those expressions, so that a text which a cheap rule rejects never reaches a dear
+one. The order changes the work and `rejected_by`, never the verdict; of rules of one value the
+cheaper goes first, then the first by name. `quality` returns the base measures of every text, so
+rules find these ready and only the others are taken inside the CASE; `good` takes all there.
+
+Null and blank texts have no words, fail `words` and go. A long text is measured whole. Repeated
+rows are judged alike; an empty table gives an empty result with the rules in their written order.
+Further columns of docs, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import packed
+
 #: Rows, in expectation, of the sample that orders the rules.
 SAMPLE_ROWS = 2000
 WORD_END = r"[\x20\x09-\x0D]+"
@@ -59,29 +65,29 @@ def repeat_words(all_words: Column, n: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where `rejects(m)` holds for the measures m; walks `chars` a character and `per_word` a word."""
+    """Rejects where `rejects(m)` holds for the measures m."""
 
     name: str
     rejects: Callable[[Mapping[str, Column]], Column]
-    chars: float = 0.0
-    per_word: float = 0.0
 
 
-#: The two first make base_failed. Costs are in nanoseconds as measured on one core.
+#: The two first make base_failed.
 RULES = (
-    Rule("words", lambda m: m["n_words"] < 10, 1),
-    Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"], 1, 900),
-    Rule("symbols", lambda m: m["n_symbols"] > 0.2 * m["n_words"], 12),
-    Rule("shouting", lambda m: m["n_exclaims"] > 0.5 * m["n_words"], 12),
-    Rule("stutter", lambda m: m["n_stutters"] > 0.3 * m["n_words"], 1, 150),
-    Rule("lines", lambda m: (m["n_dup_lines"] > 3) & (100 * m["n_dup_lines"] > 30 * m["n_lines"]), 8),
-    Rule("word_length", lambda m: (m["word_chars"] > 25 * m["n_words"]) | (m["word_chars"] < 1.5 * m["n_words"]), 1, 15),
+    Rule("words", lambda m: m["n_words"] < 10),
+    Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbols", lambda m: m["n_symbols"] > 0.2 * m["n_words"]),
+    Rule("shouting", lambda m: m["n_exclaims"] > 0.5 * m["n_words"]),
+    Rule("stutter", lambda m: m["n_stutters"] > 0.3 * m["n_words"]),
+    Rule("lines", lambda m: (m["n_dup_lines"] > 3) & (100 * m["n_dup_lines"] > 30 * m["n_lines"])),
+    Rule("word_length", lambda m: (m["word_chars"] > 25 * m["n_words"]) | (m["word_chars"] < 1.5 * m["n_words"])),
 )
+#: Measures that `quality` returns of every text.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures() -> dict[str, Column]:
-    """All measures as expressions over the columns text and _w, its words."""
-    text, w = F.coalesce("text", F.lit("")), F.col("_w")
+    """All measures as expressions over the columns text and w, its words."""
+    text, w = F.coalesce("text", F.lit("")), F.col("w")
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -94,23 +100,33 @@ def measures() -> dict[str, Column]:
     }
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """docs with _w. A generated row keeps the words from being evaluated again by each measure."""
-    return docs.withColumn("_w", F.explode(F.array(words(F.col("text")))))
+def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
+    """text, its words w and the columns `keep`. A generated row keeps the words from being evaluated again by each measure."""
+    return docs.select(*keep, "text", F.explode(F.array(words(F.col("text")))).alias("w"))
 
 
-def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Rules by rejections per cost over a sample of about `sample_rows` whole rows from all partitions."""
+def given(rows: DataFrame, ready: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with the measures `ready` as columns, and all measures: those columns, or expressions yet to be taken."""
     m = measures()
+    return rows.select("*", *(m[k].alias(k) for k in ready)), {k: F.col(k) if k in ready else c for k, c in m.items()}
+
+
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ready: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """Rules by rejections per cost over a sample of about `sample_rows` whole rows from all partitions."""
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = with_words(docs.select("text").sample(share, seed=2)).select(*(c.alias(k) for k, c in m.items()))
-    named = {k: F.col(k) for k in m}
-    shares = [F.avg(r.rejects(named).cast("double")).alias(r.name) for r in rules]
-    got = sample.agg(F.avg("word_chars").alias("_chars"), F.avg("n_words").alias("_words"), *shares).first()
-    if got["_chars"] is None:
+    rows, m = given(with_words(docs.select("text").sample(share, seed=2)), ready)
+    # Columns of one projection are evaluated from left to right: the clock, a rule, the clock, and so on.
+    clock = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+    columns = [clock.alias("t0")]
+    for i, r in enumerate(rules):
+        columns += [F.coalesce(r.rejects(m), F.lit(False)).cast("double").alias(f"r{i}"), clock.alias(f"t{i + 1}")]
+    figures = (x for i in range(len(rules)) for x in (F.avg(f"r{i}").alias(f"share{i}"), F.avg(F.col(f"t{i + 1}") - F.col(f"t{i}")).alias(f"cost{i}")))
+    got = rows.select(*columns).agg(F.count("*").alias("n"), *figures).first()
+    if not got["n"]:
         return rules
-    value = lambda r: (got[r.name] or 0) / (1 + r.chars * got["_chars"] + r.per_word * got["_words"])
-    return tuple(sorted(rules, key=lambda r: (-value(r), r.chars + r.per_word, r.name)))
+    cost = {r.name: max(1.0, got[f"cost{i}"]) for i, r in enumerate(rules)}
+    value = {r.name: got[f"share{i}"] / cost[r.name] for i, r in enumerate(rules)}
+    return tuple(sorted(rules, key=lambda r: (-value[r.name], cost[r.name], r.name)))
 
 
 def cascade(rules: tuple[Rule, ...], m: Mapping[str, Column]) -> Column:
@@ -121,16 +137,15 @@ def cascade(rules: tuple[Rule, ...], m: Mapping[str, Column]) -> Column:
     return out
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """All measures with the verdict: doc_id, n_words, ..., base_failed, kept, rejected_by."""
-    rules, m = ordered_rules(docs), measures()
-    rows = with_words(docs.select("doc_id", "text")).select("doc_id", *(c.alias(k) for k, c in m.items()))
-    named = {k: F.col(k) for k in m}
-    base = RULES[0].rejects(named) | RULES[1].rejects(named)
-    rows = rows.withColumn("rejected_by", cascade(rules, named))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The base measures with the verdict: doc_id, n_words, ..., base_failed, kept, rejected_by."""
+    rows, m = given(with_words(docs, F.col("doc_id")), BASE)
+    base = RULES[0].rejects(m) | RULES[1].rejects(m)
+    rows = rows.select("doc_id", *BASE, base.alias("base_failed"), cascade(ordered_rules(docs, rules, BASE), m).alias("rejected_by"))
+    return rows.select("doc_id", *BASE, "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
-def good(docs: DataFrame) -> DataFrame:
+def good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that no rule rejects; measures are taken inside the CASE, rule by rule."""
-    return with_words(docs).where(cascade(ordered_rules(docs), measures()).isNull()).select(docs.columns)
+    rows = with_words(packed(docs, F.col("text")), F.col("row"))
+    return rows.where(cascade(ordered_rules(docs, rules), measures()).isNull()).select("row.*")
