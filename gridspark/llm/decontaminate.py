@@ -1,17 +1,22 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with document words.
 
-A window is WINDOW neighbouring words of an item, or all words of a shorter item. The words of
-the benchmark are ranked by how rare they are in all documents. A window's prefix is its rarest
-word: a document holds the window only if it holds that word, at the window's offset of it. So
-document words are looked up among the prefix words alone; bounds on place and length come
+A window is WINDOW neighbouring words of an item, or all words of a shorter item. Words are ranked
+by how rare they are in all documents. A window's prefix is its rarest word, the first of equally
+rare ones: a document holds the window only if it holds that word, at the window's offset of it.
+So document words are looked up among the prefix words alone; bounds on place and length come
 next, then a hash of the whole window, then its words themselves.
 
-The benchmark's index is broadcast when its windows number INDEX_WINDOWS at most, which is
-checked; a larger benchmark goes through a shuffled join on window hashes with the same result.
+Where the benchmark has INDEX_BYTES of text at most, which is checked, its index is broadcast and
+documents are read in place. A larger one goes the same way by shuffles: words are ranked in a
+table, the windows' prefix words are posted with their windows, document words that may be prefix
+words (by a bit map of fixed size) are posted with their neighbours, both meet by the word, and
+bounds and words are compared in the join.
 
 Null or wordless texts have no words and no hits; such items have no windows. Items with equal
 texts or repeated ids: an item_id counts once. Null item_ids are left out. The sha256 of a clean
-document is that of no bytes. Repeated documents are judged row by row.
+document is that of no bytes. Repeated documents are judged row by row; long ones are read whole, a
+slice of texts at a time. Empty tables give an empty result, or clean documents. Further columns
+of docs, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -24,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import NOT_ALNUM, U64, chunks, powers, row_key, words_of
+from gridspark.llm.common import NOT_ALNUM, U64, chunks, cut, packed, powers, words_of
 
-WINDOW, INDEX_WINDOWS = 10, 1_000_000
+WINDOW, INDEX_BYTES = 10, 4_000_000
+#: Bits of the map of prefix words (2 MB), whatever their number.
+MAP_BITS = 1 << 24
 _STEP = U64(0xD6E8FEB86659FD93)
 _BACK = U64(pow(int(_STEP), -1, 1 << 64))
 
@@ -121,22 +128,20 @@ def frequencies(docs: DataFrame, hashes: list[int]) -> dict[int, int]:
     return {r["h"] % (1 << 64): r["n"] for r in rows}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, index_windows: int = INDEX_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text)."""
-    return judged(docs.select("doc_id", "text"), benchmark, index_windows)
+    found = judged(docs.select("text", F.struct("doc_id").alias("row")), benchmark, index_bytes)
+    return found.select("row.doc_id", *(c.split()[0] for c in SCHEMA.split(", ")))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, index_windows: int = INDEX_WINDOWS, prefix: str = "") -> DataFrame:
-    """The columns of docs but `text`, then those of SCHEMA with `prefix` before their names."""
+def judged(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """docs (text, row) without the text, with the columns of SCHEMA."""
     items = items_of(benchmark)
-    # No item has more windows than characters.
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > index_windows:
-        return joined(docs, items, prefix)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > index_bytes:
+        return joined(docs, items)
     rows = [(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()]
     vocabulary = sorted({int(h) for h in words_of([t.encode() for _, t in rows], NOT_ALNUM).hash})
     shared = docs.sparkSession.sparkContext.broadcast(Index(rows, frequencies(docs, vocabulary)))
-    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -154,57 +159,90 @@ def judged(docs: DataFrame, benchmark: DataFrame, index_windows: int = INDEX_WIN
                     found.setdefault(d, set()).add(index.names[i])
                 names = [found.get(d, set()) for d in range(len(texts))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in rest), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([digest(x) for x in names], pa.string()), pa.array(n_hit > 0)],
-                    names=[*rest, *(prefix + x.split()[0] for x in SCHEMA.split(", "))],
+                    [part.column("row"), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([digest(x) for x in names], pa.string()), pa.array(n_hit > 0)],
+                    names=["row", *(x.split()[0] for x in SCHEMA.split(", "))],
                 )
 
-    schema = docs.select(rest).schema
+    schema = docs.select("row").schema
     for c in SCHEMA.split(", "):
-        schema = schema.add(prefix + c.split()[0], c.split()[1])
-    return docs.mapInArrow(run, schema)
+        schema = schema.add(*c.split())
+    return docs.select("text", "row").mapInArrow(run, schema)
 
 
-def joined(docs: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
-    """The same for a benchmark of any size: document windows and item windows meet in a shuffled join."""
+def bit_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which bits the hashes h of a task set, as rows of 64 bits each: at most MAP_BITS / 64."""
+    bits = np.zeros(MAP_BITS, bool)
+    for batch in batches:
+        bits[bit_of(batch.column("h").to_numpy())] = True
+    words = np.packbits(bits, bitorder="little").view(np.int64)
+    used = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["k", "bits"])
+
+
+def bit_of(h: np.ndarray) -> np.ndarray:
+    return (h.view(U64) & U64(MAP_BITS - 1)).astype(np.int64)
+
+
+def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for a benchmark of any size: prefix words of windows and words of documents meet in a shuffled join."""
+    context = docs.sparkSession.sparkContext
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
                 w, item, start, size = windows(texts)
-                prefix, back = rolling(w.hash)
-                h = (prefix[start + size] - prefix[start]) * back[start]
-                words = [" ".join(w.word(k).decode() for k in range(s, s + n)) for s, n in zip(start, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(item)), pa.array(size), pa.array(h.view(np.int64)), pa.array(words, pa.string())], names=["item_id", "size", "h", "words"])
+                words = [[w.word(k).decode() for k in range(s, s + n)] for s, n in zip(start, size, strict=True)]
+                hashes = [w.hash[s : s + n].view(np.int64) for s, n in zip(start, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(item)), pa.array(words, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["item_id", "words", "hashes"])
 
-    found = items.mapInArrow(of_items, "item_id string, size long, h long, words string").distinct()
-    sizes = [r["size"] for r in found.select("size").distinct().collect()]  # WINDOW values at most
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in chunks(batch):
+                h, n = np.unique(words_of(texts, NOT_ALNUM).hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    # Windows once each, with the items that have them.
+    found = items.mapInArrow(of_items, "item_id string, words array<string>, hashes array<long>").groupBy("words").agg(F.first("hashes").alias("hashes"), F.collect_set("item_id").alias("items"))
+    found = cut(found.withColumn("id", F.xxhash64("words")))
+    frequency = docs.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    placed = found.select("id", "words", F.posexplode("hashes").alias("offset", "h")).join(frequency, "h", "left")
+    rarest = placed.groupBy("id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "h")).alias("r"))
+    prefix = cut(rarest.join(found.select("id", "words", "items"), ["id", "words"]).select(F.col("r.h").alias("h"), "r.offset", "words", "items"))
+    got = prefix.select("h").distinct().mapInArrow(bit_map, "k long, bits long").groupBy("k").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[got.column("k").to_numpy()] = got.column("bits").to_numpy()
+    shared = context.broadcast(bits)
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             for part, texts in chunks(batch):
                 w = words_of(texts, NOT_ALNUM)
-                prefix, back = rolling(w.hash)
-                for n in sizes:
-                    start = np.arange(max(0, len(w.hash) - n + 1))
-                    start = start[w.doc[start] == w.doc[start + n - 1]]
-                    h = (prefix[start + n] - prefix[start]) * back[start]
-                    words = [" ".join(w.word(k).decode() for k in range(s, s + n)) for s in start]
-                    yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(w.doc[start])), pa.array(start - w.first[w.doc[start]]), pa.array(np.full(len(start), n)), pa.array(h.view(np.int64)), pa.array(words, pa.string())], names=["rk", "at", "size", "h", "words"])
-
-    keyed = docs.withColumn("_rk", row_key())
-    places = keyed.select(F.col("_rk").alias("rk"), "text").mapInArrow(of_docs, "rk long, at long, size long, h long, words string")
-    hits = places.join(found, ["h", "size", "words"]).select("rk", "item_id", "at", "size").distinct()
-    named = hits.select("rk", "item_id").distinct().groupBy(F.col("rk").alias("rk_n")).agg(F.sort_array(F.collect_list("item_id")).alias("names"))
-    spans = hits.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("k")).distinct().groupBy(F.col("rk").alias("rk_s")).agg(F.count("*").alias("n_hit"))
+                at = np.flatnonzero(known[bit_of(w.hash.view(np.int64))])
+                for k in range(0, len(at), 20_000):
+                    some = at[k : k + 20_000]
+                    lo, hi = np.maximum(some - WINDOW + 1, w.first[w.doc[some]]), np.minimum(some + WINDOW, w.first[w.doc[some] + 1])
+                    near = [[w.word(x).decode() for x in range(a, b)] for a, b in zip(lo, hi, strict=True)]
+                    columns = [part.column("rk").take(pa.array(w.doc[some])), pa.array(some - w.first[w.doc[some]]), pa.array(some - lo), pa.array(w.hash[some].view(np.int64)), pa.array(near, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rk", "at", "ahead", "h", "near"])
+
+    keyed = docs.select("row", "text", F.md5("text").alias("rk"))
+    # One row a text is enough: equal texts have equal hits.
+    texts = keyed.where("text IS NOT NULL").select("rk", "text").dropDuplicates(["rk"])
+    places = texts.mapInArrow(of_docs, "rk string, at long, ahead long, h long, near array<string>")
+    start, size = F.col("ahead") - F.col("offset"), F.size("words")
+    fits = (start >= 0) & (start + size <= F.size("near"))
+    hits = places.join(prefix, "h").where(fits & (F.slice("near", F.greatest(start + 1, F.lit(1)).cast("int"), size) == F.col("words")))
+    hits = cut(hits.select("rk", (F.col("at") - F.col("offset")).alias("at"), size.alias("size"), "items"))
+    named = hits.select("rk", F.explode("items").alias("item")).distinct().groupBy(F.col("rk").alias("rk_n")).agg(F.sort_array(F.collect_list("item")).alias("names"))
+    spans = hits.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("k")).distinct().groupBy(F.col("rk").alias("rk_s")).agg(F.count("*").alias("hit"))
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    rest = [keyed[c] for c in docs.columns if c != "text"]
-    out = keyed.join(named, F.col("_rk") == F.col("rk_n"), "left").join(spans, F.col("_rk") == F.col("rk_s"), "left")
-    made = (words, zero(spans["n_hit"]), zero(F.array_size(named["names"])), F.sha2(F.coalesce(F.array_join(named["names"], ","), F.lit("")), 256), zero(spans["n_hit"]) > 0)
-    return out.select(*rest, *(c.alias(prefix + x.split()[0]) for c, x in zip(made, SCHEMA.split(", "), strict=True)))
+    out = keyed.join(named, F.col("rk") == F.col("rk_n"), "left").join(spans, F.col("rk") == F.col("rk_s"), "left")
+    made = (words, zero(F.col("hit")), zero(F.array_size("names")), F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256), zero(F.col("hit")) > 0)
+    return out.select("row", *(c.alias(x.split()[0]) for c, x in zip(made, SCHEMA.split(", "), strict=True)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs without a word inside a benchmark window."""
-    marked = judged(docs.withColumn("_text", F.col("text")), benchmark, prefix="_bench_").where(~F.col("_bench_contaminated"))
-    return marked.withColumn("text", F.col("_text")).select(docs.columns)
+    return judged(packed(docs, F.col("text")), benchmark, index_bytes).where("NOT contaminated").select("row.*")
