@@ -1,25 +1,39 @@
 """Licence scans by a positional index of rare licence words, as column expressions.
 
-Words of all templates are counted over all documents. Each template is looked up by its
-RARE words of highest IDF: the places where a text holds them, less the word's offset in the
-template, are intersected; every start that is left is verified against the whole phrase.
-The index of a text holds only places of such rare words, so most texts stop at one overlap test.
+Words of all templates are counted over all documents; the rarer, the higher their IDF. Phrases
+(names of licences, key phrases) are looked up by their RARE words of highest IDF: the places
+where a text holds them, less the word's offset in the phrase, are intersected; every start that
+is left is verified against the whole phrase.
+
+Licence texts are looked up by their ANCHORS words of highest IDF, each once at its first place:
+postings list the texts and places of a word. Every such word of a document votes for a licence
+text at its own place less the word's; where a licence text has the votes of half its anchors at
+one place, its mandatory key phrases must stand there too, at most SLACK words off.
+
+The index of a document holds only places of such rare words, so most documents stop at one
+overlap test. A phrase with a mandatory key phrase counts only where that stands in the document
+too. The score is 0 without a template; else 0.5 to 1 by the IDF mass of the strongest phrase found,
+0.75 for a licence text, 1 for one with all its anchors.
 
-A template with a mandatory key phrase counts only where that stands in the text too. The score
-is 0 without a template; else 0.5 to 1 by the IDF mass of the strongest one that was found.
 Null texts are empty: no words, no places, null first and last, empty labels. Repeated rows are
-scanned alike; an empty table gives an empty result.
+scanned alike; words of one IDF go by name. A long document is scanned whole; its votes are sorted,
+so work grows with its licence words but for a logarithm. An empty table gives an empty result. Only
+doc_id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RARE = 2
+from gridspark.llm.license_texts import TEXTS, Text
+
+RARE, ANCHORS, SLACK = 2, 12, 20
 WORD_END = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +77,11 @@ TEMPLATES = (
 )
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)` with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WORD_END), "")
 
@@ -76,15 +95,30 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int],
     return got, got.get("", 0)
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def words_of_text(text: str) -> list[str]:
+    return [w for w in re.split(WORD_END, "".join(c.lower() if c in UPPER else c for c in text)) if w]
+
+
+def anchors(text: str, idf: dict[str, float]) -> dict[str, int]:
+    """The first places of a text's ANCHORS words of highest IDF."""
+    all_words = words_of_text(text)
+    return {w: all_words.index(w) for w in sorted(set(all_words), key=lambda w: (-idf[w], w))[:ANCHORS]}
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, texts: tuple[Text, ...] = TEXTS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
-    phrases = {t.phrase for t in templates} | {t.mandatory for t in templates if t.mandatory}
-    vocabulary = sorted({w for p in phrases for w in p.split()})
+    phrases = {t.phrase for t in templates} | {t.mandatory for t in templates if t.mandatory} | {p for t in texts for p in t.mandatory}
+    vocabulary = sorted({w for p in phrases for w in p.split()} | {w for t in texts for w in words_of_text(t.text)})
     df, total = frequencies(docs, vocabulary)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     rare = {p: sorted(set(p.split()), key=lambda w: (-idf[w], w))[:RARE] for p in phrases}
-    posted = sorted({w for r in rare.values() for w in r})
-    keys = F.array(*(F.lit(rare[p][0]) for p in sorted(phrases)))
+    places_of = [anchors(t.text, idf) for t in texts]
+    posted = sorted({w for r in rare.values() for w in r} | {w for a in places_of for w in a})
+    # A phrase needs its rarest word; a licence text has a mandatory phrase.
+    keys = F.array(*(F.lit(x) for x in sorted({rare[p][0] for p in phrases})))
+    anchored = sorted({w for a in places_of for w in a})
+    postings = F.create_map(*(x for w in anchored for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a[w]).alias("k")) for t, a in enumerate(places_of) if w in a)))))
+    half, every = (F.array(*(F.lit(f(len(a))) for a in places_of)) for f in (lambda n: -(-n // 2), lambda n: n))
 
     def less(at: Column, k: int) -> Column:
         return F.transform(at, lambda x: x["i"] - k)
@@ -104,22 +138,40 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             both = F.array_intersect(both, x)
         return F.filter(both, lambda i: (i >= 0) & (F.slice(w, F.greatest(i + 1, F.lit(1)), len(parts)) == F.array(*map(F.lit, parts))))
 
+    def aligned(index: Column) -> Column:
+        """Licence texts t that have half their anchors at one place d of the document, or all of them (whole)."""
+        voting = F.filter(index, lambda x: x["w"].isin(anchored))
+        votes = F.sort_array(F.flatten(F.transform(voting, lambda x: F.transform(postings[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["k"]).alias("d"))))))
+        same = lambda s, i, x: F.coalesce(F.get(s, i) == x, F.lit(False))
+        begins = lambda s: F.filter(s, lambda x, i: ~same(s, i - 1, x) & same(s, i + F.get(half, x["t"]) - 1, x))
+        return bound(votes, lambda s: F.transform(begins(s), lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), (F.size(F.filter(s, lambda y: y == x)) >= F.get(every, x["t"])).alias("whole"))))
+
     def found(w: Column) -> Column:
         places = F.transform(w, lambda x, i: F.when(x.isin(posted), F.struct(x.alias("w"), i.alias("i"))))
         index = F.filter(places, lambda x: x.isNotNull())
-        return F.transform(F.array(index), lambda x: F.array(*(starts(p, w, x) for p in sorted(phrases))))[0]
+        return bound(index, lambda x: F.struct(F.array(*(starts(p, w, x) for p in sorted(phrases))).alias("at"), aligned(x).alias("texts")))
 
-    none = F.array(*(F.array().cast("array<int>") for _ in phrases))
+    none = F.struct(F.array(*(F.array().cast("array<int>") for _ in phrases)).alias("at"), F.array().cast("array<struct<t:int,d:int,whole:boolean>>").alias("texts"))
     rows = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.array(F.when(F.arrays_overlap("w", keys), F.transform(F.array("w"), found)[0]).otherwise(none))).alias("at"))
-    at = {p: F.col("at")[k] for k, p in enumerate(sorted(phrases))}
+    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.array(F.when(F.arrays_overlap("w", keys), bound(F.col("w"), found)).otherwise(none))).alias("x"))
+    at = {p: F.col("x.at")[k] for k, p in enumerate(sorted(phrases))}
+
+    def holds(t: int, whole: bool = False) -> Column:
+        """Whether licence text t stands in the document with its mandatory phrases."""
+        near = lambda x, p: F.exists(at[p], lambda q: (q >= x["d"] - SLACK) & (q <= x["d"] + len(words_of_text(texts[t].text)) + SLACK))
+        return F.exists("x.texts", lambda x: reduce(Column.__and__, (near(x, p) for p in texts[t].mandatory), (x["t"] == t) & (x["whole"] | F.lit(not whole))))
+
     stands = lambda t: (F.size(at[t.phrase]) > 0) & ((F.size(at[t.mandatory]) > 0) if t.mandatory else F.lit(True))
     base = [t for t in templates if t.base]
     mass = max(sum(idf[w] for w in t.words) for t in templates)
     strength = [F.when(stands(t), 0.5 + 0.5 * sum(idf[w] for w in t.words) / mass).otherwise(0.0) for t in templates]
-    joined = lambda some: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(stands(t), t.label) for t in some))))), ",")
+    strength += [F.when(holds(t, whole=True), 1.0).when(holds(t), 0.75).otherwise(0.0) for t in range(len(texts))]
+    # Where no text aligns, the texts' own tests are not made.
+    some_text = F.size("x.texts") > 0
+    of_texts = F.when(some_text, F.array(*(F.when(holds(t), x.label) for t, x in enumerate(texts)))).otherwise(F.array().cast("array<string>"))
+    joined = lambda some, more=F.array().cast("array<string>"): F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*(F.when(stands(t), t.label) for t in some)), more)))), ",")
     all_base = F.flatten(F.array(*(at[t.phrase] for t in base)))
     return rows.select(
         "doc_id", "n_words", F.size(all_base).cast("long").alias("n_base"), F.array_min(all_base).cast("long").alias("first_word"), F.array_max(all_base).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"), joined(templates).alias("labels"), F.greatest(*strength).alias("score"),
+        joined(base).alias("base_labels"), joined(templates, of_texts).alias("labels"), F.greatest(*strength).alias("score"),
     )
