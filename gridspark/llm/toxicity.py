@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Examples are a bounded, class-balanced sample of the labelled training rows (EXAMPLES of either
-class, texts of up to EXAMPLE_BYTES). All their words are terms, with document frequencies counted
+Examples are a bounded, class-balanced sample of the labelled training rows: EXAMPLES of either
+class in the order of a hash, as far as SAMPLE_BYTES of text hold them. Tasks count their words; the
+driver gets the counts, no text. All their words are terms, with document frequencies counted
 over all documents; a word that stands with label 1 beyond chance in the examples weighs more by
 sqrt(1 + chi-squared), no word weighs less than its TF-IDF. A query's own length scales all its
 cosines alike, which neither order nor votes see: words that no example holds change nothing.
@@ -12,10 +13,14 @@ block's best rare sum and those maxima; blocks are scored from the largest bound
 bound reaches the k-th best cosine, so the neighbours are exact.
 Neighbours vote with the square of their cosine, weighted back to the class shares of the
 labels; a monotone fit over the examples, each scored without itself, turns votes into scores.
+The EVIDENCE neighbours of most votes come with the score: their doc_id, label and share of the votes.
 
 Null and empty texts, and texts without a term, have no neighbour and get the share of label 1
-among such examples. Several labels of an id count as 1 if any is. Ties between neighbours go
-to the lower place in the index. Without labelled rows all scores are 0.
+among such examples, without evidence. Several labels of an id count as 1 if any is. Ties between
+neighbours go to the lower place in the index. Repeated rows are scored alike, as examples they
+count once; long texts are read whole, a slice of texts at a time. Without labelled rows all scores
+are 0; an empty table gives an empty result. Only doc_id and text of docs, doc_id and toxic of labels
+are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import CHUNK_BYTES, NOT_ALNUM, U64, chunks, cut, held_out, training_row, words_of
+from gridspark.llm.common import NOT_ALNUM, U64, chunks, cut, held_out, training_row, words_of
 
-EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 2500, 100_000, 64, 15
+EXAMPLES, SAMPLE_BYTES, BLOCK, NEIGHBOURS, EVIDENCE = 2500, 64_000_000, 64, 15, 3
 #: Terms with block maxima, and the most list entries and queries that are summed at once.
 COMMON, ENTRIES, QUERIES = 1024, 2_000_000, 128
 #: The least chi-squared value, and examples that hold it, of a term that weighs more.
@@ -39,28 +44,36 @@ THRESHOLD = 0.3
 
 
 def example_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, int]]:
-    """(text, toxic) of the sampled training rows, and how many training labels either class has."""
+    """(doc_id, toxic, word hashes, times) of the sampled training rows, and how many training labels either class has."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(training_row())
     rows = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
     # Labels meet the documents before any limit: a label without a usable text takes no place.
-    keys = cut(rows.select("doc_id", "h", (F.octet_length("text") <= EXAMPLE_BYTES).alias("fits")).join(marked, "doc_id").distinct())
+    keys = cut(rows.select("doc_id", "h", F.octet_length("text").alias("size")).join(marked, "doc_id").distinct())
     shares = {r["toxic"]: r["count"] for r in keys.groupBy("toxic").count().collect()}
-    out = []
+    chosen = []
     for value in (0, 1):
-        ids = F.broadcast(keys.where((F.col("toxic") == value) & F.col("fits")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES).select("doc_id", "h"))
-        texts = rows.join(ids, ["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES)
-        out += [(r["text"], value) for r in texts.select("text").collect()]
-    return out, shares
-
+        left = SAMPLE_BYTES
+        for r in keys.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                chosen.append((r["doc_id"], r["h"], value, len(chosen)))
+    if not chosen:
+        return [], shares
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                w = words_of(texts, NOT_ALNUM)
+                words = [np.unique(w.hash[a:b].view(np.int64), return_counts=True) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                columns = [pa.array([x[k] for x in words], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "doc_id", "toxic")), *columns], names=["place", "doc_id", "toxic", "words", "times"])
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Neighbouring texts of about CHUNK_BYTES together, and the place of the first."""
-    at = size = 0
-    for i, x in enumerate(texts):
-        size += len(x) + 1
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int, place int"))
+    # 2 * EXAMPLES rows of 2 * SAMPLE_BYTES of text at most; of repeated rows one.
+    got = rows.join(ids, ["doc_id", "h"]).select("place", "doc_id", "toxic", "text").mapInArrow(counted, "place int, doc_id long, toxic int, words array<long>, times array<long>").dropDuplicates(["place"]).toArrow()
+    order = np.argsort(got.column("place").to_numpy())
+    array = lambda c, i: got.column(c)[i].values.to_numpy()
+    return [(got.column("doc_id")[i].as_py(), got.column("toxic")[i].as_py(), array("words", i).view(U64), array("times", i)) for i in order.tolist()], shares
 
 
 def leaning(doc: np.ndarray, term: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
@@ -105,6 +118,7 @@ class Index:
     most: np.ndarray
     vote: np.ndarray
     toxic: np.ndarray
+    ids: np.ndarray
     raw: np.ndarray
     score: np.ndarray
     none: float
@@ -155,11 +169,11 @@ class Index:
         ids, sims = self.batch(np.zeros(len(term), np.int64), term, weight, 1, None if without < 0 else np.array([without]), k)
         return ids[sims > 0], sims[sims > 0]
 
-    def votes(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, left_out: bool = False) -> np.ndarray:
-        """Share of label 1 among the neighbours' votes for each of n texts, -1 without any; left_out: text i is example i."""
-        out = np.full(n, -1.0)
+    def votes(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, left_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Share of label 1 among the neighbours' votes for each of n texts, -1 without any; the examples of most votes and their shares, 0 where there are fewer. left_out: text i is example i."""
+        out, best, part = np.full(n, -1.0), np.zeros((n, EVIDENCE), np.int64), np.zeros((n, EVIDENCE))
         if not len(self.vote):
-            return out
+            return out, best, part
         bounds = np.searchsorted(doc, np.arange(n + 1))
         work = np.append(0, np.cumsum(np.where(term >= len(self.most), self.first[term + 1] - self.first[term], 0)))[bounds]
         a = 0
@@ -170,9 +184,14 @@ class Index:
             ids = np.minimum(ids, len(self.vote) - 1)
             vote = sims**2 * self.vote[ids]
             has = sims[:, 0] > 0
-            out[a:b][has] = (vote * self.toxic[ids]).sum(1)[has] / vote.sum(1)[has]
+            total = np.where(has, vote.sum(1), 1)
+            out[a:b][has] = ((vote * self.toxic[ids]).sum(1) / total)[has]
+            most = np.argsort(-vote, axis=1, kind="stable")[:, :EVIDENCE]
+            k = most.shape[1]
+            best[a:b, :k] = np.take_along_axis(ids, most, 1)
+            part[a:b, :k] = np.take_along_axis(vote, most, 1) / total[:, None]
             a = b
-        return out
+        return out, best, part
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.where(raw < 0, self.none, np.interp(raw, self.raw, self.score)) if len(self.raw) else np.full(len(raw), self.none)
@@ -193,10 +212,10 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     rows, shares = example_rows(docs, labels)
-    texts, toxic = [r[0].encode() for r in rows], np.array([r[1] for r in rows], np.int64)
-    known = np.unique(np.concatenate([np.zeros(0, U64), *(np.unique(words_of(part, NOT_ALNUM).hash) for _, part in slices(texts))]))
-    found = [(d + at, t, k) for at, part in slices(texts) for d, t, k in [counts_in(part, (known, np.arange(len(known))))]]
-    doc, term, times = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3))
+    names, toxic = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    known, term = np.unique(np.concatenate([np.zeros(0, U64), *(r[2] for r in rows)]), return_inverse=True)
+    times = np.concatenate([np.zeros(0, np.int64), *(r[3] for r in rows)])
+    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     # Terms are numbered from the most frequent down.
     ids = np.empty(len(known), np.int64)
     ids[np.argsort(-np.bincount(term, minlength=len(known)), kind="stable")] = np.arange(len(known))
@@ -225,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     strongest = np.argsort(value, kind="stable")
     lead[doc[strongest]] = term[strongest]
     order = np.lexsort((np.arange(len(rows)), toxic, lead))
-    doc, toxic = np.argsort(order)[doc], toxic[order]
+    doc, toxic, names = np.argsort(order)[doc], toxic[order], names[order]
     by = np.lexsort((doc, term))
     doc_by, term_by, value_by = doc[by], term[by], value[by]
     first = np.searchsorted(term_by, np.arange(n_terms + 1))
@@ -237,9 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         np.maximum.at(most[t], doc_by[lo:hi] // BLOCK, value_by[lo:hi])
     have = {v: max(1, int((toxic == v).sum())) for v in (0, 1)}
     vote = np.array([shares[int(v)] / have[int(v)] for v in toxic])
-    index = Index(terms, idf, first, doc_by.astype(np.int32), value_by, cuts, most, vote, toxic, np.zeros(0), np.zeros(0), 0.0)
+    index = Index(terms, idf, first, doc_by.astype(np.int32), value_by, cuts, most, vote, toxic, names, np.zeros(0), np.zeros(0), 0.0)
     own = np.lexsort((term, doc))
-    raw = index.votes(doc[own], term[own], times[own], len(rows), left_out=True)
+    raw, _, _ = index.votes(doc[own], term[own], times[own], len(rows), left_out=True)
     if len(raw):
         none = raw < 0
         index.none = float((vote * toxic)[none].sum() / vote[none].sum()) if none.any() else 0.0
@@ -249,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text)."""
+    """doc_id, held_out, score, predicted, evidence array<struct<doc_id, toxic, share>> for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.select("doc_id", "toxic")))
 
@@ -258,8 +277,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, texts in chunks(batch):
                 doc, term, times = counts_in(texts, index.terms)
-                raw = index.votes(doc, term, times, len(texts))
+                raw, best, share = index.votes(doc, term, times, len(texts))
                 s = np.clip(index.calibrated(raw), 0, 1)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                some = share > 0
+                of = best[some]
+                fields = [pa.array(x) for x in (index.ids[of], index.toxic[of].astype(np.int32), share[some])]
+                evidence = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some.sum(1))), pa.int32()), pa.StructArray.from_arrays(fields, names=["doc_id", "toxic", "share"]))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return docs.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, share: double>>")
