@@ -2,39 +2,39 @@
 
 Base kinds (email, ip, card, phone) are matched by fixed patterns and checks. High-recall
 generators propose further, possibly overlapping spans. Boosted trees (trained by Spark's own
-GBTClassifier on candidates of all documents, SAMPLE_SPANS at most, shared out evenly to all
-generators and labels) see format and context features; they become one nested CASE expression,
-so scoring needs no shuffle and no Python. A candidate is kept where its format check holds, or,
-where a failed check says nothing (`open` generators), above its generator's threshold, and where
-no base span overlaps it; of overlapping
-candidates the one of highest probability stays, then the longest, then the first.
-
-There are no labelled spans: a candidate of the sample teaches 1 where its format check holds
-(checksum, key prefix, structure) and 0 where it fails. The check is no feature: the trees rate
-how much a candidate is like those that pass, by its characters and what stands before it, and so
-decide only secrets of no known format. Thresholds are the smallest that hold PRECISION on the
-held-out half of the sample, by the candidates' true shares, 0.5 at least; a generator where none
-does keeps no more than what passes.
-Where no model can be fitted, the candidates whose format check holds are kept.
+GBTClassifier) see format and context features; they become one nested CASE expression, so scoring
+needs no shuffle and no Python. A candidate is kept where its probability reaches its generator's
+threshold and no base span overlaps it; of overlapping candidates the one of highest probability
+stays, then the longest, then the first, then the first generator's.
+
+There are no labelled spans, so the trees learn from planted ones: about PLANTS snippets of the
+documents' own texts get a made-up span each, either personal data (keys of known and unknown
+forms, social security numbers, IBANs of several countries, with or without words before them that
+announce them) or something that looks like it (chains of words, digests, serial numbers, numbers
+of a bad checksum or structure). What was planted is the label, whatever its format check says;
+the check is a feature among others. Thresholds are the smallest that hold PRECISION on the held-out
+half of the plants; a generator where none does keeps candidates that pass its format check.
+Without documents nothing is trained.
 
 Offsets are code points, end exclusive. Null texts are empty and have no spans. Repeated rows
-are judged alike; an empty table gives an empty result and trains nothing.
+are judged alike; an empty table gives an empty result. A long text is read whole: running sums
+over its spans are taken in blocks, overlaps are looked for among neighbours only. Further columns
+of docs, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut
+from gridspark.llm.common import packed
 
-#: Candidates that the trees may learn from; the same share for each generator and label.
-SAMPLE_SPANS, PRECISION = 20_000, 0.95
-TREES, DEPTH = 8, 3
+#: Planted spans that the trees learn from and are held against, and the snippets they stand in.
+PLANTS, SNIPPET, PRECISION = 8_000, 48, 0.95
+TREES, DEPTH = 10, 4
 #: A threshold that no probability reaches.
 NEVER = 2.0
 CONTEXT = 32
@@ -54,21 +54,49 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
+    """step over all values so far, for each value of an array of ints; in blocks of about its square root, as appending copies."""
+
+    def within(block: Column, first: Column) -> Column:
+        one = lambda a, x: bound(step(a["at"], x), lambda y: F.struct(y.alias("at"), F.concat(a["out"], F.array(y)).alias("out")))
+        return F.aggregate(block, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), one)["out"]
+
+    def blocks(side: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(values) - 1, side), lambda b: F.slice(values, b + 1, side))
+
+    def placed(parts: Column) -> Column:
+        # No value, then what each block comes to: the running value before block k stands at place k.
+        before = F.concat(F.array(start), within(F.transform(parts, lambda x: F.aggregate(F.slice(x, 2, F.size(x)), x[0], step)), start))
+        return bound(before, lambda b: F.flatten(F.transform(parts, lambda x, k: within(x, F.get(b, k)))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(bound(F.ceil(F.sqrt(F.size(values))).cast("int"), lambda side: bound(blocks(side), placed)))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<s int, e int, m string>> of the leftmost non-overlapping matches."""
+    """array<struct<s int, e int, m string, before string>> of the leftmost non-overlapping matches, with what stands before them from the last match on."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
     def placed(m: Column, g: Column) -> Column:
-        steps = F.zip_with(m, F.slice(g, 1, F.size(m)), lambda x, y: F.struct(F.length(y).alias("g"), F.length(x).alias("l"), x.alias("m")))
-        # Running ends: one pass that carries where the last match ended.
-        ends = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")), lambda a, x: F.struct((a["at"] + x["g"] + x["l"]).alias("at"), F.concat(a["s"], F.array(a["at"] + x["g"])).alias("s")))["s"]
-        return F.zip_with(m, ends, lambda x, s: F.struct(s.alias("s"), (s + F.length(x)).alias("e"), x.alias("m")))
+        lengths = F.zip_with(m, F.slice(g, 1, F.size(m)), lambda x, y: F.length(x) + F.length(y))
+        before = lambda i: F.right(F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(g, i)), F.lit(CONTEXT))
+        return bound(running(lengths, lambda a, x: a + x, F.lit(0)), lambda ends: F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("s"), F.get(ends, i).alias("e"), x.alias("m"), before(i).alias("before"))))
 
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
     return bound(found, lambda m: F.when(F.size(m) == 0, none).otherwise(bound(gaps, lambda g: placed(m, g))))
 
 
+def clusters(sorted_spans: Column) -> Column:
+    """Spans in order of start, cut where none so far reaches the next."""
+
+    def cut(ends: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(sorted_spans) - 1), lambda i: (i == 0) | (F.get(sorted_spans, i)["s"] >= F.get(ends, i - 1)))
+        return bound(first, lambda f: F.transform(f, lambda a, k: F.slice(sorted_spans, a + 1, F.coalesce(F.get(f, k + 1), F.size(sorted_spans)) - a)))
+
+    ends = running(F.transform(sorted_spans, lambda x: x["e"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    return F.when(F.size(sorted_spans) == 0, F.array()).otherwise(bound(ends, cut))
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -92,22 +120,24 @@ BASE = {
 
 @dataclass(frozen=True)
 class Generator:
-    """Proposes matches of `pattern`; `check` is the format check that teaches the trees, of the match and what stands before it."""
+    """Proposes matches of `pattern`; `check` is its format check, of the match and what stands before it."""
 
     kind: str
     pattern: str
     check: Callable[[Column, Column], Column]
     hint: str
-    #: Whether a candidate that fails the check may still be one.
-    open: bool = False
+
+
+def remainder97(x: Column) -> Column:
+    """The remainder of a string by 97, letters as 10 to 35."""
+    step = lambda a, x: F.when(x.rlike("[0-9]"), a * 10 + F.ascii(x) - 48).otherwise(a * 100 + F.ascii(x) - 55) % 97
+    return F.aggregate(F.split(x, ""), F.lit(0), step)
 
 
 def mod97(m: Column) -> Column:
-    """Whether an IBAN's check digits hold: its first four characters moved to the end, letters as 10 to 35, modulo 97."""
+    """Whether an IBAN's check digits hold: its first four characters moved to the end give the remainder 1."""
     d = F.replace(m, F.lit(" "), F.lit(""))
-    each = F.split(F.concat(F.substring(d, 5, 64), F.substring(d, 1, 4)), "")
-    step = lambda a, x: F.when(x.rlike("[0-9]"), a * 10 + F.ascii(x) - 48).otherwise(a * 100 + F.ascii(x) - 55) % 97
-    return F.length(d).between(15, 34) & (F.aggregate(each, F.lit(0), step) == 1)
+    return F.length(d).between(15, 34) & (remainder97(F.concat(F.substring(d, 5, 64), F.substring(d, 1, 4))) == 1)
 
 
 def iban_of(m: Column) -> Column:
@@ -125,7 +155,7 @@ ASSIGNED = "(?i)(?:key|token|secret|passw)[a-z_]*[\\x20\"']*[:=]+[\\x20\"']*$"
 
 #: Proposals beyond the base kinds, each with a word list that often stands before it.
 GENERATORS = (
-    Generator("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+", lambda m, before: m.rlike(KEY) | (m.rlike(MIXED) & (F.regexp_count(m, F.lit(CHANGE)) >= 3) & before.rlike(ASSIGNED)), "(?i)(?:key|token|secret|passw)", open=True),
+    Generator("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+", lambda m, before: m.rlike(KEY) | (m.rlike(MIXED) & (F.regexp_count(m, F.lit(CHANGE)) >= 3) & before.rlike(ASSIGNED)), "(?i)(?:key|token|secret|passw)"),
     Generator("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m, before: m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "(?i)(?:ssn|social)"),
     Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m, before: mod97(m), "(?i)(?:iban|bank|konto)"),
 )
@@ -145,11 +175,13 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(BASE))))
 
 
-FEATURES = ("kind", "length", "digits", "upper", "lower", "marks", "hint", "assigned", "switches")
+FEATURES = ("kind", "length", "digits", "upper", "lower", "marks", "hint", "assigned", "switches", "check", "other")
+#: Words before numbers and digests that are no personal data.
+OTHER = "(?i)(?:commit|sha|md5|digest|order|part|isbn|ref|file|path|serial|version)"
 
 
 def proposals(text: Column) -> Column:
-    """array<struct<s,k,e,kind,ok boolean,f array<double>>> of all generators' candidates with their features."""
+    """array<struct<s,k,e,kind,f array<double>>> of all generators' candidates with their features."""
 
     def share(m: Column, others: str) -> Column:
         return F.length(F.regexp_replace(m, others, "")).cast("double") / F.greatest(F.length(m), F.lit(1))
@@ -157,16 +189,16 @@ def proposals(text: Column) -> Column:
     def of(k: int, g: Generator) -> Column:
         def made(x: Column) -> Column:
             m = iban_of(x["m"]) if g.kind == "iban" else x["m"]
-            return bound(m, lambda m: described(x["s"], m))
+            return bound(m, lambda m: described(x["s"], m, x["before"]))
 
-        def described(s: Column, m: Column) -> Column:
-            before = F.substring(text, F.greatest(s - (CONTEXT - 1), F.lit(1)), F.least(F.lit(CONTEXT), s))
+        def described(s: Column, m: Column, before: Column) -> Column:
+            ok = F.coalesce(g.check(m, before), F.lit(False))
             f = F.array(
                 F.lit(float(k)), F.length(m).cast("double"), share(m, "[^0-9]"), share(m, "[^A-Z]"), share(m, "[^a-z]"), share(m, "[A-Za-z0-9]"),
                 before.rlike(g.hint).cast("double"), before.rlike("[:=][\\x20\"']*$").cast("double"),
-                F.regexp_count(m, F.lit(CHANGE)).cast("double"),
+                F.regexp_count(m, F.lit(CHANGE)).cast("double"), ok.cast("double"), before.rlike(OTHER).cast("double"),
             )
-            return F.struct(s.alias("s"), F.lit(len(BASE) + k).alias("k"), (s + F.length(m)).alias("e"), F.lit(g.kind).alias("kind"), g.check(m, before).alias("ok"), f.alias("f"))
+            return F.struct(s.alias("s"), F.lit(len(BASE) + k).alias("k"), (s + F.length(m)).alias("e"), F.lit(g.kind).alias("kind"), f.alias("f"))
 
         return F.transform(spans(text, g.pattern), made)
 
@@ -185,40 +217,90 @@ def tree_value(node, f: Column) -> Column:
 class Model:
     trees: list
     weights: list[float]
-    thresholds: tuple[float, ...]
+    thresholds: tuple[float, ...] = ()
+    #: Of each generator: threshold, precision and recall on the held-out plants.
+    curve: tuple[tuple[tuple[float, float, float], ...], ...] = ()
 
     def probability(self, f: Column) -> Column:
         margin = sum((w * tree_value(t, f) for t, w in zip(self.trees, self.weights, strict=True)), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
 
+def plants(docs: DataFrame, number: int = PLANTS) -> DataFrame:
+    """text, s, e, label, part: snippets of docs with a made-up span from s to e each; label 1 if it stands for personal data."""
+    texts = docs.where(F.length("text") > 0)
+    n = texts.count()
+    some = texts.select(F.substring("text", 1, 100_000).alias("text"), F.length("text").alias("n")).sample(min(1.0, number / max(1, n)), seed=3)
+    rows = some.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max(1, number // max(1, min(n, number)))))))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws(":", F.col("k").cast("string"), F.col("text")), 512))
+    number_of = lambda at, most: F.conv(F.substring("h", at, 7), 16, 10).cast("long") % most
+    hexes = lambda at, size: F.substring("h", at, size)
+    spelled = lambda at, size, alphabet: F.translate(hexes(at, size), "0123456789abcdef", alphabet)
+    upper, mixed, figures = "A7QK2ZM9XB4TRV6J", "aB3dE5gH7jK9mN2p", "0123456789012345"
+    one_of = lambda at, *values: F.get(F.array(*map(F.lit, values)), number_of(at, len(values)).cast("int"))
+    place = (number_of(1, 100_003) % F.greatest(F.least(F.col("n"), F.lit(100_000)) - 2 * SNIPPET, F.lit(1))).cast("int")
+    snippet = F.translate(F.substring("text", place + 1, F.lit(2 * SNIPPET)), "\n", " ")
+    letters = F.regexp_replace(F.substring("text", place + 1, F.lit(400)), r"[^A-Za-z]+", "")
+    chain = F.concat(F.lower(letters), spelled(9, 18, "abcdefghijklmnop"))
+    ssn = F.concat_ws("-", F.lpad((1 + number_of(20, 665)).cast("string"), 3, "0"), F.lpad((1 + number_of(30, 99)).cast("string"), 2, "0"), F.lpad((1 + number_of(40, 9999)).cast("string"), 4, "0"))
+    no_ssn = F.concat(one_of(25, "000", "666", "912", "987"), F.substring(ssn, 4, 8))
+    country = one_of(27, "DE", "FR", "ES", "GB", "NL", "NO", "IT")
+    account = F.concat(F.when(country.isin("GB", "NL"), spelled(33, 4, "ABCDEFGHIJKLMNOP")).otherwise(""), F.substring(spelled(50, 23, figures), 1, (11 + number_of(44, 13)).cast("int")))
+    check = 98 - remainder97(F.concat(account, country, F.lit("00")))
+    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    no_iban = F.concat(country, F.lpad(((check + 1 + number_of(60, 90)) % 97).cast("string"), 2, "0"), account)
+    grouped = lambda x: F.when(number_of(70, 2) == 0, x).otherwise(F.trim(F.regexp_replace(x, "(.{4})", "$1 ")))
+    secret_words = ("key = \"", "secret: ", "token=", "api_key = '", "password: ", "access token = \"")
+    other_words = ("commit ", "sha256 ", "md5 ", "file ", "path ", "digest: ")
+    numbers = ("order ", "part no ", "ref ", "isbn ", "serial ")
+    # (label, words before it, span)
+    kinds = (
+        (1, one_of(80, "", "", "key ", *secret_words), F.concat(one_of(85, "AKIA", "ASIA"), spelled(90, 16, upper))),
+        (1, one_of(80, "", "", *secret_words), F.concat(one_of(85, "ghp_", "gho_", "ghs_"), spelled(90, 36, mixed))),
+        (1, one_of(80, "", "", *secret_words), F.concat(F.lit("sk_live_"), spelled(90, 24, mixed))),
+        (1, one_of(80, *secret_words), hexes(88, 40)),
+        (1, one_of(80, *secret_words), F.concat(spelled(86, 20, mixed), one_of(84, "/", "+", "x"), spelled(108, 19, mixed))),
+        (1, one_of(80, "", "", "ssn ", "ssn: ", "social security number "), ssn),
+        (1, one_of(80, "", "", "iban ", "iban: ", "bank account "), grouped(iban)),
+        (0, one_of(80, "", "", "", "key ", *secret_words, *other_words), F.substring(chain, 1, (16 + number_of(83, 12)).cast("int"))),
+        (0, one_of(80, "", *other_words), F.concat(F.substring(chain, 1, 6), one_of(82, "/", "-", "_"), F.substring(chain, 7, 9), F.lit("-"), spelled(90, 4, figures))),
+        (0, one_of(80, *other_words), hexes(88, 40)),
+        (0, one_of(80, "", *other_words), F.concat(spelled(86, 20, mixed), one_of(84, "/", "+", "x"), spelled(108, 19, mixed))),
+        (0, one_of(80, "", "", *numbers), spelled(90, 17, figures)),
+        (0, one_of(80, "", "ssn ", *numbers), no_ssn),
+        (0, one_of(80, *numbers), ssn),
+        (0, one_of(80, "", "iban ", *numbers), grouped(no_iban)),
+    )
+    kind = number_of(75, len(kinds)).cast("int")
+    made = F.coalesce(*(F.when(kind == i, F.struct(F.lit(y).alias("label"), w.alias("words"), x.alias("span"))) for i, (y, w, x) in enumerate(kinds)))
+    rows = rows.select(F.substring(snippet, 1, SNIPPET).alias("left"), F.substring(snippet, SNIPPET + 1, SNIPPET).alias("right"), made.alias("made"), (number_of(120, 2)).alias("part"))
+    before = F.concat("left", F.lit(" "), "made.words")
+    closing = F.when(F.col("made.words").endswith('"'), '"').when(F.col("made.words").endswith("'"), "'").otherwise("")
+    return rows.select(F.concat(before, "made.span", closing, F.lit(" "), "right").alias("text"), F.length(before).alias("s"), (F.length(before) + F.length("made.span")).alias("e"), F.col("made.label").cast("double").alias("label"), "part")
+
+
 def train(docs: DataFrame) -> Model | None:
-    """Fit on a bounded sample of the candidates of all documents; None where its fitting half lacks a label."""
+    """Fit on one half of the plants, thresholds by the other; None without documents."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    every = cut(docs.where("text IS NOT NULL").select(F.explode(proposals(F.col("text"))).alias("c")).select("c.f", "c.k", F.col("c.ok").cast("double").alias("label"), F.xxhash64("c").alias("h")))
-    # Each stratum gives its first candidates by hash, and counts as many as it stands for.
-    most = SAMPLE_SPANS // (2 * len(GENERATORS))
-    counts = every.groupBy("k", "label").count().collect()
-    if len({r["label"] for r in counts}) < 2:
-        return None
-    parts = [every.where((F.col("k") == r["k"]) & (F.col("label") == r["label"])).orderBy("h").limit(most).withColumn("w", F.lit(max(1.0, r["count"] / most))) for r in counts]
-    rows = reduce(DataFrame.unionByName, parts).withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(2)))
-    rows = rows.withColumn("features", array_to_vector("f")).persist()
+    rows = plants(docs).withColumn("c", F.explode(proposals(F.col("text")))).where("c.s = s AND c.e = e")
+    rows = rows.select("c.f", "c.k", "label", "part", array_to_vector("c.f").alias("features")).persist()
     try:
         fitting = rows.where("part = 0")
         if fitting.select("label").distinct().count() < 2:
             return None
-        got = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=1, minInstancesPerNode=5).fit(fitting)
-        trees = [t._call_java("rootNode") for t in got.trees]
-        model = Model(trees, [float(w) for w in got.treeWeights], ())
-        grid = [0.5, 0.6, 0.7, 0.8, 0.9]
+        got = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, minInstancesPerNode=5).fit(fitting)
+        model = Model([t._call_java("rootNode") for t in got.trees], [float(w) for w in got.treeWeights])
+        grid = [x / 20 for x in range(10, 20)]
         held = rows.where("part = 1").withColumn("p", model.probability(F.col("f")))
-        sums = held.groupBy("k").agg(*((F.sum(F.when(F.col("p") >= t, F.col("w") * F.col("label"))) / F.sum(F.when(F.col("p") >= t, F.col("w")))).alias(f"t{i}") for i, t in enumerate(grid)))
+        true, asked = (lambda t: F.sum(F.when(F.col("p") >= t, F.col("label")))), (lambda t: F.count_if(F.col("p") >= t))
+        sums = held.groupBy("k").agg(F.sum("label").alias("all"), *(x.alias(f"{n}{i}") for i, t in enumerate(grid) for n, x in (("true", true(t)), ("asked", asked(t)))))
         by = {r["k"]: r for r in sums.collect()}  # a row a generator
-        pick = lambda r: next((t for i, t in enumerate(grid) if r is not None and (r[f"t{i}"] or 0) >= PRECISION), NEVER)
-        model.thresholds = tuple(pick(by.get(len(BASE) + k)) for k in range(len(GENERATORS)))
+        share = lambda a, b: (a or 0) / b if b else 0.0
+        curves = [tuple((t, share(r[f"true{i}"], r[f"asked{i}"]), share(r[f"true{i}"], r["all"])) for i, t in enumerate(grid)) if r else () for r in (by.get(len(BASE) + k) for k in range(len(GENERATORS)))]
+        model.curve = tuple(curves)
+        model.thresholds = tuple(next((t for t, precision, _ in c if precision >= PRECISION), NEVER) for c in curves)
         return model
     finally:
         rows.unpersist()
@@ -230,22 +312,29 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def added(base: Column, candidates: Column, model: Model | None) -> Column:
     """Candidates above their thresholds that overlap no base span and no better candidate."""
-    limits = F.array(*(F.lit(model.thresholds[k] if model and g.open else NEVER) for k, g in enumerate(GENERATORS)))
-    chance = lambda c: F.when(c["ok"], 1.0).otherwise(model.probability(c["f"]) if model else 0.0)
-    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind"), c["ok"].alias("ok"), chance(c).alias("p")))
-    good = F.filter(rated, lambda c: (c["ok"] | (c["p"] >= limits[c["k"] - len(BASE)])) & ~F.exists(base, lambda b: overlaps(b, c)))
-    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["e"] - a["s"] > b["e"] - b["s"]) | ((a["e"] - a["s"] == b["e"] - b["s"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
-    best = bound(good, lambda g: F.filter(g, lambda c: ~F.exists(g, lambda o: overlaps(o, c) & better(o, c))))
-    return F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind")))
-
-
-def found(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` with arrays _base and _all of spans."""
-    model = train(docs)
+    limits = F.array(*(F.lit(model.thresholds[k] if model else NEVER) for k in range(len(GENERATORS))))
+    passes = lambda c: c["f"][FEATURES.index("check")] > 0
+    chance = lambda c: model.probability(c["f"]) if model else passes(c).cast("double")
+    rated = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["kind"].alias("kind"), chance(c).alias("p"), passes(c).alias("ok")))
+    limit = lambda c: F.get(limits, c["k"] - len(BASE))
+    good = F.filter(rated, lambda c: (c["p"] >= limit(c)) | (c["ok"] & (limit(c) == NEVER)))
+    fixed = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), b["kind"].alias("kind"), F.lit(NEVER).alias("p"), F.lit(True).alias("ok")))
+    size = lambda a: a["e"] - a["s"]
+    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((size(a) > size(b)) | ((size(a) == size(b)) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
+    best = lambda g: F.filter(g, lambda c: (c["k"] >= len(BASE)) & ~F.exists(g, lambda o: overlaps(o, c) & better(o, c)))
+    kept = lambda g: F.flatten(F.transform(clusters(g), best))
+    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
+    out = lambda x: F.transform(bound(F.sort_array(F.concat(fixed, x)), kept), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["kind"].alias("kind")))
+    return bound(good, lambda x: F.when(F.size(x) == 0, none).otherwise(out(x)))
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """row, the columns of docs, with text and the arrays base and all_spans."""
+    model = train(docs.select("text"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, F.explode(F.array(F.struct(base_spans(text).alias("b"), proposals(text).alias("c")))).alias("_x"))
-    rows = rows.select(*keep, F.col("_x.b").alias("_base"), F.explode(F.array(added(F.col("_x.b"), F.col("_x.c"), model))).alias("_added"))
-    return rows.select(*keep, "_base", F.sort_array(F.concat("_base", "_added")).alias("_all"))
+    rows = packed(docs, F.col("text"), F.explode(F.array(F.struct(base_spans(text).alias("b"), proposals(text).alias("c")))).alias("x"))
+    rows = rows.select("row", "text", F.col("x.b").alias("base"), F.explode(F.array(added(F.col("x.b"), F.col("x.c"), model))).alias("added"))
+    return rows.select("row", "text", "base", F.sort_array(F.concat("base", "added")).alias("all_spans"))
 
 
 def written(some: Column) -> Column:
@@ -258,18 +347,28 @@ def is_kind(kind: str):
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (doc_id, text)."""
-    counts = [F.size(F.filter("_base", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found(docs, "doc_id").select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans"))
+    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found(docs.select("doc_id", "text")).select("row.doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("all_spans")).alias("spans"))
+
+
+def pieces(text: Column, block: int = 1024) -> Callable[[Column, Column], Column]:
+    """Substrings by code points from a start to an end, read from blocks of the text, so that none walks the text from its first byte."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def piece(b: Column, s: Column, e: Column) -> Column:
+        part = lambda k: F.substring(F.get(b, k), F.greatest(s - k * block, F.lit(0)) + 1, F.least(e - k * block, F.lit(block)) - F.greatest(s - k * block, F.lit(0)))
+        return F.when(s >= e, "").otherwise(F.array_join(F.transform(F.sequence(F.floor(s / block).cast("int"), F.floor((e - 1) / block).cast("int")), part), ""))
+
+    return lambda body: bound(blocks, lambda b: body(lambda s, e: piece(b, s, e)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    columns = docs.columns
-    rows = found(docs, *columns)
-    step = lambda a, x: F.when(x["s"] >= a["at"], F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), (x["s"] - a["at"]).alias("n"), x["kind"].alias("kind")))).alias("out"), x["e"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
-    start = F.struct(F.array().cast("array<struct<s:int,n:int,kind:string>>").alias("out"), F.lit(0).alias("at"))
-    text = bound(
-        F.aggregate("_all", start, step),
-        lambda a: F.concat(F.array_join(F.transform(a["out"], lambda x: F.concat(F.substring(F.col("text"), x["s"] + 1, x["n"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
-    return rows.withColumn("text", F.when(F.size("_all") > 0, text).otherwise(F.col("text"))).select(columns)
+    runs = F.transform(clusters(F.col("all_spans")), lambda c: F.struct(c[0]["s"].alias("s"), F.array_max(F.transform(c, lambda x: x["e"])).alias("e"), c[0]["kind"].alias("kind")))
+
+    def text(of: Callable[[Column, Column], Column]) -> Column:
+        ends = lambda r, i: F.coalesce(F.get(r, i)["e"], F.lit(0))
+        return bound(runs, lambda r: F.concat(F.array_join(F.transform(r, lambda x, i: F.concat(of(ends(r, i - 1), x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""), of(ends(r, F.size(r) - 1), F.length("text"))))
+
+    rows = found(docs).withColumn("made", F.when(F.size("all_spans") > 0, pieces(F.col("text"))(text)).otherwise(F.col("text")))
+    return rows.select(*(F.col("made").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
