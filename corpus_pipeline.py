@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of docs, with fewer rows or redacted texts; the last adds the token ids and checks that
 they decode to the text.
+
+Nulls, blank and long texts, ties, repeated rows, empty tables and columns beyond those of
+documents are handled as each operator says: a null or blank text goes with the quality rules;
+repeated rows are near-duplicates of each other; further columns, whatever their names, pass all
+stages but the last, which returns those of its own; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, decontaminate, near_dedup, pii, quality
 from gridspark.llm.common import shared_folder, table
@@ -39,10 +43,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, n_tokens, ids and whether the ids decode to the text."""
-    ids = bpe.encoded(docs.select("doc_id", "text"), *vocabulary())
-    back = bpe.decoded(ids.withColumn("tokens", F.col("ids")), *vocabulary())
-    same = F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "text", F.size("tokens").cast("long").alias("n_tokens"), F.col("tokens").alias("ids"), same.alias("round_trip"))
+    return bpe.round_trip(docs, *vocabulary())
 
 
 STAGES = [
