@@ -53,9 +53,9 @@ def is_valid(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """FN-4: no carriage returns, no blank lines at either end, ragged rows padded with floor, - and _ as floor."""
-    lines = F.split(F.translate(text, "-_\r", "  "), "\n", -1)
-    full = lambda x: F.length(F.trim(x)) > 0
+    """FN-4: no carriage returns at the end of rows, no blank rows at either end, ragged rows padded with floor, - and _ as floor (a row of them is no blank one)."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, "\r+$", ""))
+    full = lambda x: x.rlike(r"(?U)\S")
 
     def trimmed(r: Column) -> Column:
         used = F.filter(F.transform(r, lambda x, i: F.when(full(x), i)), lambda i: i.isNotNull())
@@ -63,7 +63,7 @@ def normalised(text: Column) -> Column:
 
     def padded(r: Column) -> Column:
         width = F.array_max(F.transform(r, lambda x: F.length(x)))
-        return bound(width, lambda w: text_of(F.transform(r, lambda x: F.rpad(x, w, " "))))
+        return bound(width, lambda w: text_of(F.transform(r, lambda x: F.rpad(F.translate(x, "-_", "  "), w, " "))))
 
     return bound(bound(lines, trimmed), lambda r: F.when(F.size(r) == 0, F.lit("")).otherwise(padded(r)))
 
@@ -78,7 +78,7 @@ def parse_error(text: Column) -> Column:
     row = F.size(F.split(before, "\n", -1)) - 1
     column = F.length(F.element_at(F.split(before, "\n", -1), -1))
     return (
-        F.when(F.length(F.trim(F.translate(t, "\n", ""))) == 0, "empty")
+        F.when(F.length(t) == 0, "empty")
         .when(width * F.size(rows_of(t)) > MOST_CELLS, "too large")
         .when(F.length(unknown) > 0, F.concat(F.lit("unknown tile at row "), row.cast("string"), F.lit(" column "), column.cast("string")))
         .when(players(t) != 1, "players")

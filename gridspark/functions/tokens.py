@@ -49,13 +49,6 @@ def pick(n: int, seed: str, *keys: Column) -> Column:
     return F.floor(uniform(seed, *keys) * n).cast("int")
 
 
-def augmented(text: Column, seed: str, *keys: Column) -> Column:
-    """SMP-3: one of the eight images, picked by hash."""
-    from gridspark.functions.grid import transform
-
-    return transform(text, pick(8, seed, *keys))
-
-
 def dropped(bucket: Column, p: float, seed: str, *keys: Column) -> Column:
     """SMP-4: the bucket, or null with probability p."""
     return F.when(uniform(seed, *keys) >= p, bucket)

@@ -31,7 +31,7 @@ def grids(keys: str) -> str:
 
 
 NUMBER = "substr(source, 4)::int"
-LEVELS = f"""WITH {grids("SELECT doc_id::varchar AS key FROM documents UNION ALL SELECT (doc_id - 1)::varchar FROM documents")},
+LEVELS = f"""WITH RECURSIVE {grids("SELECT doc_id::varchar AS key FROM documents UNION ALL SELECT (doc_id - 1)::varchar FROM documents")},
     placed AS (SELECT *, {NUMBER} AS source_rank, doc_id % 7 = 0 AND doc_id > 0 AS twin FROM documents),
     lv AS MATERIALIZED (SELECT p.doc_id, p.source, p.source_rank, CASE WHEN source_rank <= 1 THEN 0 WHEN source_rank <= 4 THEN 1 WHEN source_rank = 5 THEN 2 ELSE 3 END AS split_rank,
         CASE WHEN source_rank <= 1 THEN 'test' WHEN source_rank <= 4 THEN 'val' WHEN source_rank = 5 THEN 'hard' ELSE 'train' END AS split,
@@ -58,12 +58,11 @@ TOKENS = f"'8 ' || ({CONDITION})::varchar || ' ' || array_to_string(string_split
 PATH = "translate(md5(id), '0123456789abcdef', 'lurdLURDlurdlurd')"
 UNIFORM = lambda seed, *keys: f"(('0x' || substr(md5('{seed}' || {' || '.join(f''' ':' || ({k})::varchar''' for k in keys)}), 1, 8))::bigint / 4294967296.0)"
 level = lambda columns, tail="": f"{LEVELS} SELECT {columns} FROM {tail or 'lv'}"
-BROKEN = "CASE WHEN doc_id % 4 = 0 THEN chr(10) || replace(rtrim(text, ' '), ' ', '-') || chr(13) || chr(10) || chr(10) WHEN doc_id % 4 = 1 THEN replace(text, '#' || chr(10) || '#', chr(10) || '#') WHEN doc_id % 4 = 2 THEN replace(text, '$', 'x') ELSE text END"
+BROKEN = "CASE WHEN doc_id % 4 = 0 THEN chr(10) || CASE WHEN doc_id % 8 = 0 THEN '-_-' || chr(10) ELSE '' END || replace(rtrim(text, ' '), ' ', '-') || chr(13) || chr(10) || chr(10) WHEN doc_id % 4 = 1 THEN replace(text, '#' || chr(10) || '#', chr(10) || '#') WHEN doc_id % 4 = 2 THEN replace(text, '$', 'x') ELSE text END"
 
 ORACLES = {
     "fn1_valid": level(f"id, {valid('text')} AS valid"),
     "fn2_counts": level(f"id, {count('text', '@+')} AS players, {count('text', '$*')} AS boxes, {count('text', '.*+')} AS goals, {count('text', '#')} AS walls"),
-    "fn5_transform": f"{LEVELS}, own AS (SELECT lv.id, lv.doc_id, lv.text, string_split(lv.text, chr(10)) AS r0 FROM lv) SELECT id, CASE WHEN doc_id % 7 = 0 AND doc_id > 0 THEN img ELSE img END AS image FROM (SELECT id, doc_id, text, __IMAGE__ AS img FROM own)",
     "fn7_canonical": level("id, canonical"),
     "fn8_condition": level(f"id, {CONDITION} AS token"),
     "fn9_encode": level(f"id, {TOKENS} AS tokens"),
@@ -91,10 +90,30 @@ ORACLES = {
     "smp4_dropout": level(f"id, CASE WHEN {UNIFORM('seed', 'id')} >= 0.1 THEN {BUCKET} END AS bucket"),
     "smp5_draws": f"{LEVELS}, idx AS (SELECT id, row_number() OVER (ORDER BY {UNIFORM('seed:place', 'id')}, id) - 1 AS k, count(*) OVER () AS n FROM lv), want AS (SELECT (i // 64)::int AS step, (i % 64)::int AS slot FROM range(0, 2560) r(i)) SELECT step, slot, id FROM want JOIN idx ON idx.k = floor({UNIFORM('seed', 'step', 'slot')} * n)",
     "smp8_oversampled": f"{LEVELS}, w AS (SELECT id, CASE bucket WHEN 8 THEN 2.5 WHEN 9 THEN 3.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS weight FROM bucketed), c AS (SELECT id, floor(weight)::int + ({UNIFORM('seed', 'id')} < weight - floor(weight))::int AS copies FROM w) SELECT id, unnest(range(1, copies + 1))::int AS copy FROM c",
-    "lbl3_agreement": "",
-    "ord1_examples": "",
 }
-own = "SELECT id, doc_id, text AS own_text FROM lv"
+NORMAL = f""", lines AS (SELECT id, list_transform(string_split({BROKEN}, chr(10)), lambda x: rtrim(x, chr(13))) AS l FROM lv),
+    used AS (SELECT id, l, list_filter(range(1, len(l) + 1), lambda i: trim(l[i]) <> '') AS u FROM lines),
+    inner_rows AS (SELECT id, CASE WHEN len(u) > 0 THEN list_slice(l, list_min(u), list_max(u)) ELSE [] END AS r FROM used),
+    normal AS (SELECT id, coalesce(array_to_string(list_transform(r, lambda x: rpad(translate(x, '-_', '  '), list_max(list_transform(r, lambda y: length(y)))::int, ' ')), chr(10)), '') AS t FROM inner_rows)"""
+
+
+def fault(t: str) -> str:
+    """The first fault of a normalised text."""
+    lines, before = f"string_split({t}, chr(10))", f"regexp_extract({t}, '^[# @$.*+\\n]*')"
+    return f"""CASE WHEN {t} = '' THEN 'empty' WHEN length({lines}[1]) * len({lines}) > 128 THEN 'too large'
+        WHEN length({before}) < length({t}) THEN 'unknown tile at row ' || (len(string_split({before}, chr(10))) - 1)::varchar || ' column ' || length(list_last(string_split({before}, chr(10))))::varchar
+        WHEN {count(t, '@+')} <> 1 THEN 'players' WHEN {count(t, '$*')} = 0 THEN 'no boxes' WHEN {count(t, '$*')} <> {count(t, '.*+')} THEN 'boxes and goals' END"""
+
+
+ORACLES["fn3_parse_error"] = f"{LEVELS}{NORMAL} SELECT id, {fault('t')} AS error FROM normal"
+ORACLES["fn4_normalised"] = f"{LEVELS}{NORMAL} SELECT id, t AS text FROM normal"
+ORACLES["snk3_edges"] = level("len(edges)::int AS n_edges, (generate_subscripts(edges, 1) - 1)::int AS k, unnest(edges) AS edge", "edges")
+ORACLES["snk1_label_cache"] = level("text, arg_min(status, doc_id) AS status, arg_min(moves, doc_id) AS moves, CASE WHEN bool_or(doc_id % 2 = 0) THEN 0 ELSE 1 END::int AS run", "lv GROUP BY text")
+ORACLES["snk5_bucket_card"] = ORACLES["fn13_bucket_labels"].replace("SELECT 0 AS bucket", ", labels AS (SELECT 0 AS bucket") + """),
+    counts AS (SELECT bucket, """ + ", ".join(f"count_if(split = '{s}')::bigint AS {s}" for s in ("test", "val", "hard", "train")) + """ FROM bucketed GROUP BY bucket)
+    SELECT labels.bucket::int AS bucket, """ + ", ".join(f"coalesce({s}, 0)::bigint AS {s}" for s in ("test", "val", "hard", "train")) + """, label AS moves FROM labels LEFT JOIN counts ON counts.bucket = labels.bucket"""
+ORACLES["lbl1_labels"] = f"""{LEVELS}, tab AS (SELECT text AS t, arg_min(status, doc_id) AS s, arg_min(moves, doc_id) AS m FROM lv WHERE {byte("doc_id::varchar", ":z")} > 12 GROUP BY text)
+    SELECT id, CASE WHEN {fault('text')} IS NOT NULL THEN 'invalid' WHEN s IS NULL THEN 'unlabelled' ELSE s END AS status, CASE WHEN {fault('text')} IS NOT NULL THEN 0 ELSE m END AS moves, {fault('text')} AS error FROM lv LEFT JOIN tab ON t = text"""
 THEIRS = f"theirs AS (SELECT file AS f, index AS i, CASE WHEN {byte('doc_id::varchar', ':x')} < 10 THEN (moves + 1)::varchar WHEN {byte('doc_id::varchar', ':x')} < 20 THEN 'none' ELSE moves::varchar END AS steps FROM lv WHERE {byte('doc_id::varchar', ':y')} > 12), verdict AS (SELECT file, index, moves, try_cast(steps AS int) AS steps, CASE WHEN try_cast(steps AS int) IS NULL THEN 'unlabelled' WHEN try_cast(steps AS int) = moves THEN 'agree' ELSE 'disagree' END AS verdict FROM lv LEFT JOIN theirs ON f = file AND i = index WHERE status = 'solved')"
 ORACLES["lbl3_agreement"] = f"{LEVELS}, {THEIRS} SELECT verdict, count(*) AS n FROM verdict GROUP BY verdict"
 ORACLES["ord1_examples"] = f"{LEVELS}, {THEIRS} SELECT file, index, steps, moves FROM verdict WHERE verdict = 'disagree' ORDER BY file, index LIMIT 5"
@@ -138,9 +157,23 @@ MEMBERS = """, members AS MATERIALIZED (SELECT 'all' AS "group", * FROM sc UNION
     spear AS (SELECT "group", CASE WHEN count(DISTINCT target) > 1 THEN round(corr(rt, rm), 9) END AS spearman FROM ranks GROUP BY "group")"""
 mean = lambda x: f"round(avg(CASE WHEN {x} THEN 1.0 ELSE 0.0 END::double), 9)"
 gap = lambda x: f"round(avg(CASE WHEN solved AND target IS NOT NULL THEN (CASE WHEN {x} THEN 1.0 ELSE 0.0 END)::double END), 9)"
-SUMS = f"""{MEMBERS}, sums AS (SELECT "group", count(*) AS n, {mean("valid")} AS valid, {mean("valid AND solved")} AS playable, {mean("novel_k")} AS novel, {mean("coalesce(novel_strict, false)")} AS novel_strict, {mean("valid AND solved AND novel_k")} AS playable_novel,
+SUMS = f"""{MEMBERS}, sums AS (SELECT "group", count(*) AS n, {mean("valid")} AS valid, {mean("valid AND solved")} AS playable, {mean("novel_k")} AS novel, {mean("coalesce(novel_strict, false)")} AS novel_strict, {mean("valid AND solved AND novel_k")} AS playable_novel, {mean("solved AND coalesce(novel_strict, false)")} AS novel_solvable,
     round(count(DISTINCT CASE WHEN valid THEN text END) / count(*), 9) AS "unique", quantile_cont(moves::double, 0.5) AS moves_median, {gap("bucket = target")} AS bucket_exact, {gap("abs(bucket - target) <= 1")} AS bucket_within1 FROM members GROUP BY "group"),
     spine AS (SELECT unnest(['all', 'conditional', 'unconditional', 'd0', 'd1', 'd2', 'd3', 'd4', 'd5', 'd6', 'd7', 'd8', 'd9']) AS "group")"""
+SUMMARY = """SELECT spine."group", coalesce(n, 0) AS n, valid, playable, novel, novel_strict, playable_novel, novel_solvable, "unique", moves_median, bucket_exact, bucket_within1, spearman,
+    CASE WHEN n > 0 THEN round(coalesce(len(alive), 0) / n, 9) END AS score FROM spine LEFT JOIN sums USING ("group") LEFT JOIN spear USING ("group") LEFT JOIN last USING ("group")"""
+
+
+def greedy(rows: str) -> str:
+    """CTEs down to `last`: of each group, the ids left when the one with most neighbours under 5 edits goes until none has any."""
+    return f""", div AS MATERIALIZED (SELECT "group", sample_id, text FROM {rows}), texts AS (SELECT DISTINCT text FROM div WHERE text IS NOT NULL),
+    close AS MATERIALIZED (SELECT a.text AS a, b.text AS b FROM texts a, texts b WHERE levenshtein(a.text, b.text) < 5),
+    edge AS MATERIALIZED (SELECT x."group", x.sample_id AS u, y.sample_id AS v FROM div x JOIN close ON a = x.text JOIN div y ON y.text = b AND y."group" = x."group" WHERE x.sample_id <> y.sample_id),
+    step AS (SELECT "group", 0 AS k, list(sample_id) AS alive FROM div WHERE text IS NOT NULL GROUP BY "group"
+        UNION ALL SELECT s."group", s.k + 1, list_filter(s.alive, lambda i: i <> w.u) FROM step s JOIN LATERAL (SELECT u FROM edge e WHERE e."group" = s."group" AND list_contains(s.alive, u) AND list_contains(s.alive, v) GROUP BY u ORDER BY count(*) DESC, u LIMIT 1) w ON true),
+    last AS (SELECT "group", arg_max(alive, k) AS alive FROM step GROUP BY "group")"""
+
+
 REWARDS = f""", rw AS MATERIALIZED (SELECT *, sample_id // 16000 AS group_id, CASE WHEN valid THEN 0.0 ELSE -1.0 END::double AS r_valid, solved::int::double AS r_playable, CASE WHEN solved AND target IS NOT NULL THEN round(exp(-abs(moves - {MIDDLE}) / 10.0::double), 9) ELSE 0.0::double END AS r_match, coalesce(novel_strict, false)::int::double AS r_novel FROM sc),
     tot AS MATERIALIZED (SELECT *, round(CASE WHEN valid THEN r_playable + r_match + r_novel ELSE -1.0::double END, 9) AS total FROM rw)"""
 ORACLES |= {
@@ -152,8 +185,12 @@ ORACLES |= {
     "join4_novel_k": f"{SAMPLES}, near AS MATERIALIZED {NEAR} SELECT sample_id, text IS NOT NULL AND text NOT IN (SELECT t FROM near) AS novel_k FROM sm",
     "join5_close_pairs": f"{SAMPLES}, t AS MATERIALIZED (SELECT DISTINCT text FROM sm WHERE text IS NOT NULL) SELECT a.text AS a, b.text AS b, levenshtein(a.text, b.text)::int AS distance FROM t a, t b WHERE a.text < b.text AND levenshtein(a.text, b.text) < 5",
     "join6_scored": f"{SCORES} SELECT sample_id, target, valid, status, solved, moves, bucket, novel_strict, novel_k, novel_exact FROM sc",
-    "lbl2_valid_only": f"{SCORES} SELECT status, count(*) AS n, count_if(solved)::bigint AS solved FROM sc GROUP BY status",
-    "agg8_summary": f'{SCORES}{SUMS} SELECT spine."group", coalesce(n, 0) AS n, valid, playable, novel, novel_strict, playable_novel, "unique", moves_median, bucket_exact, bucket_within1, spearman FROM spine LEFT JOIN sums USING ("group") LEFT JOIN spear USING ("group")',
+    "lbl2_valid_only": f"""{SAMPLES}, tab AS (SELECT text AS t, arg_min(solver_status, sample_id) AS s, arg_min(solver_moves, sample_id) AS m FROM sm WHERE text IS NOT NULL AND sample_id % 3 > 0 GROUP BY text)
+        SELECT sample_id, CASE WHEN text IS NULL THEN 'undecodable' WHEN NOT {valid("text")} THEN 'invalid' ELSE coalesce(s, 'unlabelled') END AS status, CASE WHEN {valid("text")} THEN m END AS moves FROM sm LEFT JOIN tab ON t = text""",
+    "snk4_scored_rows": f"{SCORES} SELECT sample_id, target, text, valid, status, moves, bucket, novel_strict FROM sc",
+    "agg8_summary": f'{SCORES}{SUMS}{greedy("members WHERE valid AND solved AND novel_k")} {SUMMARY}',
+    "agg10_diversity": f'{SCORES}{MEMBERS}{greedy("members")} SELECT "group", len(alive) AS diversity FROM last',
+    "agg11_headline": f'{SCORES}{MEMBERS}{greedy("members WHERE valid AND solved AND novel_k")} SELECT "group", count(*) AS n, coalesce(any_value(len(alive)), 0) AS diversity, round(coalesce(any_value(len(alive)), 0) / count(*), 9) AS score FROM members LEFT JOIN last USING ("group") GROUP BY "group"',
     "agg9_spearman": f'{SCORES}{MEMBERS} SELECT "group", spearman FROM spear',
     "agg12_confusion": f"{SCORES}, c AS (SELECT target, bucket, count(*) AS n FROM sc WHERE solved AND target IS NOT NULL GROUP BY ALL), e AS (SELECT a::int AS target, b::int AS bucket FROM range(0, 10) r(a), range(0, 10) s(b)) SELECT e.target, e.bucket, coalesce(n, 0) AS n, round(coalesce(n, 0) / greatest(coalesce(sum(n) OVER (PARTITION BY e.target), 1), 1), 9) AS share FROM e LEFT JOIN c ON c.target = e.target AND c.bucket = e.bucket",
     "agg13_calibration": f"{SCORES}, b AS (SELECT target, quantile_cont(moves::double, 0.25) AS q1, quantile_cont(moves::double, 0.5) AS median, quantile_cont(moves::double, 0.75) AS q3, count(*) AS n FROM sc WHERE solved AND target IS NOT NULL GROUP BY target), r AS (SELECT list_concat(list_concat([0.0::double], {EDGE_LIST}), [1.5 * {EDGES[-1]}::double]) AS r) SELECT b.target, round(r[b.target + 1], 9) AS lo, round(r[b.target + 2], 9) AS hi, q1, median, q3, min(moves)::double AS whisker_lo, max(moves)::double AS whisker_hi, n FROM b JOIN sc ON sc.target = b.target AND solved AND moves BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1), r GROUP BY ALL",
@@ -163,3 +200,10 @@ ORACLES |= {
     "rwd4_informative": f"{SCORES}{REWARDS} SELECT sample_id, group_id FROM tot WHERE group_id IN (SELECT group_id FROM tot GROUP BY group_id HAVING min(total) <> max(total))",
     "rwd5_selected": f"{SCORES} SELECT min(sample_id) AS sample_id, arg_min(target, sample_id) AS target FROM sc WHERE valid AND solved AND novel_exact AND target IS NOT NULL AND bucket = target GROUP BY form",
 }
+
+ORACLES["join7_distances"] = f"SELECT a.sample_id, a.nearest AS nn_edit, b.nearest AS nn_edit_sym FROM ({ORACLES['join2_nearest_edit']}) a JOIN ({ORACLES['join3_nearest_edit_symmetric']}) b USING (sample_id)"
+RUN = lambda k, more: f"""SELECT *, 'run{k}' AS run, {more} FROM ({SCORES.replace("sc AS MATERIALIZED", "whole AS MATERIALIZED")}, sc AS MATERIALIZED (SELECT * FROM whole WHERE sample_id % 2 = {k}){SUMS}{greedy("members WHERE valid AND solved AND novel_k")} {SUMMARY})"""
+ORACLES["rwd6_runs"] = f"{RUN(0, '1.5::double AS cost, NULL::double AS latency')} UNION ALL {RUN(1, '2.0::double AS cost, 30.0::double AS latency')}"
+ORACLES["join5_close_links"] = f"""{SAMPLES}, cls AS MATERIALIZED (SELECT text, min(sample_id) AS class_id, count(*) AS copies FROM sm WHERE text IS NOT NULL GROUP BY text),
+    near AS (SELECT a.text AS t, sum(b.copies) AS n FROM cls a, cls b WHERE a.text <> b.text AND levenshtein(a.text, b.text) < 5 GROUP BY a.text)
+    SELECT sample_id, class_id, (copies - 1 + coalesce(n, 0))::bigint AS links FROM sm LEFT JOIN cls USING (text) LEFT JOIN near ON t = text"""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import grid, tokens
 from gridspark.operators import dataset, labelling, neighbours, rewards, sampling, scoring
-from gridspark.operators.rounds import cut
+from gridspark.operators.rounds import cut, shared_folder
+from gridspark.sources import files
 from gridspark.sources.files import byte_of, table_levels, table_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,13 +31,13 @@ def per_level(name: str, *columns):
 
 text = lambda: F.col("text")
 # Faulty variants of a text, so that parsing and normalising have work to do: by id, ragged, dashed or cut.
-broken = lambda: F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\n"), F.translate(F.rtrim(F.col("text")), " ", "-"), F.lit("\r\n\n"))).when(F.col("doc_id") % 4 == 1, F.regexp_replace("text", "#\n#", "\n#")).when(F.col("doc_id") % 4 == 2, F.translate("text", "$", "x")).otherwise(F.col("text"))
+broken = lambda: F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\n"), F.when(F.col("doc_id") % 8 == 0, "-_-\n").otherwise(""), F.translate(F.rtrim(F.col("text")), " ", "-"), F.lit("\r\n\n"))).when(F.col("doc_id") % 4 == 1, F.regexp_replace("text", "#\n#", "\n#")).when(F.col("doc_id") % 4 == 2, F.translate("text", "$", "x")).otherwise(F.col("text"))
 bucket = lambda: F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 10).cast("int")
 path = lambda: F.translate(F.md5(F.col("id")), "0123456789abcdef", "lurdLURDlurdlurd")
 
 per_level("fn1_valid", lambda: grid.is_valid(text()).alias("valid"))
 per_level("fn2_counts", lambda: grid.players(text()).alias("players"), lambda: grid.boxes(text()).alias("boxes"), lambda: grid.goals(text()).alias("goals"), lambda: grid.count_of(text(), "#").alias("walls"))
-per_level("fn3_parse_error", lambda: grid.parse_error(broken()).alias("error"))
+per_level("fn3_parse_error", lambda: grid.parse_error(grid.normalised(broken())).alias("error"))
 per_level("fn4_normalised", lambda: grid.normalised(broken()).alias("text"))
 per_level("fn5_transform", lambda: grid.transform(text(), (F.col("doc_id") % 8).cast("int")).alias("image"))
 per_level("fn6_orbit", lambda: F.array_join(grid.orbit(text()), "|").alias("images"))
@@ -59,8 +61,13 @@ def fixed_edges(spark):
     return spark.range(1).select(F.array(*map(F.lit, EDGES)).alias("edges"))
 
 
+def kept_rows(spark, d):
+    """What both the edges and the buckets read, written once."""
+    return cut(solved(spark, d).select("id", "split", "moves", "text"))
+
+
 def in_buckets(spark, d):
-    rows = solved(spark, d)
+    rows = kept_rows(spark, d)
     return dataset.bucketed(rows, dataset.edges_of(rows.where("split = 'train'")))
 
 
@@ -123,8 +130,17 @@ def agg5_bucket_counts(spark, d):
 
 @query
 def snk5_bucket_card(spark, d):
-    rows = in_buckets(spark, d)
-    return dataset.bucket_card(rows, dataset.edges_of(rows.where("split = 'train'")))
+    rows = kept_rows(spark, d)
+    cuts = dataset.edges_of(rows.where("split = 'train'"))
+    return dataset.bucket_card(dataset.bucketed(rows, cuts), cuts)
+
+
+@query
+def snk3_edges(spark, d):
+    """The bucket edges as a job writes and reads them."""
+    rows = edges(spark, d).select("edges", F.size("edges").alias("n_edges"))
+    files.write_json(rows, path := f"{folder(spark)}/edges")
+    return files.read_json(spark, path, rows).select("n_edges", F.posexplode("edges").alias("k", "edge"))
 
 
 @query
@@ -199,6 +215,11 @@ def smp8_oversampled(spark, d):
     return sampling.oversampled(in_buckets(spark, d), {8: 2.5, 9: 3.0, 0: 0.5}, "seed").select("id", "copy")
 
 
+def folder(spark):
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/job-{uuid4().hex}"
+
+
 def corpus(spark, d):
     return cut(solved(spark, d).where("split = 'train'").select("text", "canonical"))
 
@@ -246,9 +267,26 @@ def join6_scored(spark, d):
     return scores(spark, d).select("sample_id", "target", "valid", "status", "solved", "moves", "bucket", "novel_strict", "novel_k", "novel_exact")
 
 
+@query
+def snk4_scored_rows(spark, d):
+    """Scored rows as a job writes and reads them, nulls kept."""
+    rows = scores(spark, d).select("sample_id", "target", "text", "valid", "status", "moves", "bucket", "novel_strict")
+    files.write_json(rows, path := f"{folder(spark)}/scored")
+    return files.read_json(spark, path, rows)
+
+
+@query
+def join7_distances(spark, d):
+    """nn_edit and nn_edit_sym of scored rows; the query set is every id that 50 divides."""
+    asked = cut(table_samples(spark, d).where("sample_id % 50 = 0"))
+    return scoring.with_distances(asked, corpus(spark, d)).select("sample_id", "nn_edit", "nn_edit_sym")
+
+
 @query
 def lbl2_valid_only(spark, d):
-    return scores(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if("solved").alias("solved"))
+    rows = cut(table_samples(spark, d))
+    labels = rows.where("text IS NOT NULL AND sample_id % 3 > 0").groupBy("text").agg(F.min_by(F.struct(F.col("solver_status").alias("status"), F.col("solver_moves").alias("moves")), "sample_id").alias("l")).select("text", "l.*")
+    return labelling.valid_only(rows, labels)
 
 
 @query
@@ -313,8 +351,13 @@ def lbl1_labels(spark, d):
 
 
 @query
-def fn14_verified(spark, d):
-    return labelling.verified(table_levels(spark, d).select("id", "text", path().alias("path"))).select("id", "path", "path_ok")
+def snk1_label_cache(spark, d):
+    """Two runs over one label table: the second labels only the texts that the first had not seen."""
+    rows = cut(table_levels(spark, d).select("doc_id", "text", "status", "moves"))
+    table, path = rows.groupBy("text").agg(F.min_by(F.struct("status", "moves"), "doc_id").alias("l")).select("text", "l.*"), f"{folder(spark)}/labels"
+    for run, part in enumerate((rows.where("doc_id % 2 = 0"), rows)):
+        found = files.cached_labels(part, path, lambda missing, run=run: missing.join(table, "text").withColumn("run", F.lit(run)))
+    return found.select("text", "status", "moves", "run")
 
 
 def rewarded(spark, d):
@@ -352,5 +395,5 @@ def rwd5_selected(spark, d):
 @query
 def rwd6_runs(spark, d):
     rows = scores(spark, d)
-    parts = {f"run{k}": scoring.summary(rows.where(F.col("sample_id") % 2 == k)).select("group", "n", "valid", "playable", "moves_median") for k in (0, 1)}
-    return rewards.runs_table(parts)
+    parts = {f"run{k}": scoring.summary(rows.where(F.col("sample_id") % 2 == k)) for k in (0, 1)}
+    return rewards.runs_table(parts, {"run0": {"cost": 1.5, "latency": None}, "run1": {"cost": 2.0, "latency": 30.0}})

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import bucket_labels, bucket_of
 
+#: Statuses, and the names of outcomes and figures below.
 STATUSES = ["solved", "unsolvable", "budget_exceeded", "invalid"]
 ORDER = ("split_rank", "source_rank", "file", "index")
 BUCKETS = 10
@@ -112,6 +113,3 @@ def nearest_rank(rows: DataFrame, column: str, points: tuple[float, ...]) -> Dat
     hits = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("total")), F.col("v"))).alias(f"p{round(100 * p)}") for p in points]
     return ranked.agg(*hits, F.first("largest").alias("largest"))
 
-
-def solved_share(column: Column) -> Column:
-    return F.avg((column == "solved").cast("double"))

@@ -1,68 +1,22 @@
-"""Labelling jobs: solver calls by Arrow batch, path replay and checks against external labels."""
+"""Labelling jobs: any solver by Arrow batch, label tables and checks against external labels."""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.grid import normalised, parse_error
+from gridspark.functions.grid import is_valid, normalised, parse_error, sample_status
 from gridspark.sources.files import unlabelled
 
+#: Levels and a node budget in; status, moves, pushes, path and nodes of each out.
 Solver = Callable[[list[str], int], list[tuple[str, int, int, str, int]]]
 SCHEMA = "status string, moves int, pushes int, path string, nodes_expanded long"
-#: A step's letter, row and column; pushes are written in upper case.
-STEPS = (("l", 0, -1), ("u", -1, 0), ("r", 0, 1), ("d", 1, 0))
-
-
-def parsed(text: str) -> tuple[int, frozenset, frozenset, frozenset, int]:
-    """Player, boxes, goals, walls as cells, and the width of a row."""
-    rows = text.split("\n")
-    width = len(rows[0])
-    at = lambda tiles: frozenset(r * width + c for r, row in enumerate(rows) for c, x in enumerate(row) if x in tiles)
-    return min(at("@+"), default=-1), at("$*"), at(".*+"), at("#"), width
-
-
-def breadth_first(texts: list[str], max_nodes: int) -> list[tuple[str, int, int, str, int]]:
-    """A small move-optimal solver within a node budget, for levels of a few boxes; any other may be passed instead."""
-    out = []
-    for text in texts:
-        player, boxes, goals, walls, width = parsed(text)
-        height = len(text.split("\n"))
-        seen, queue, nodes, answer = {(player, boxes)}, deque([(player, boxes, "")]), 0, None
-        while queue and nodes < max_nodes and answer is None:
-            at, now, path = queue.popleft()
-            nodes += 1
-            if now == goals:
-                answer = path
-                break
-            for letter, dr, dc in STEPS:
-                r, c = at // width + dr, at % width + dc
-                to = r * width + c
-                if not (0 <= r < height and 0 <= c < width) or to in walls:
-                    continue
-                boxes_then, step = now, letter
-                if to in now:
-                    r2, c2 = r + dr, c + dc
-                    beyond = r2 * width + c2
-                    if not (0 <= r2 < height and 0 <= c2 < width) or beyond in walls or beyond in now:
-                        continue
-                    boxes_then, step = now - {to} | {beyond}, letter.upper()
-                if (to, boxes_then) not in seen:
-                    seen.add((to, boxes_then))
-                    queue.append((to, boxes_then, path + step))
-        if answer is not None:
-            out.append(("solved", len(answer), sum(x.isupper() for x in answer), answer, nodes))
-        else:
-            out.append(("budget_exceeded" if queue else "unsolvable", 0, 0, "", nodes))
-    return out
-
-
-def label(levels: DataFrame, max_nodes: int, solver: Solver = breadth_first, parts: int = 64, batch: int = 200) -> DataFrame:
+
+
+def label(levels: DataFrame, max_nodes: int, solver: Solver, parts: int = 64, batch: int = 200) -> DataFrame:
     """LBL-1: levels (text, ...) with a label each; every distinct text is solved once, faulty ones are `invalid` with their error.
 
     Search effort is heavy-tailed: texts are dealt to many small partitions.
@@ -96,55 +50,15 @@ def merged(levels: DataFrame, labels: DataFrame) -> DataFrame:
     return levels.join(found.withColumnRenamed("text", "_text"), F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
 
 
-def replayed(texts: list[str], paths: list[str]) -> list[bool | None]:
-    """Lock-step replay of all paths of one shape on boolean boards."""
-    rows = [t.split("\n") for t in texts]
-    height, width = len(rows[0]), len(rows[0][0])
-    board = np.array([[[x for x in row] for row in r] for r in rows])
-    wall, box, goal = (np.pad(np.isin(board, list(s)), ((0, 0), (1, 1), (1, 1)), constant_values=s == "#") for s in ("#", "$*", ".*+"))
-    you = np.argmax(np.isin(board, ["@", "+"]).reshape(len(rows), -1), 1)
-    r, c = you // width + 1, you % width + 1
-    good, every = np.ones(len(rows), bool), np.arange(len(rows))
-    moves = {x: (dr, dc) for x, dr, dc in STEPS}
-    for k in range(max(map(len, paths), default=0)):
-        step = [p[k] if k < len(p) else "" for p in paths]
-        known = np.array([s.lower() in moves for s in step])
-        good &= known | (np.array(step) == "")
-        on = good & known
-        delta = np.array([moves.get(s.lower(), (0, 0)) for s in step])
-        push = np.array([s.isupper() for s in step])
-        r1, c1 = np.clip(r + delta[:, 0], 0, height + 1), np.clip(c + delta[:, 1], 0, width + 1)
-        r2, c2 = np.clip(r1 + delta[:, 0], 0, height + 1), np.clip(c1 + delta[:, 1], 0, width + 1)
-        blocked = wall[every, r1, c1] | (box[every, r1, c1] != push) | (push & (wall[every, r2, c2] | box[every, r2, c2]))
-        good &= ~on | ~blocked
-        on &= ~blocked
-        moved = every[on & push]
-        box[moved, r1[moved], c1[moved]] = False
-        box[moved, r2[moved], c2[moved]] = True
-        r, c = np.where(on, r1, r), np.where(on, c1, c)
-    return [bool(x) for x in good & (box == goal).all((1, 2))]
-
-
-def verified(rows: DataFrame) -> DataFrame:
-    """FN-14: rows (text, path, ...) with `path_ok`; null where the text has no level."""
-    level = normalised(F.col("text"))
-    rows = rows.withColumn("_level", F.when(parse_error(level).isNull() & F.col("path").isNotNull(), level))
-    names = [c for c in rows.columns if c != "_level"]
+def valid_only(samples: DataFrame, labels: DataFrame) -> DataFrame:
+    """LBL-2: samples (sample_id, text) with status and moves: only valid texts meet the label table (text, status, moves), the rest keep why not.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.Series([None] * len(frame), dtype=object)
-            level = frame["_level"].tolist()
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for i, x in enumerate(level):
-                if x is not None:
-                    shapes.setdefault((x.count("\n"), x.find("\n")), []).append(i)
-            for at in shapes.values():
-                for i, ok in zip(at, replayed([level[i] for i in at], [frame["path"].iloc[i] for i in at]), strict=True):
-                    out.iloc[i] = ok
-            yield frame[names].assign(path_ok=out.to_numpy())
-
-    return rows.mapInPandas(run, rows.select(names).schema.add("path_ok", "boolean"))
+    A valid text that the table lacks is `unlabelled`; a null text is undecodable.
+    """
+    rows = samples.select("sample_id", "text", is_valid(F.col("text")).alias("valid"))
+    known = merged(rows.where("valid").select("sample_id", "text"), labels).select(F.col("sample_id").alias("_id"), F.col("status").alias("_status"), "moves")
+    out = rows.join(known, F.col("sample_id") == F.col("_id"), "left")
+    return out.select("sample_id", sample_status(F.col("text"), F.col("valid"), F.col("_status")).alias("status"), "moves")
 
 
 def agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Novelty and edit distance.
 
 The decision joins (is any text within k - 1 edits?) cut a text into k pieces, of which one at
-least survives k - 1 edits, moved by k - 1 places at most: pieces meet in an equi-join and pairs
-are verified by `levenshtein`. Exact copies are collapsed first, so no copies pair up.
+least survives k - 1 edits. Some piece i survives with i edits at most before it and k - 1 - i after
+it, which bounds how far it has moved. Pieces meet in an equi-join, together with the number of walls
+in steps of k, and pairs are verified by `levenshtein`. Exact copies are collapsed first, so no
+copies pair up.
 """
 
 from __future__ import annotations
@@ -34,18 +36,25 @@ def pieces(text: Column, k: int, length: Column, shift: Column | None = None) ->
     return F.array_compact(F.array(*(piece(i) for i in range(k))))
 
 
+def walls(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "#", ""))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, k: int, ordered: bool = False) -> DataFrame:
     """Distinct (ta, tb, distance) of texts under k edits apart; left (ta), right (tb), both distinct.
 
-    Tile counts that differ by k or more can't be under k edits apart: they are a join condition.
+    Wall counts that differ by k or more can't be under k edits apart: they are part of the key. Texts
+    on the right post their pieces only for lengths that the left has.
     """
-    walls = lambda t: F.length(t) - F.length(F.translate(t, "#", ""))
-    near = range(-(k - 1), k)
-    posted = left.select("ta", walls(F.col("ta")).alias("wa"), F.explode(pieces(F.col("ta"), k, F.length("ta"))).alias("key"))
-    moved = right.select("tb", walls(F.col("tb")).alias("wb"), F.explode(F.array(*(F.length("tb") + d for d in near))).alias("n")).where("n >= 0")
+    near, step = range(-(k - 1), k), lambda w: F.floor(w / k).cast("int")
+    posted = left.select("ta", walls(F.col("ta")).alias("wa"), F.explode(pieces(F.col("ta"), k, F.length("ta"))).alias("key")).withColumn("w", step(F.col("wa")))
+    lengths = left.select(F.length("ta").alias("n")).distinct()
+    moved = right.select("tb", walls(F.col("tb")).alias("wb"), F.explode(F.array(*(F.length("tb") + d for d in near))).alias("n")).where("n >= 0").join(lengths, "n")
     moved = moved.select("tb", "wb", F.explode(F.sequence(F.lit(near[0]), F.lit(near[-1]))).alias("d"), "n")
-    moved = moved.select("tb", "wb", F.explode(pieces(F.col("tb"), k, F.col("n"), F.col("d"))).alias("key")).distinct()
-    pairs = posted.join(moved, (posted["key"] == moved["key"]) & (F.abs(F.col("wa") - F.col("wb")) < k))
+    moved = moved.select("tb", "wb", "n", "d", F.explode(pieces(F.col("tb"), k, F.col("n"), F.col("d"))).alias("key"))
+    moved = moved.where((F.abs("d") <= F.col("key.i")) & (F.abs(F.length("tb") - F.col("n") - F.col("d")) <= k - 1 - F.col("key.i")))
+    moved = moved.withColumn("w", F.explode(F.array(*(step(F.col("wb")) + x for x in (-1, 0, 1)))))
+    pairs = posted.join(moved, (posted["key"] == moved["key"]) & (posted["w"] == moved["w"]) & (F.abs(F.col("wa") - F.col("wb")) < k))
     pairs = pairs.where("ta < tb") if ordered else pairs
     pairs = pairs.select("ta", "tb").distinct()
     return pairs.withColumn("distance", F.levenshtein("ta", "tb", k - 1)).where("distance >= 0")
@@ -90,14 +99,17 @@ def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric
     """
     texts = samples.select("text").where("text IS NOT NULL").distinct()
     asked = texts.select("text", F.explode(orbit(F.col("text"))).alias("q")).distinct() if symmetric else texts.select("text", F.col("text").alias("q"))
-    known = corpus.select(F.col("text").alias("c")).where("c IS NOT NULL").distinct()
+    asked = asked.withColumn("wq", walls(F.col("q")))
+    known = corpus.select(F.col("text").alias("c")).where("c IS NOT NULL").distinct().withColumn("wc", walls(F.col("c")))
     n = asked.count()
     blocks = -(-n // BLOCK)
     found = None
     for b in range(max(1, blocks)):
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(max(1, blocks))) == b)
-        d = F.levenshtein("q", "c", cap)
-        best = known.join(F.broadcast(part)).select("text", F.when(d < 0, cap + 1).otherwise(d).alias("d")).groupBy("text").agg(F.min("d").alias("d"))
+        # Lengths or wall counts too far apart need no table of distances.
+        far = (F.abs(F.length("q") - F.length("c")) > cap) | (F.abs(F.col("wq") - F.col("wc")) > cap)
+        d = F.when(~far, F.levenshtein("q", "c", cap))
+        best = known.join(F.broadcast(part)).select("text", F.when(d >= 0, d).otherwise(cap + 1).alias("d")).groupBy("text").agg(F.min("d").alias("d"))
         found = best if found is None else found.unionByName(best)
     least = found.groupBy(F.col("text").alias("_text")).agg(F.min("d").alias("nearest"))
     return samples.join(least, F.col("text") == F.col("_text"), "left").withColumn("nearest", F.when(F.col("text").isNotNull(), F.coalesce("nearest", F.lit(cap + 1)))).drop("_text")

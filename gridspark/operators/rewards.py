@@ -45,10 +45,11 @@ def selected(rows: DataFrame) -> DataFrame:
     return good.join(first, "sample_id", "left_semi").drop("_form")
 
 
-def runs_table(summaries: dict[str, DataFrame]) -> DataFrame:
-    """RWD-6: the summaries of several runs, one row a run and group."""
+def runs_table(summaries: dict[str, DataFrame], more: dict[str, dict[str, float | None]] | None = None) -> DataFrame:
+    """RWD-6: the summaries of several runs, one row a run and group, with cost and latency where `more` gives them."""
     out = None
     for run, rows in summaries.items():
-        named = rows.withColumn("run", F.lit(run))
+        given = (more or {}).get(run, {})
+        named = rows.withColumns({"run": F.lit(run), **{c: F.lit(given.get(c)).cast("double") for c in ("cost", "latency")}})
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
     return out

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from gridspark.functions.grid import orbit
 from gridspark.functions.tokens import encode, pick, uniform
 
-PARTS = 256
+#: Rows of a part, about; parts grow in number with the rows.
+PART_ROWS, LEAST_PARTS = 1_000_000, 64
 
 
 def ranked(rows: DataFrame, value, *ties: str) -> DataFrame:
     """rows with `rank`, dense from 0 by a value in [0, 1); no task sorts more than a part of the rows."""
-    rows = rows.withColumn("_v", value).withColumn("_part", F.floor(F.col("_v") * PARTS).cast("int"))
+    parts = max(LEAST_PARTS, rows.count() // PART_ROWS)
+    rows = rows.withColumn("_v", value).withColumn("_part", F.floor(F.col("_v") * parts).cast("int"))
     sums = rows.groupBy("_part").agg(F.count("*").alias("m"))
-    below = sums.alias("a").join(sums.alias("b"), F.expr("b._part < a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("_below"))
+    # One row a part: a millionth of the rows.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = sums.select("_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_below"))
     order = Window.partitionBy("_part").orderBy("_v", *ties)
     return rows.join(F.broadcast(below), "_part").withColumn("rank", F.col("_below") + F.row_number().over(order) - 1).drop("_v", "_part", "_below")
 

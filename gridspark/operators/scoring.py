@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.grid import bucket_of, is_valid, sample_status
 from gridspark.operators.dataset import BUCKETS
-from gridspark.operators.neighbours import close_pairs, novel, novel_k
+from gridspark.operators.neighbours import close_pairs, nearest_edit, novel, novel_k
+
+
+#: Ranges of ids that a value's rows are ranked in.
+ID_RANGES = 64
 
 
 def scored(samples: DataFrame, corpus: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
@@ -24,17 +28,29 @@ def scored(samples: DataFrame, corpus: DataFrame, edges: DataFrame, k: int = 5)
     return rows.withColumn("novel_exact", F.col("valid") & F.coalesce("novel_strict", F.lit(False)))
 
 
+def with_distances(rows: DataFrame, corpus: DataFrame, cap: int = 20) -> DataFrame:
+    """JOIN-2, JOIN-3 as columns nn_edit and nn_edit_sym of scored rows; for a stated query set, as each row meets the whole corpus."""
+    for name, symmetric in (("nn_edit", False), ("nn_edit_sym", True)):
+        rows = nearest_edit(rows, corpus, cap, symmetric).withColumnRenamed("nearest", name)
+    return rows
+
+
 def ordinal_rank(rows: DataFrame, column: str, rank: str, *group: str) -> DataFrame:
     """WIN-2: 0-based ordinal rank by (value, sample_id) within the groups.
 
-    Values are few: their counts give each value's offset, and rows are ranked within a value only.
+    Values are few: counts by value and range of ids give each range's offset, and rows are ranked
+    within a range only, so that a value which many rows share is no sort in one task.
     """
-    keys = [*group, column]
+    points = F.array(*(F.lit(k / ID_RANGES) for k in range(1, ID_RANGES)))
+    edges = rows.agg(F.percentile_approx("sample_id", points).alias("_ids"))
+    part = F.size(F.filter(F.coalesce("_ids", F.array().cast("array<bigint>")), lambda e: e < F.col("sample_id")))
+    rows = rows.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_ids")
+    keys = [*group, column, "_part"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*group).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*group).orderBy(column, "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")
     order = Window.partitionBy(*keys).orderBy("sample_id")
-    return rows.join(offsets, keys).withColumn(rank, F.col("_below") + F.row_number().over(order) - 1).drop("_below")
+    return rows.join(offsets, keys).withColumn(rank, F.col("_below") + F.row_number().over(order) - 1).drop("_below", "_part")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -56,17 +72,21 @@ def share(of: Column) -> Column:
 
 
 def summary(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """AGG-6, AGG-7, AGG-8: metrics of all, conditional, unconditional and each bucket; empty groups have n = 0."""
+    """AGG-6, AGG-7, AGG-8: metrics of all, conditional, unconditional and each bucket; empty groups have n = 0.
+
+    Fixed values: the names of metrics and groups.
+    """
     members = grouped(rows)
     playable, on = F.col("valid") & F.col("solved"), F.when(F.col("solved") & F.col("target").isNotNull(), F.col("bucket") - F.col("target"))
     sums = members.groupBy("group").agg(
         F.count("*").alias("n"), share(F.col("valid")).alias("valid"), share(playable).alias("playable"), share(F.col("novel_k")).alias("novel"), share(F.coalesce("novel_strict", F.lit(False))).alias("novel_strict"),
-        share(playable & F.col("novel_k")).alias("playable_novel"), F.round(F.count_distinct(F.when(F.col("valid"), F.col("text"))) / F.count("*"), 9).alias("unique"),
+        share(playable & F.col("novel_k")).alias("playable_novel"), share(F.col("solved") & F.coalesce("novel_strict", F.lit(False))).alias("novel_solvable"), F.round(F.count_distinct(F.when(F.col("valid"), F.col("text"))) / F.count("*"), 9).alias("unique"),
         F.percentile("moves", 0.5).alias("moves_median"), F.round(F.avg((on == 0).cast("double")), 9).alias("bucket_exact"), F.round(F.avg((F.abs(on) <= 1).cast("double")), 9).alias("bucket_within1"),
     )
     names = F.array(*map(F.lit, ["all", "conditional", "unconditional", *(f"d{b}" for b in range(buckets))]))
     spine = rows.sparkSession.range(1).select(F.explode(names).alias("group"))
-    out = spine.join(sums, "group", "left").join(spearman(members), "group", "left")
+    score = headline(rows).select("group", "score")
+    out = spine.join(sums, "group", "left").join(spearman(members), "group", "left").join(score, "group", "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 

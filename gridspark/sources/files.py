@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,12 +13,15 @@ from pyspark.sql import types as T
 def read_levels(spark: SparkSession, path: str, split: str) -> DataFrame:
     """SRC-1, SRC-2: split, file, index, text of all `*.txt` below a folder.
 
-    A block begins with `;` and its number; text before the first `;` and blank rows are left out.
+    A block begins with `;` and its number; text before the first `;` and empty rows are left out, rows
+    of floor stay. A file is one value (a thousand levels, some hundred KB), so that its start is known.
     """
-    blocks = spark.read.option("lineSep", ";").option("pathGlobFilter", "*.txt").text(path).select("value", F.col("_metadata.file_name").alias("name"))
-    lines = F.split(F.translate(F.col("value"), "\r", ""), "\n", -1)
-    rows = blocks.select(F.regexp_extract("name", r"(\d+)\.txt$", 1).try_cast("int").alias("file"), F.trim(F.element_at(lines, 1)).try_cast("int").alias("index"), F.array_join(F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.length(F.trim(x)) > 0), "\n").alias("text"))
-    return rows.where("index IS NOT NULL AND text <> ''").select(F.lit(split).alias("split"), "file", "index", "text")
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), F.col("_metadata.file_name").alias("name"))
+    blocks = files.select("name", F.posexplode(F.split("value", ";", -1)).alias("k", "block")).where("k > 0")
+    lines = F.split(F.regexp_replace("block", "^\n+|\n+$", ""), "\n", -1)
+    rows = F.filter(lines, lambda x, i: (i > 0) & (F.length(x) > 0))
+    out = blocks.select(F.lit(split).alias("split"), F.regexp_extract("name", r"(\d+)\.txt$", 1).try_cast("int").alias("file"), F.trim(lines[0]).try_cast("int").alias("index"), F.array_join(rows, "\n").alias("text"))
+    return out.where("index IS NOT NULL")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -24,10 +30,10 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_external_labels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: file, index, steps of gzip CSV labels; of repeated keys the last row stays."""
+    """SRC-5: file, index, steps of gzip CSV labels; of repeated keys the last row stays, by file name, then place in the file."""
     names = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.option("header", True).schema(schema).csv(path).withColumn("_at", F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).schema(schema).csv(path).withColumn("_at", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     last = rows.groupBy(F.col("File").try_cast("int").alias("file"), F.col("Level").try_cast("int").alias("index")).agg(F.max_by("Steps", "_at").alias("steps"))
     return last
 
@@ -37,6 +43,19 @@ def unlabelled(levels: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
     return levels.join(cache.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def cached_labels(levels: DataFrame, path: str, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """SNK-1: the label table at `path` after the texts it lacks have been labelled and appended; what it has is used again."""
+    spark = levels.sparkSession
+    try:
+        missing = unlabelled(levels.select("text").distinct(), spark.read.parquet(path), "text")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = levels.select("text").distinct()
+    label(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_splits(levels: DataFrame, path: str, parts: int = 8) -> None:
     """SNK-2: one dataset partitioned by split; a salt keeps a large split from one task."""
     levels.repartition(F.col("split"), F.pmod(F.xxhash64("id"), F.lit(parts))).write.mode("overwrite").partitionBy("split").parquet(path)
@@ -48,10 +67,15 @@ def read_split(spark: SparkSession, path: str, split: str, *columns: str) -> Dat
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """SNK-3, SNK-4: JSON lines that keep nulls."""
+    """SNK-3, SNK-4: JSON lines that keep nulls: the bucket edges, scored rows."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_json(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What write_json has written, with the types of `like`."""
+    return spark.read.schema(like.schema).json(path)
+
+
 def grid_of(key: Column) -> Column:
     """A deterministic 10 x 10 grid from an id: hashed walls and floor, nine objects laid over them, a ring of walls."""
     hashed = lambda s: F.md5(F.concat(key, F.lit(s)))

@@ -1,5 +1,6 @@
 """Level functions and operators on small hand-written levels."""
 
+import gzip
 import random
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from gridspark.jobs import queries
 from gridspark.operators import dataset, labelling, neighbours, scoring
 from gridspark.sources import files
 
-WIDE = "#####\n#@$.#\n#  ##\n#####"
+ROOM = "#######\n# @ . #\n##$ ###\n#######"
 
 
 def one(spark, text, *columns):
@@ -17,17 +18,19 @@ def one(spark, text, *columns):
 
 
 def test_orbit_has_eight_images_and_one_canonical(spark):
-    images = one(spark, WIDE, grid.orbit(F.col("text")))[0]
+    images = one(spark, ROOM, grid.orbit(F.col("text")))[0]
     assert len(set(images)) == 8
     rows = spark.createDataFrame([(x,) for x in images], "text string")
     assert rows.select(grid.canonical(F.col("text"))).distinct().count() == 1
-    assert one(spark, "##\n#", grid.canonical(F.col("text")))[0] is None
-    assert one(spark, WIDE, grid.transform(F.col("text"), 8))[0] is None
+    assert one(spark, "#.#\n##", grid.canonical(F.col("text")))[0] is None
+    assert one(spark, ROOM, grid.transform(F.col("text"), 8))[0] is None
 
 
 def test_normalised_and_faults(spark):
     text = F.col("text")
-    assert one(spark, "\n  \n###\r\n#-@_\n\n", grid.normalised(text))[0] == "### \n# @ "
+    assert one(spark, " \n\n#_#\r\r\n##-$.\n   \n*\n \t\n", grid.normalised(text))[0] == "# #  \n## $.\n     \n*    "
+    assert one(spark, "---\n#@#\n__", grid.normalised(text))[0] == "   \n#@#\n   "
+    assert one(spark, "\n  \n", grid.normalised(text))[0] == ""
     fault = lambda x: one(spark, x, grid.parse_error(text))[0]
     assert fault("") == fault(None) == "empty"
     assert fault("####\n#x #") == "unknown tile at row 1 column 1"
@@ -55,13 +58,13 @@ def test_tokens_round_trip_and_rejection(spark):
     df = spark.range(50).select(rows.alias("text"), (F.col("id") % 10).cast("int").alias("bucket"))
     assert df.where(tokens.decode(tokens.encode(F.col("text"), F.col("bucket"))) != F.col("text")).count() == 0
     assert df.where(tokens.encode(F.col("text"), F.lit(10)).isNotNull()).count() == 0
-    assert one(spark, WIDE, tokens.encode(F.col("text"), F.lit(1)))[0] is None
+    assert one(spark, ROOM, tokens.encode(F.col("text"), F.lit(1)))[0] is None
 
 
 def test_range_labels(spark):
-    edges = F.array(*map(F.lit, (10.0, 15.0, 16.0)))
-    assert spark.range(1).select(grid.bucket_labels(edges, "upper")).first()[0] == ["≤ 10", "11–15", "16", "≥ 17"]
-    assert spark.range(1).select(grid.bucket_labels(edges)).first()[0] == ["≤ 9", "10–14", "15", "≥ 16"]
+    edges = F.array(*map(F.lit, (7.0, 9.5, 30.0, 31.0)))
+    assert spark.range(1).select(grid.bucket_labels(edges, "upper")).first()[0] == ["≤ 7", "8–9", "10–30", "31", "≥ 32"]
+    assert spark.range(1).select(grid.bucket_labels(edges)).first()[0] == ["≤ 6", "7–9", "10–29", "30", "≥ 31"]
 
 
 def test_unsolved_first_copy_blocks_later_ones(spark):
@@ -70,30 +73,67 @@ def test_unsolved_first_copy_blocks_later_ones(spark):
     assert {r["id"]: r["outcome"] for r in dataset.deduplicated(df).collect()} == {"a": "unsolved", "b": "duplicate", "c": "kept"}
 
 
-def test_labels_replay_and_statuses(spark):
-    texts = ["#####\n#@$.#\n#####", "######\n#@ $.#\n######", "####\n#$ #\n#@.#\n####", "###\n#@#\n###"]
-    rows = {r["text"]: r for r in labelling.verified(labelling.label(spark.createDataFrame([(t,) for t in texts], "text string"), 10_000, parts=2)).collect()}
-    assert [rows[t]["status"] for t in texts] == ["solved", "solved", "unsolvable", "invalid"]
-    assert [rows[t]["moves"] for t in texts[:2]] == [1, 2] and rows[texts[1]]["path"] == "rR"
-    assert rows[texts[0]]["path_ok"] is True and rows[texts[3]]["path_ok"] is None
-    wrong = spark.createDataFrame([(texts[0], "r"), (texts[0], "L"), (texts[1], "RR")], "text string, path string")
-    assert [r["path_ok"] for r in labelling.verified(wrong).collect()] == [False] * 3
+def test_any_solver_labels_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
 
+    def solver(texts, max_nodes):
+        seen.add(len(texts))
+        return [("solved", x.count(" "), 0, "", max_nodes) for x in texts]
 
-def test_labels_and_replay_take_whole_levels(spark):
+    texts = [ROOM, ROOM, ROOM.replace("@", "-"), None]
+    rows = labelling.label(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), 7, solver, parts=2).collect()
+    rows.sort(key=lambda r: r["i"])
+    assert [(r["status"], r["moves"], r["nodes_expanded"], r["error"]) for r in rows] == [("solved", 4, 7, None)] * 2 + [("invalid", 0, 0, "players"), ("invalid", 0, 0, "empty")]
+    assert seen.value == 1
+
+
+def test_labels_take_whole_levels(spark):
     d = "/root/testdata/sf0.001"
     levels = files.table_levels(spark, d).select("id", grid.is_valid(F.col("text")).alias("valid")).collect()
-    valid = {r["id"] for r in levels if r["valid"]}
     labels = queries.lbl1_labels(spark, d).collect()
-    assert len(labels) == len(levels) and {r["id"] for r in labels if r["status"] != "invalid"} == valid
+    assert len(labels) == len(levels) and {r["id"] for r in labels if r["status"] != "invalid"} == {r["id"] for r in levels if r["valid"]}
     assert {"solved", "unlabelled", "invalid"} <= {r["status"] for r in labels}
-    paths = queries.fn14_verified(spark, d).collect()
-    assert len(paths) == len(levels) and {r["id"] for r in paths if r["path_ok"] is not None} == valid
+
+
+def test_only_valid_samples_meet_the_label_table(spark):
+    good = files.grid_of(F.lit("5"))
+    rows = spark.range(4).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 2, good).when(F.col("id") == 2, "###").alias("text"))
+    text = rows.first()["text"]
+    valid = one(spark, text, grid.is_valid(F.col("text")))[0]
+    table = spark.createDataFrame([(text, "solved", 9), ("###", "solved", 1)], "text string, status string, moves int")
+    got = {r["sample_id"]: (r["status"], r["moves"]) for r in labelling.valid_only(rows, table).collect()}
+    assert got == {0: ("solved", 9) if valid else ("invalid", None), 1: got[0], 2: ("invalid", None), 3: ("undecodable", None)}
+
+
+def test_label_cache_appends_and_is_used_again(spark, tmp_path):
+    asked = []
+
+    def label(missing):
+        asked.append(sorted(r["text"] for r in missing.collect()))
+        return missing.withColumn("status", F.lit("solved"))
+
+    for texts in (["a", "b", "a"], ["b", "c"], ["c"]):
+        out = files.cached_labels(spark.createDataFrame([(x,) for x in texts], "text string"), str(tmp_path / "cache"), label)
+    assert asked == [["a", "b"], ["c"], []] and sorted(r["text"] for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_ordinal_ranks_of_a_frequent_value(spark):
+    rng = random.Random(8)
+    rows = [(i * i, rng.choice([1, 1, 1, 1, 2, 3])) for i in rng.sample(range(5000), 800)]
+    got = {r["sample_id"]: r["rank"] for r in scoring.ordinal_rank(spark.createDataFrame(rows, "sample_id long, v int"), "v", "rank").collect()}
+    assert got == {i: k for k, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
+
+
+def test_json_keeps_nulls_and_types(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, [0.5, 1.25]), (2, "x", None)], "a long, b string, c array<double>")
+    files.write_json(rows, str(tmp_path / "rows"))
+    back = files.read_json(spark, str(tmp_path / "rows"), rows)
+    assert back.schema == rows.schema and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
 
 
 def test_labels_merge_back(spark):
-    texts = [WIDE, WIDE, "#####\n#@$.#\n#####", "###\n#@#\n###", None]
-    table = spark.createDataFrame([(WIDE, "solved", 1)], "text string, status string, moves int")
+    texts = [ROOM, ROOM, ROOM.replace(" @", "@ "), ROOM.replace("$", " "), None]
+    table = spark.createDataFrame([(ROOM, "solved", 1)], "text string, status string, moves int")
     got = labelling.merged(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), table).orderBy("i").collect()
     assert [(r["status"], r["moves"], r["error"] is None) for r in got] == [("solved", 1, True), ("solved", 1, True), ("unlabelled", None, True), ("invalid", 0, False), ("invalid", 0, False)]
 
@@ -149,14 +189,17 @@ def test_close_links_count_copies(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "004.txt").write_text("junk\n; 0\n###\n#@#\n\n; 1\n####\r\n\n#$.#\n")
+    (tmp_path / "017.txt").write_text("3\n#\n; 20\n#+#\n   \n#.#\n\n; 21\n#*##\r\n\n#  #\n;22\n")
     rows = files.read_levels(spark, str(tmp_path), "test").orderBy("index").collect()
-    assert [(r["file"], r["index"], r["text"]) for r in rows] == [(4, 0, "###\n#@#"), (4, 1, "####\n#$.#")]
+    assert [(r["file"], r["index"], r["text"]) for r in rows] == [(17, 20, "#+#\n   \n#.#"), (17, 21, "#*##\n#  #"), (17, 22, "")]
     (tmp_path / "s.json").write_text('{"sample_id": 1, "target": 2, "text": "x"}\n\n{"sample_id": 2, "target": null, "text": null}\n')
     assert files.read_samples(spark, str(tmp_path / "s.json")).count() == 2
-    (tmp_path / "l.csv").write_text("File,Level,Steps\n4,0,7\n4,0,9\n4,1,none\n")
-    labels = {(r["file"], r["index"]): r["steps"] for r in files.read_external_labels(spark, str(tmp_path / "l.csv")).collect()}
-    assert labels == {(4, 0): "9", (4, 1): "none"}
+    (tmp_path / "labels").mkdir()
+    for name, lines in (("b", "6,2,31\n"), ("a", "6,2,8\n6,2,12\n6,3,open\n")):
+        with gzip.open(tmp_path / "labels" / f"{name}.csv.gz", "wt") as f:
+            f.write("File,Level,Steps\n" + lines)
+    labels = {(r["file"], r["index"]): r["steps"] for r in files.read_external_labels(spark, str(tmp_path / "labels")).collect()}
+    assert labels == {(6, 2): "31", (6, 3): "open"}
     levels = spark.createDataFrame([("a", "x", "test"), ("b", "y", "train")], "id string, text string, split string")
     files.write_splits(levels, str(tmp_path / "out"))
     assert files.read_split(spark, str(tmp_path / "out"), "train", "id").collect()[0][0] == "b"
