@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as spm
 
@@ -163,23 +164,29 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
+def beside(docs: DataFrame, without: tuple[str, ...], column: str) -> tuple[DataFrame, list[str]]:
+    """`column` of docs and, as one struct `row`, all columns but `without`, with their names."""
+    names = [c for c in docs.columns if c not in without]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), column), names
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of docs with `ids` array<int> after them (in place of a column ids that docs has); a null text has no ids."""
-    docs = docs.drop("ids")
-    schema = docs.schema.fieldNames()
+    rows, names = beside(docs, ("ids",), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for rows, texts in chunks(batch):
-                yield pa.RecordBatch.from_arrays([*rows.columns, id_lists([c.encode((x or b"").decode()) for x in texts])], names=[*schema, "ids"])
+            for part, texts in chunks(batch):
+                yield pa.RecordBatch.from_arrays([part.column("row"), id_lists([c.encode((x or b"").decode()) for x in texts])], names=["row", "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "ids")
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """tokens (ids array<int>) with `bytes` binary, what the ids stand for, in place of ids; no ids stand for no bytes."""
-    schema = [x for x in tokens.columns if x not in ("ids", "bytes")]
+    rows, names = beside(tokens, ("ids", "bytes"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -189,9 +196,10 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = batch.column("ids").slice(at, to - at).flatten().to_numpy()
                 ends = np.cumsum(np.append(0, c.size[ids]))[np.cumsum(np.append(0, sizes[at:to]))]
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(c.decode(ids))])
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(at, to - at) for x in schema), data.cast(pa.binary())], names=[*schema, "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, to - at), data.cast(pa.binary())], names=["row", "bytes"])
 
-    return tokens.select(*schema, "ids").mapInArrow(run, T.StructType([*tokens.select(schema).schema.fields, T.StructField("bytes", T.BinaryType())]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("bytes", T.BinaryType())]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "bytes")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

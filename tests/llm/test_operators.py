@@ -1,8 +1,10 @@
 """Every text operator against a plain version, over the smallest tables and over rows made to be awkward."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import brute
 import public_tokenizers
@@ -86,13 +88,52 @@ def test_licenses(docs, empty):
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_decontamination(spark, docs, limit):
-    """limit = 0 sends the benchmark through the shuffled join."""
-    items = [(1, " ".join(TEXTS[6].split()[20:45])), (2, "mit license"), (3, None), (4, ""), (10, "words"), (None, "two words")]
+def test_decontamination(spark, docs, empty, limit):
+    """limit = 0 sends the benchmark through the shuffled joins."""
+    items = [(1, " ".join(TEXTS[6].split()[20:45])), (2, "mit license"), (3, None), (4, ""), (10, "words"), (None, "two words"), (5, "mit license"), (2, "mit license")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs.dropDuplicates(["doc_id"]).where("doc_id is not null"), benchmark, limit)
-    want = {r[0]: brute.contamination(r[1], [x for x in items if x[0] and x[1]]) for r in awkward() if r[0] is not None}
-    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    want = [brute.contamination(t, [x for x in items if x[0] and x[1]]) for t in TEXTS]
+    columns = "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    same(decontaminate.contamination(docs, benchmark, limit), want, *columns)
+    same(decontaminate.contamination(docs, benchmark.where("false"), limit), [(w[0], 0, 0, brute.sha(""), False) for w in want], *columns)
+    assert decontaminate.contamination(empty, benchmark, limit).count() == 0
+    assert decontaminate.clean(docs, benchmark, limit).count() == sum(not w[-1] for w in want)
+
+
+CLASH = ["row", "w", "rk", "x", "base", "all_spans", "made", "blank", "best", "ids", "contaminated", "n_hit", "n_words", "added", "t0", "doc id", "a.b", "TEXTS"]
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    rows = [(1, "a clean text of more than ten words about ships and the sea"), (2, "another clean text of more than ten words about fields, mail to me@x.org now")]
+    wide = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in CLASH)) for r in rows], ["doc_id", "text", *CLASH])
+    benchmark = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for f in (quality.good, near_dedup.deduplicated, lambda d: decontaminate.clean(d, benchmark), lambda d: decontaminate.clean(d, benchmark, 0), pii.redacted):
+        out = f(wide)
+        assert out.columns == wide.columns
+        got = sorted(map(tuple, out.collect()))
+        assert [(r[0], *r[2:]) for r in got] == [(i, *(f"{c}{i}" for c in CLASH)) for i in (1, 2)]
+    ids = bpe.encoded(wide, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted(ids.columns) == sorted(wide.columns) and dict(ids.dtypes)["ids"] == "array<int>"
+    back = bpe.decoded(ids, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert back.where("bytes <> cast(text AS binary)").count() == 0
+
+
+def test_a_rejected_text_never_reaches_later_rules(spark):
+    F = pii.F
+    rows = spark.createDataFrame([(1, "too short"), (2, "")], "doc_id long, text string")
+    first, dear = quality.Rule("first", lambda m: m["n_words"] < 10), quality.Rule("dear", lambda m: F.raise_error(F.lit("reached")).cast("boolean"))
+    words = quality.with_words(rows, F.col("doc_id"))
+    got = words.select(quality.cascade((first, dear), quality.measures()).alias("r")).collect()
+    assert [r["r"] for r in got] == ["first", "first"]
+    with pytest.raises(Exception, match="reached"):
+        words.select(quality.cascade((dear, first), quality.measures()).alias("r")).collect()
+
+
+def test_rules_run_by_rejections_per_measured_cost(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, text if i % 3 else "short") for i in range(60)], "doc_id long, text string")
+    order = [r.name for r in quality.ordered_rules(docs)]
+    assert order[0] == "words" and sorted(order) == sorted(r.name for r in quality.RULES)
 
 
 def test_pii(docs, empty):
@@ -166,15 +207,136 @@ def test_bpe(docs, empty):
     assert bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_sharding(docs, empty):
-    got = sharding.shard(docs, 5).collect()
+def test_narrow_pattern_matches_alike():
+    rng = random.Random(11)
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    every = [chr(i) for i in range(256)]
+    for a in every:
+        for x in (a, a * 2, f"a{a}b", f" {a} ", f"1{a}2", f"'{a}", f"\n{a}\r\n"):
+            assert c.find_narrow(x) == c.find(x)
+    for _ in range(3000):
+        x = "".join(rng.choices(every if rng.random() < 0.5 else "aZ9' \t\n\r\x85\xa0\xaa\xb5\xb2\xbd\xdf.", k=rng.randint(1, 30)))
+        assert c.find_narrow(x) == c.find(x)
+
+
+@pytest.mark.parametrize("shards", [5, 24])
+def test_sharding(docs, empty, shards):
+    got = sharding.shard(docs, shards).collect()
     sizes = {}
     for r in got:
         sizes.setdefault(r["shard"], []).append(r["slot"])
-    assert sum(map(len, sizes.values())) == len(TEXTS) and {len(v) for v in sizes.values()} <= {len(TEXTS) // 5, len(TEXTS) // 5 + 1}
-    assert all(sorted(v) == list(range(len(v))) for v in sizes.values())
-    assert sorted((r["doc_id"], r["size"]) for r in got if r["doc_id"] is not None) == sorted((r[0], len((r[1] or "").encode()) + 8) for r in awkward() if r[0] is not None)
-    assert sharding.shard(empty).count() == 0
+    assert sum(map(len, sizes.values())) == len(TEXTS) and {len(v) for v in sizes.values()} <= {len(TEXTS) // shards, len(TEXTS) // shards + 1}
+    assert len(sizes) == min(shards, len(TEXTS)) and all(sorted(v) == list(range(len(v))) for v in sizes.values())
+    key = lambda x: repr(x)
+    want = [(r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in awkward()]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=key) == sorted(want, key=key)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    assert sharding.shard(empty, shards).count() == 0
+
+
+def test_communication_matrix_is_hypergeometric():
+    counts, shards, sums = {3: 40, 1: 7, 9: 0, 4: 23}, 6, {}
+    for seed in range(400):
+        drawn = sharding.communication(counts, shards, seed)
+        assert {b: int(x.sum()) for b, x in drawn.items()} == counts
+        assert sorted(int(sum(x[k] for x in drawn.values())) for k in range(shards)) == [11, 11, 12, 12, 12, 12]
+        for b, x in drawn.items():
+            sums[b] = sums.get(b, 0) + x
+    for b, n in counts.items():
+        for k in range(shards):
+            size = 11 + (k < 70 % shards)
+            p = n / 70
+            deviation = (size * p * (1 - p) * (70 - size) / 69 / 400) ** 0.5
+            assert abs(sums[b][k] / 400 - size * p) <= 5 * deviation
+
+
+def test_licence_texts(spark):
+    from gridspark.llm.license_texts import TEXTS as texts
+
+    mit = next(t.text for t in texts if t.label == "mit")
+    words = mit.split()
+    cases = [(i, "Copyright 2020 A. Person\n" + t.text.upper(), t.label) for i, t in enumerate(texts)]
+    cases += [
+        (100, " ".join([*words[:60], "inserted", *words[60:]]), "mit"),
+        (101, mit.replace("without restriction", "with restriction"), ""),
+        (102, "x " * 500 + mit + " y" * 500, "mit"),
+        (103, " ".join(sorted(words)), ""),
+        (104, " ".join(words[:30]), "mit"),
+        (105, mit + "\n" + next(t.text for t in texts if t.label == "zlib"), "mit,zlib"),
+        (106, None, ""),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    assert {i: x[0] for i, x in got.items()} == {c[0]: c[2] for c in cases}
+    assert all((s > 0) == bool(x) and 0 <= s <= 1 for x, s in got.values()) and got[0][1] == 1.0
+
+
+def test_language_equals_plain_naive_bayes(spark, monkeypatch):
+    """n-grams that are not hashed, in plain Python; and the same rows where languages come in blocks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+
+    def grams(text):
+        out, low = [], (text or "").lower()
+        x = "".join(c if c.isalpha() else " " for c in low)
+        keep = [i for i, c in enumerate(x) if c != " " or (i > 0 and x[i - 1] != " ") or (i + 1 < len(x) and x[i + 1] != " ")]
+        x = "".join(x[i] for i in keep)
+        for n in (1, 2, 3):
+            out += [g for g in (x[i : i + n] for i in range(len(x) - n + 1)) if g.strip()]
+        return out
+
+    count, size = {}, {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            size[r["lang"]] = size.get(r["lang"], 0) + 1
+            of = count.setdefault(r["lang"], {})
+            for g in grams(r["text"]):
+                of[g] = of.get(g, 0) + 1
+    total = {k: sum(v.values()) + 0.1 * langid.BINS for k, v in count.items()}
+    want = {}
+    for r in rows:
+        g = grams(r["text"])
+        value = {k: math.log(size[k] / sum(size.values())) + sum(math.log((count[k].get(x, 0) + 0.1) / total[k]) for x in g) for k in sorted(count)}
+        want[r["doc_id"]] = max(value, key=value.get) if g else "und"
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    assert sum(got[d][0] == want[d] for d in want) >= 0.99 * len(want)
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    monkeypatch.setattr(langid, "COUNTED", 1)
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    assert {d: x[0] for d, x in again.items()} == {d: x[0] for d, x in got.items()}
+    assert all(abs(again[d][1] - got[d][1]) < 1e-9 for d in got)
+
+
+def test_toxicity_equals_plain_neighbours(spark):
+    """Weights, cosines and votes of whole texts in plain Python."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and r["doc_id"] in texts and texts[r["doc_id"]] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    bags = {i: Counter(brute.words(brute.lower(t), brute.ALNUM)) for i, t in texts.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    n1, n = sum(toxic.values()), len(toxic)
+    n0 = n - n1
+    held = Counter(w for i in toxic for w in bags[i])
+    hot = Counter(w for i in toxic if toxic[i] for w in bags[i])
+
+    def weight(w):
+        a, b = hot[w], held[w] - hot[w]
+        chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(1, held[w] * (n - held[w]) * n1 * n0)
+        lean = (1 + chi) ** 0.5 if held[w] >= toxicity.LEAST_DF and a * n0 > b * n1 and chi >= toxicity.CHI2 else 1
+        return (math.log((1 + len(texts)) / (1 + df[w])) + 1) * lean
+
+    value = {w: weight(w) for w in held}
+    vector = {i: {w: (1 + math.log(k)) * value[w] for w, k in bags[i].items() if w in value} for i in texts}
+    length = {i: sum(x * x for x in v.values()) ** 0.5 for i, v in vector.items()}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    for i in texts:
+        sims = {j: sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / (length[i] * length[j] or 1) for j in toxic}
+        best = sorted(sims.values(), reverse=True)[: toxicity.NEIGHBOURS]
+        evidence = got[i]["evidence"]
+        assert len(evidence) == min(toxicity.EVIDENCE, sum(x > 0 for x in best))
+        votes = sum(x * x for x in best)
+        for e, x in zip(evidence, best):
+            assert e["toxic"] == toxic[e["doc_id"]] and abs(sims[e["doc_id"]] - x) < 1e-9 and abs(e["share"] - x * x / votes) < 1e-9
 
 
 def test_held_out_accuracy(spark):
