@@ -88,6 +88,16 @@ ORACLES: dict[str, str] = {
             FROM d LEFT JOIN hit USING (r))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
             NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.2 * n_words OR n_exclaims > 0.5 * n_words OR n_stutters > 0.3 * n_words OR (n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 25 * n_words OR word_chars < 1.5 * n_words) AS kept FROM m""",
+    # Two hexadecimal digits a byte; windows meet by md5, runs are islands of starts at most 400 apart.
+    "op4_suffix_dedup": """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS i FROM d)),
+        starts AS (SELECT r, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+        o AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM starts),
+        g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS island FROM o),
+        runs AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY r, island),
+        s AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM runs),
+        parts AS (SELECT s.r, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS tail, sum(hi - lo) AS removed, count(*) AS n FROM s JOIN d USING (r) GROUP BY s.r)
+        SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(n, 0)::bigint AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1, length(h)))) AS kept_sha256 FROM d LEFT JOIN parts USING (r)""",
     "op8_decontamination": f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {split_sql(LOWER, OTHER)} AS w FROM documents),
         b AS (SELECT item_id::varchar AS item, {split_sql(LOWER, OTHER)} AS w FROM benchmark WHERE item_id IS NOT NULL),
         win AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
