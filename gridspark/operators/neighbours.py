@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import canonical, orbit
+from gridspark.operators.rounds import cut
 
 #: Query texts of one block of an exhaustive search; bounds what is broadcast.
 BLOCK = 2000
@@ -100,7 +101,10 @@ def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric
     texts = samples.select("text").where("text IS NOT NULL").distinct()
     asked = texts.select("text", F.explode(orbit(F.col("text"))).alias("q")).distinct() if symmetric else texts.select("text", F.col("text").alias("q"))
     asked = asked.withColumn("wq", walls(F.col("q")))
-    known = corpus.select(F.col("text").alias("c")).where("c IS NOT NULL").distinct().withColumn("wc", walls(F.col("c")))
+    known = corpus.select(F.col("text").alias("c")).where("c IS NOT NULL").distinct()
+    # Few bytes, much work: as many parts as the cluster has room for, whatever their size.
+    known = known.repartition(2 * samples.sparkSession.sparkContext.defaultParallelism, "c").withColumn("wc", walls(F.col("c")))
+    asked = cut(asked)
     n = asked.count()
     blocks = -(-n // BLOCK)
     found = None
