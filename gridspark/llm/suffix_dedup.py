@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import CHUNK_BYTES, U64, chunks, cut, inverse_powers, mix, powers, prefix_hash, row_key, span_hash
 
 LENGTH, GRAM, GRID, GROUP = 400, 16, 128, 2000
+#: Bytes of text that are cut into windows at once; a byte takes about a hundred bytes of arrays.
+CELL_BYTES = 1_000_000
 _SECOND = U64(0xC2B2AE3D27D4EB4F)
 _SECOND_INVERSE = U64(pow(int(_SECOND), -1, 1 << 64))
 
@@ -96,10 +98,10 @@ def all_cells(length: int):
             for rows, texts in chunks(batch):
                 texts = [x or b"" for x in texts]
                 # A long text comes in pieces that share length - 1 bytes.
-                pieces = [(i, s, x[s : s + CHUNK_BYTES + length - 1]) for i, x in enumerate(texts) for s in range(0, max(1, len(x) - length + 1), CHUNK_BYTES)]
+                pieces = [(i, s, x[s : s + CELL_BYTES + length - 1]) for i, x in enumerate(texts) for s in range(0, max(1, len(x) - length + 1), CELL_BYTES)]
                 groups, size = [[]], 0
                 for piece in pieces:
-                    if size + len(piece[2]) > 2 * CHUNK_BYTES and groups[-1]:
+                    if size + len(piece[2]) > CELL_BYTES and groups[-1]:
                         groups.append([])
                         size = 0
                     groups[-1].append(piece)
