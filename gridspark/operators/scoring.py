@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.grid import bucket_of, is_valid, sample_status
 from gridspark.operators.dataset import BUCKETS
 from gridspark.operators.neighbours import close_pairs, nearest_edit, novel, novel_k
-
+from gridspark.operators.rounds import cut
 
 #: Ranges of ids that a value's rows are ranked in.
 ID_RANGES = 64
@@ -113,35 +113,47 @@ def calibration(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def diversity(rows: DataFrame, k: int = 5) -> DataFrame:
     """AGG-10: by group, what is left when the row with most neighbours under k edits goes until none has any.
 
-    rows (group, sample_id, text). Ties go to the lowest sample_id. A row that exceeds all its
-    neighbours goes before any of them in the sequential order too, whatever happens elsewhere:
-    so all such rows go in one round, and rounds of joins replace the sequence.
+    rows (group, sample_id, text); rows without an id or a text don't count. Ties go to the lowest sample_id.
+    Copies of a text are one node with a count, and so are texts with the same neighbours, themselves included.
+    When a row goes, its node and all its neighbours lose one neighbour each. So a node that exceeds all its
+    neighbours stays ahead of them until it is empty, whatever happens elsewhere: all such nodes go in one round.
+    A node that ties with neighbours gives up its rows below their lowest id. Each node without neighbours
+    leaves one row in the end.
     """
-    from gridspark.operators.rounds import cut
-
-    members = rows.where("text IS NOT NULL").select("group", "sample_id", "text")
+    members = rows.where("text IS NOT NULL AND sample_id IS NOT NULL").select("group", "sample_id", "text")
     pairs = close_pairs(members, k).select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = members.select(F.col("text").alias("a"), F.col("text").alias("b")).distinct()
-    near = both.unionByName(copies)
-    left, right = (members.select("group", F.col("sample_id").alias(s), F.col("text").alias(t)) for s, t in (("u", "a"), ("v", "b")))
-    edges = cut(left.join(near, "a").join(right, ["group", "b"]).where("u <> v").select("group", "u", "v"))
-    gone = 0
-    lost = None
-    while True:
-        degree = edges.groupBy("group", "u").agg(F.count("*").alias("d"))
-        rank = degree.select("group", F.col("u").alias("v"), F.col("d").alias("dv"))
-        top = edges.join(degree, ["group", "u"]).join(rank, ["group", "v"]).groupBy("group", "u").agg(F.min(((F.col("d") > F.col("dv")) | ((F.col("d") == F.col("dv")) & (F.col("u") < F.col("v")))).cast("int")).alias("best")).where("best = 1")
-        top = cut(top.select("group", F.col("u").alias("out")))
-        gone = top.count()
-        if not gone:
-            break
-        lost = top if lost is None else lost.unionByName(top)
-        edges = cut(edges.join(top, (edges["group"] == top["group"]) & (edges["u"] == top["out"]), "left_anti").join(top, (edges["group"] == top["group"]) & (edges["v"] == top["out"]), "left_anti"))
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
-    if lost is None:
-        return sizes.select("group", F.col("n").alias("diversity"))
-    return sizes.join(lost.groupBy("group").agg(F.count("*").alias("m")), "group", "left").select("group", (F.col("n") - F.coalesce("m", F.lit(0))).alias("diversity"))
+    texts = cut(members.groupBy("group", "text").agg(F.count("*").alias("n"), F.min("sample_id").alias("low")))
+    left, right = (texts.select("group", F.col("text").alias(x)) for x in ("a", "b"))
+    near = cut(left.join(both, "a").join(right, ["group", "b"]).select("group", "a", "b"))
+
+    around = near.unionByName(texts.select("group", F.col("text").alias("a"), F.col("text").alias("b")))
+    sums = [F.sum(F.xxhash64(F.lit(seed), F.col("b")).cast("decimal(38,0)")).alias(f"around{seed}") for seed in (1, 2)]
+    twins = around.groupBy("group", F.col("a").alias("text")).agg(*sums)
+    heads = twins.groupBy("group", "around1", "around2").agg(F.min("text").alias("node"))
+    node = cut(twins.join(heads, ["group", "around1", "around2"]).select("group", "text", "node"))
+    of = lambda x: node.select("group", F.col("text").alias(x), F.col("node").alias(f"node_{x}"))
+    edges = near.join(of("a"), ["group", "a"]).join(of("b"), ["group", "b"]).where("node_a <> node_b")
+    edges = cut(edges.select("group", F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    state = cut(texts.join(node, ["group", "text"]).groupBy("group", "node").agg(F.sum("n").alias("n"), F.min("low").alias("low")))
+    held = cut(members.join(node, ["group", "text"]).select("group", "node", "sample_id"))
+
+    while not edges.isEmpty():
+        sizes = state.select("group", F.col("node").alias("b"), F.col("n").alias("nb"))
+        degree = edges.join(sizes, ["group", "b"]).groupBy("group", F.col("a").alias("node")).agg(F.sum("nb").alias("others"))
+        degree = degree.join(state, ["group", "node"]).select("group", "node", "low", (F.col("others") + F.col("n") - 1).alias("d"))
+        mine, rival = (degree.select("group", F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("d").alias(f"d_{x}")) for x in ("a", "b"))
+        ties = F.col("d_a") == F.col("d_b")
+        beaten = (F.col("d_b") > F.col("d_a")) | (ties & (F.struct("low_b", "b") < F.struct("low_a", "a")))
+        best = edges.join(mine, ["group", "a"]).join(rival, ["group", "b"]).groupBy("group", F.col("a").alias("node"))
+        best = best.agg(F.max(beaten).alias("beaten"), F.min(F.when(ties, F.col("low_b"))).alias("until"), F.min("low_a").alias("gone")).where("NOT beaten")
+        best = cut(best.select("group", "node", "gone", "until"))
+        rest = held.join(best.where("until IS NOT NULL"), ["group", "node"]).where("sample_id >= until AND sample_id > gone")
+        rest = rest.groupBy("group", "node").agg(F.count("*").alias("n"), F.min("sample_id").alias("low"))
+        state = cut(state.join(best, ["group", "node"], "left_anti").unionByName(rest))
+        alive = lambda x: state.select("group", F.col("node").alias(x))
+        edges = cut(edges.join(alive("a"), ["group", "a"], "left_semi").join(alive("b"), ["group", "b"], "left_semi"))
+    return state.groupBy("group").agg(F.count("*").alias("diversity"))
 
 
 def headline(rows: DataFrame, k: int = 5) -> DataFrame:

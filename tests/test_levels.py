@@ -148,6 +148,12 @@ def test_diversity_equals_the_sequential_greedy(spark):
             for _ in range(rng.randint(0, 4)):
                 x[rng.randrange(16)] = rng.choice("abcd")
             rows.append((f"g{g}", i, "".join(x)))
+    # Copies in any order of ids, of texts in a chain: equal degrees meet, and nodes empty in turns.
+    chain = ["a" * 8 + "b" * n + "a" * (8 - n) for n in range(7)]
+    for g in range(4, 8):
+        rows += [(f"g{g}", i, rng.choice(chain[: g - 1])) for i in rng.sample(range(100), 30)]
+    rows += [("g8", i, chain[0]) for i in range(12)]
+    rows.sort(key=lambda r: (r[0], r[1]))
     got = {r["group"]: r["diversity"] for r in scoring.diversity(spark.createDataFrame(rows, "group string, sample_id long, text string"), 3).collect()}
 
     def distance(a, b):
@@ -158,6 +164,7 @@ def test_diversity_equals_the_sequential_greedy(spark):
                 last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
         return d[-1]
 
+    assert set(got) == {h for h, _, _ in rows}
     for g in got:
         left = [t for h, _, t in rows if h == g]
         while left:
