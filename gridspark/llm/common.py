@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from tempfile import mkdtemp
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2_000_000
+#: Spark's setting that an execution deletes its shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +59,17 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint, which cuts lineage and survives lost executors.
 
-    Spark deletes shuffle files of finished steps once the driver's garbage is collected; asking for
-    that here keeps long chains of steps from holding all their files to the end.
+    The step's shuffle files go as soon as it is written, so that long chains of steps don't hold all their
+    files to the end. Only this execution is set so: df itself may be read again.
     """
-    shared_folder(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def components(edges: DataFrame) -> DataFrame:
