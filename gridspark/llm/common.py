@@ -38,6 +38,12 @@ def row_key():
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def wide_row_key():
+    """The same in 128 bits, so that no two rows of a large corpus meet by chance."""
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")))
+    return F.unhex(F.md5(text))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; one of our own where none is set, in local mode only."""
     context = spark.sparkContext
@@ -73,7 +79,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a long, b long): rows (id, comp), comp the smallest id.
+    """Connected components of edges (a, b), long or binary: rows (id, comp), comp the smallest id.
 
     Alternating large-star and small-star steps; every step is a grouped minimum with
     map-side combine and a join, so that a hub is no group in one task.
@@ -106,6 +112,8 @@ _RNG = np.random.default_rng(20240613)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=U64) | U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_SECOND = U64(0xC2B2AE3D27D4EB4F)
+_SECOND_INVERSE = U64(pow(int(_SECOND), -1, 1 << 64))
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -137,6 +145,13 @@ def inverse_powers(n: int) -> np.ndarray:
     return powers(_INVERSE, n)
 
 
+def second_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums under another base and another coding of bytes, and the inverse powers."""
+    out = np.zeros(len(data) + 1, U64)
+    np.cumsum(mix(np.arange(1, 257, dtype=U64))[data] * powers(_SECOND, len(data)), out=out[1:], dtype=U64)
+    return out, powers(_SECOND_INVERSE, len(data) + 1)
+
+
 @dataclass
 class Words:
     """The words of a chunk of texts, in order; `first[i]:first[i+1]` are those of text i."""
@@ -151,6 +166,11 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words that don't depend on `hash`."""
+        prefix, back = second_hash(np.frombuffer(self.data, np.uint8))
+        return mix((prefix[self.end] - prefix[self.start]) * back[self.start] + (self.end - self.start).astype(U64))
+
 
 def words_of(texts: list[bytes | None], ends_word: np.ndarray) -> Words:
     """Lower-case A-Z and cut into words, for all texts at once."""

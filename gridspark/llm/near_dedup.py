@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash and an inverted join on signature coordinates.
 
-A document's set holds its distinct n-word shingles. Each set of shingles is one class, so
-that exact copies never meet in a join. Classes post (coordinate, value) keys; keys that only
+A document's set holds its distinct n-word shingles. Each set of shingles is one class, named by
+128 bits of two independent hashes of the set, so that copies never meet in a join. Classes post (coordinate, value) keys; keys that only
 one class holds are dropped. Two linked classes agree in at least `matches` of the coordinates
 but for a chance of MISS at the threshold itself, so they share one of the rarest
 `coordinates - matches + 1` keys of each (the prefix); only those are joined.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import BLANKS, U64, chunks, components, cut, mix, packed, row_key, window_hash, words_of
+from gridspark.llm.common import BLANKS, U64, Words, chunks, components, cut, mix, packed, wide_row_key, window_hash, words_of
 
 MISS = 1e-6
 #: 64-bit words of shingle parities a class carries.
@@ -51,24 +51,39 @@ def least_matches(coordinates: int, percent: int) -> int:
     return coordinates
 
 
-def shingle_sets(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one after another, and where each text's begin."""
-    w = words_of(texts, BLANKS)
-    counts = np.diff(w.first)
-    h = window_hash(w.hash, n)
+def shingles(w: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every shingle, from hashes of the words."""
+    h = window_hash(hashes, n)
     inside = w.doc[: len(h)] == w.doc[n - 1 : n - 1 + len(h)]
-    hashes, docs = [h[inside]], [w.doc[: len(h)][inside]]
+    out, docs = [h[inside]], [w.doc[: len(h)][inside]]
+    counts = np.diff(w.first)
     for i in np.flatnonzero((counts > 0) & (counts < n)):
-        part = w.hash[w.first[i] : w.first[i + 1]]
-        hashes.append(window_hash(part, len(part)))
+        part = hashes[w.first[i] : w.first[i + 1]]
+        out.append(window_hash(part, len(part)))
         docs.append(np.array([i]))
-    hashes, docs = np.concatenate(hashes), np.concatenate(docs)
+    return np.concatenate(out), np.concatenate(docs)
+
+
+def distinct(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles to take, in order of text and hash, and where each text's begin."""
     order = np.lexsort((hashes, docs))
-    hashes, docs = hashes[order], docs[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
-    hashes, docs = hashes[new], docs[new]
-    return hashes, np.searchsorted(docs, np.arange(len(texts) + 1))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (docs[order[1:]] != docs[order[:-1]])
+    order = order[new]
+    return order, np.searchsorted(docs[order], np.arange(n_docs + 1))
+
+
+def shingle_sets(texts: list[bytes | None], n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, one after another, and where each text's begin."""
+    w = words_of(texts, BLANKS)
+    h, docs = shingles(w, w.second() if second else w.hash, n)
+    take, first = distinct(h, docs, len(texts))
+    return h[take], first
+
+
+def wide(x: np.ndarray) -> pa.Array:
+    """Rows of two numbers as 16 bytes each."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
 def sketches(n: int, coordinates: int):
@@ -77,21 +92,25 @@ def sketches(n: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch):
-                hashes, first = shingle_sets(texts, n)
+                w = words_of(texts, BLANKS)
+                hashes, of = shingles(w, w.hash, n)
+                take, first = distinct(hashes, of, len(texts))
+                hashes, others = hashes[take], shingles(w, w.second(), n)[0][take]
                 size = np.diff(first)
                 full = np.flatnonzero(size)
                 sig = np.zeros((len(texts), coordinates), np.int32)
-                vid = np.zeros(len(texts), np.int64)
+                vid = np.zeros((len(texts), 2), U64)
                 buckets = 64 * PARITY_WORDS
                 bucket = np.repeat(np.arange(len(texts)), size) * buckets + (mix(hashes) % U64(buckets)).astype(np.int64)
                 odd = np.packbits(np.bincount(bucket, minlength=len(texts) * buckets).astype(np.uint8) & 1).view(np.int64)
                 if len(full):
                     at = first[full]
-                    vid[full] = mix(np.add.reduceat(mix(hashes ^ U64(0x5851F42D4C957F2D)), at) + size[full].astype(U64)).view(np.int64)
+                    for k, h in enumerate((hashes, others)):
+                        vid[full, k] = mix(np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at) + size[full].astype(U64))
                     for k, seed in enumerate(seeds):
                         sig[full, k] = (np.minimum.reduceat((hashes ^ seed) * U64(0xD6E8FEB86659FD93) ^ (hashes >> U64(29)) * seed, at) >> U64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("rk"), pa.array(size.astype(np.int64)), pa.array(vid), pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY_WORDS, dtype=np.int32)), pa.array(odd))],
+                    [rows.column("doc_id"), rows.column("rk"), pa.array(size.astype(np.int64)), wide(vid), pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY_WORDS, dtype=np.int32)), pa.array(odd))],
                     names=["doc_id", "rk", "n_shingles", "vid", "sig", "odd"],
                 )
 
@@ -112,13 +131,13 @@ def exploded(n: int):
 
 
 def similar(n: int, percent: int):
-    """Confirm pairs on the full sets of both texts."""
+    """Confirm pairs on the full sets of both texts, by other hashes than those that made them meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, left in chunks(batch, "left"):
                 right = rows.column("right").cast(pa.large_binary()).to_pylist()
-                h, first = shingle_sets([x for pair in zip(left, right, strict=True) for x in pair], n)
+                h, first = shingle_sets([x for pair in zip(left, right, strict=True) for x in pair], n, second=True)
                 keep = []
                 for i in range(len(left)):
                     a, b, c = first[2 * i : 2 * i + 3]
@@ -131,8 +150,8 @@ def similar(n: int, percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
     """Rows (doc_id, rk, n_shingles, component_id, group, kept), one for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text", row_key().alias("rk"))
-    sketch = cut(docs.mapInArrow(sketches(shingle, coordinates), "doc_id long, rk long, n_shingles long, vid long, sig array<int>, odd array<long>"))
+    docs = docs.select("doc_id", "text", wide_row_key().alias("rk"))
+    sketch = cut(docs.mapInArrow(sketches(shingle, coordinates), "doc_id long, rk binary, n_shingles long, vid binary, sig array<int>, odd array<long>"))
     classes = cut(sketch.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")))
     least = least_matches(coordinates, percent)
 
@@ -160,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
 
     def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("vid").alias(x), F.col("text").alias(y)) for x, y in (("a", "left"), ("b", "right")))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(similar(shingle, percent), "a long, b long"))
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(similar(shingle, percent), "a binary, b binary"))
 
     def linked(stars: DataFrame) -> DataFrame:
         stars = stars.join(side("a"), F.col("a") == F.col("vid_a")).join(side("b"), (F.col("b") == F.col("vid_b")) & in_size & alike)
@@ -179,7 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("vid") == F.col("pivot"), F.col("comp"))).alias("home"))
     members = cut(placed.join(mixed.where("low <> high").select("key", "home"), "key").where("vid <> pivot").drop("pivot"))
     texts = texts_of(members.select("vid").distinct())
-    single = texts.mapInArrow(exploded(shingle), "vid long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
+    single = texts.mapInArrow(exploded(shingle), "vid binary, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
     own = single.groupBy("vid").agg(F.count("*").alias("own")).withColumnRenamed("vid", "of")
     able = sigs.join(own, sigs["vid"] == own["of"], "left").select(*sigs.columns, (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     # A pair that shares several keys meets under the least of them only.
@@ -211,6 +230,6 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     found = near_duplicates(docs, shingle, percent)
     best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("best"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = packed(docs, row_key().alias("rk"), blank.alias("blank"))
+    keyed = packed(docs, wide_row_key().alias("rk"), blank.alias("blank"))
     one = keyed.where("NOT blank").join(best, F.col("rk") == F.col("best"), "left_semi").dropDuplicates(["rk"])
     return one.unionByName(keyed.where("blank")).select("row.*")

@@ -39,20 +39,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import CHUNK_BYTES, U64, chunks, cut, inverse_powers, mix, powers, prefix_hash, row_key, span_hash
+from gridspark.llm.common import CHUNK_BYTES, U64, chunks, cut, inverse_powers, mix, prefix_hash, row_key, second_hash, span_hash
 
 LENGTH, GRAM, GRID, GROUP = 400, 16, 128, 2000
 #: Bytes of text that are cut into windows at once; a byte takes about a hundred bytes of arrays.
 CELL_BYTES = 1_000_000
-_SECOND = U64(0xC2B2AE3D27D4EB4F)
-_SECOND_INVERSE = U64(pow(int(_SECOND), -1, 1 << 64))
-
-
-def second_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums under another base and another coding of bytes, and the inverse powers."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(mix(np.arange(1, 257, dtype=U64))[data] * powers(_SECOND, len(data)), out=out[1:], dtype=U64)
-    return out, powers(_SECOND_INVERSE, len(data) + 1)
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -55,6 +56,26 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty, 3, 85).count() == 0
 
 
+def test_links_do_not_rest_on_one_hash(monkeypatch):
+    """Words whose first hashes all collide: neither classes nor confirmed pairs take different texts for equal."""
+    words_of = near_dedup.words_of
+
+    def collided(texts, ends_word):
+        w = words_of(texts, ends_word)
+        w.hash[:] = 7
+        return w
+
+    monkeypatch.setattr(near_dedup, "words_of", collided)
+    texts = [b"a b c d", b"e f g h", b"a  b c d"]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "rk": texts, "text": texts})
+    (sketch,) = near_dedup.sketches(3, 32)(iter([rows]))
+    one, other, copy = sketch.column("vid").to_pylist()
+    assert one == copy != other and sketch.column("sig")[0] == sketch.column("sig")[1]
+    pairs = pa.RecordBatch.from_pydict({"a": [b"0", b"0"], "b": [b"1", b"2"], "left": [texts[0]] * 2, "right": texts[1:]})
+    (confirmed,) = near_dedup.similar(3, 85)(iter([pairs]))
+    assert confirmed.column("b").to_pylist() == [b"2"]
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_dedup.deduplicated(docs, 3, 85)
     assert kept.columns == docs.columns
