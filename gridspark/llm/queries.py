@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, decontaminate, langid, license_scan, near_dedup, pii, quality, sharding, suffix_dedup, toxicity
+from gridspark.llm import bpe, decontaminate, langid, license_scan, near_dedup, nearest, negatives, pii, quality, sharding, suffix_dedup, toxicity, whitening
 from gridspark.llm.common import table
 
 
@@ -56,9 +57,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_sharding, op10_pii)
+    for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_sharding, op10_pii, op11_nearest_neighbours, op12_hard_negatives, op13_whitening)
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +85,9 @@ def split_sql(text: str, ends_word: str) -> str:
     return f"list_filter(string_split_regex({text}, '{ends_word}'), lambda x: x <> '')"
 
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+INNER = "list_reduce(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]), lambda a, b: a + b)"
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {split_sql(LOWER, BLANK)} AS w FROM documents),
         s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
@@ -106,4 +125,14 @@ ORACLES: dict[str, str] = {
         spans AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
         names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
         SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN spans USING (r) LEFT JOIN names USING (r)""",
+    # Sums run from the first coordinate to the last, as in the operator.
+    "op11_nearest_neighbours": f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings WHERE {FINITE}),
+        n AS MATERIALIZED (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, {INNER.format("q.e", "c.e")} / (q.norm * c.norm) AS score FROM n q, n c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND q.norm > 0 AND c.norm > 0),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": f"""WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+        s AS MATERIALIZED (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, ({INNER.format("a.e", "c.e")})::bigint AS s FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT a, c AS positive, s AS ps FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, c) AS k FROM s WHERE same) WHERE k <= 5),
+        r AS (SELECT p.a AS anchor_id, positive AS positive_id, (row_number() OVER (PARTITION BY p.a, positive ORDER BY s DESC, c))::int AS rank, c AS negative_id, ps AS positive_score, s AS negative_score FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps)
+        SELECT * FROM r WHERE rank <= 10""",
 }
