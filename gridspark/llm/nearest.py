@@ -21,6 +21,7 @@ rows give fewer ranks; an empty table gives an empty result. Other columns don't
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,9 @@ ERRORS = 3.0
 #: What 32-bit arithmetic may add to an estimate.
 ROUNDING = 1e-4
 #: Pairs whose exact cosines are taken at once.
-PAIRS = 16_384
+PAIRS = 4096
+#: Rows of the highest estimates, in multiples of k, that are reranked first, so that the others have a bound to reach.
+AHEAD = 8
 
 
 @lru_cache(4)
@@ -56,18 +59,33 @@ def units(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
-def ordered_sum(columns: Iterator[np.ndarray], n: int) -> np.ndarray:
-    """Sums from the first coordinate to the last, so that every run gives the same bits."""
-    out = np.zeros(n)
-    for x in columns:
-        out += x
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the columns of a and b, (dimension, pair), summed from the first coordinate to the last, so that every run gives the same bits."""
+    out = np.zeros(a.shape[1])
+    for x, y in zip(a, b, strict=True):
+        out += x * y
     return out
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact cosines of the columns of a with those of b; both are scaled and stand as (dimension, pair)."""
-    dot, aa, bb = (ordered_sum((x * y for x, y in zip(s, t, strict=True)), a.shape[1]) for s, t in ((a, b), (a, a), (b, b)))
-    return dot / (np.sqrt(aa) * np.sqrt(bb))
+@dataclass
+class Exact:
+    """Vectors as columns with their lengths, for exact cosines."""
+
+    columns: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, m: np.ndarray) -> Exact:
+        columns = np.ascontiguousarray(scaled(m).T)
+        return cls(columns, np.sqrt(products(columns, columns)))
+
+    def cosines(self, mine: np.ndarray, other: Exact, theirs: np.ndarray) -> np.ndarray:
+        """Of pairs of columns, some thousand at a time."""
+        out = np.empty(len(mine))
+        for at in range(0, len(mine), PAIRS):
+            i, j = mine[at : at + PAIRS], theirs[at : at + PAIRS]
+            out[at : at + PAIRS] = products(self.columns[:, i], other.columns[:, j]) / (self.length[i] * other.length[j])
+        return out
 
 
 def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +106,13 @@ def index(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(coded, "vec_id long, embedding array<double>, code binary, a double")
 
 
-def queries_of(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: ids, scaled vectors, rotated unit vectors."""
+def queries_of(block: pa.Table) -> dict[int, tuple[np.ndarray, Exact, np.ndarray]]:
+    """By length: ids, vectors, rotated unit vectors."""
     ids, out = block.column("vec_id").to_numpy(), {}
     for rows, m in matrices(block.column("embedding")):
         keep = np.abs(m).max(axis=1) > 0
         m = m[keep]
-        out[m.shape[1]] = ids[rows[keep]], scaled(m), (units(m) @ rotation(m.shape[1])).astype(np.float32)
+        out[m.shape[1]] = ids[rows[keep]], Exact.of(m), (units(m) @ rotation(m.shape[1])).astype(np.float32)
     return out
 
 
@@ -113,19 +131,27 @@ def searched(block, k: int):
                 names, exact, turned = asked[dim]
                 bits = np.frombuffer(b"".join(codes.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
                 signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-                a, own, m = scalar[rows], ids[rows], scaled(m).T
+                a, own, rows = scalar[rows], ids[rows], Exact.of(m)
                 away = min(1.0, ERRORS / max(1.0, dim - 1.0) ** 0.5) * np.sqrt(np.maximum(0, 1 - a * a)) / a + ROUNDING
-                per = max(1, TILE // len(rows))
+                per = max(1, TILE // len(own))
                 for at in range(0, len(names), per):
-                    upper = (turned[at : at + per] @ signs.T) / a.astype(np.float32) + away.astype(np.float32)
-                    which, row = np.nonzero((upper >= found[dim].least[at : at + per, None]) & (own != names[at : at + per, None]))
-                    which += at
-                    scores = np.zeros(len(which))
-                    for p in range(0, len(which), PAIRS):
-                        pair = slice(p, p + PAIRS)
-                        scores[pair] = cosines(exact[which[pair]].T.copy(), m[:, row[pair]])
-                    enough = scores >= found[dim].least[which]
-                    found[dim].add(which[enough], own[row[enough]], scores[enough])
+                    tile = slice(at, at + per)
+                    estimate = (turned[tile] @ signs.T) / a.astype(np.float32)
+                    allowed = own != names[tile, None]
+
+                    def rerank(which: np.ndarray, row: np.ndarray) -> None:
+                        scores = exact.cosines(at + which, rows, row)
+                        enough = scores >= found[dim].least[at + which]
+                        found[dim].add(at + which[enough], own[row[enough]], scores[enough])
+
+                    if len(own) > AHEAD * k and np.isinf(found[dim].least[tile]).any():
+                        row = np.argpartition(-estimate, AHEAD * k - 1, axis=1)[:, : AHEAD * k]
+                        ahead = np.zeros(estimate.shape, bool)
+                        np.put_along_axis(ahead, row, True, axis=1)
+                        rerank(*np.nonzero(ahead & allowed))
+                        allowed &= ~ahead
+                    estimate += away.astype(np.float32)
+                    rerank(*np.nonzero((estimate >= found[dim].least[tile, None]) & allowed))
         for dim, lists in found.items():
             which, ids, scores = lists.entries()
             yield pa.RecordBatch.from_arrays([pa.array(asked[dim][0][which]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
