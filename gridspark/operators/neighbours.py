@@ -9,14 +9,18 @@ copies pair up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions import edit
 from gridspark.functions.grid import canonical, orbit
 from gridspark.operators.rounds import cut
 
-#: Query texts of one block of an exhaustive search; bounds what is broadcast.
-BLOCK = 2000
+#: Characters of the query texts of one block of an exhaustive search; bounds what is broadcast.
+BLOCK_BYTES = 8_000_000
 
 
 def novel(samples: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -92,28 +96,56 @@ def close_links(samples: DataFrame, k: int = 5) -> DataFrame:
     return samples.join(links, F.col("text") == F.col("_text"), "left").select("sample_id", "class_id", "links")
 
 
-def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric: bool = False) -> DataFrame:
-    """JOIN-2, JOIN-3: the least edit distance of each sample to any corpus text, cap + 1 beyond the cap.
+def nearest_texts(asked: DataFrame, corpus: DataFrame, cap: int) -> DataFrame:
+    """(q, d) for each distinct text in asked (q): the least edit distance to any text of corpus (text), cap + 1 beyond the cap.
 
-    A stated query set against all rows: blocks of at most BLOCK distinct query texts are broadcast
-    to the corpus in turn, partial minima come before a small shuffle. Null texts have null.
+    A stated query set against all rows: blocks of queries of bounded size are broadcast in turn, and the
+    corpus stays where it is. Each task steps its texts against a block, bit-parallel within the cap, with the
+    least so far as limit; its least for each query go to a small shuffle. A cap whose band exceeds a machine
+    word takes the built-in distance, pair by pair.
     """
-    texts = samples.select("text").where("text IS NOT NULL").distinct()
-    asked = texts.select("text", F.explode(orbit(F.col("text"))).alias("q")).distinct() if symmetric else texts.select("text", F.col("text").alias("q"))
-    asked = asked.withColumn("wq", walls(F.col("q")))
+    spark = asked.sparkSession
     known = corpus.select(F.col("text").alias("c")).where("c IS NOT NULL").distinct()
     # Few bytes, much work: as many parts as the cluster has room for, whatever their size.
-    known = known.repartition(2 * samples.sparkSession.sparkContext.defaultParallelism, "c").withColumn("wc", walls(F.col("c")))
+    known = known.repartition(2 * spark.sparkContext.defaultParallelism, "c")
     asked = cut(asked)
-    n = asked.count()
-    blocks = -(-n // BLOCK)
+    size = asked.agg(F.sum(F.length("q") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     found = None
-    for b in range(max(1, blocks)):
-        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(max(1, blocks))) == b)
-        # Lengths or wall counts too far apart need no table of distances.
-        far = (F.abs(F.length("q") - F.length("c")) > cap) | (F.abs(F.col("wq") - F.col("wc")) > cap)
-        d = F.when(~far, F.levenshtein("q", "c", cap))
-        best = known.join(F.broadcast(part)).select("text", F.when(d >= 0, d).otherwise(cap + 1).alias("d")).groupBy("text").agg(F.min("d").alias("d"))
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        if cap > edit.WIDEST:
+            d = F.levenshtein("q", "c", cap)
+            best = known.join(F.broadcast(part)).select("q", F.when(d >= 0, d).otherwise(cap + 1).alias("d"))
+        else:
+            best = known.mapInArrow(least_edits(spark.sparkContext.broadcast([r["q"] for r in part.collect()]), cap), "q string, d int")
         found = best if found is None else found.unionByName(best)
-    least = found.groupBy(F.col("text").alias("_text")).agg(F.min("d").alias("nearest"))
-    return samples.join(least, F.col("text") == F.col("_text"), "left").withColumn("nearest", F.when(F.col("text").isNotNull(), F.coalesce("nearest", F.lit(cap + 1)))).drop("_text")
+    return found.groupBy("q").agg(F.min("d").alias("d"))
+
+
+def least_edits(queries, cap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = edit.nearest((b.column("c").to_pylist() for b in batches), queries.value, cap, "#")
+        yield pa.RecordBatch.from_arrays([pa.array(queries.value, pa.string()), pa.array(best.astype("int32"))], names=["q", "d"])
+
+    return run
+
+
+def with_nearest(samples: DataFrame, corpus: DataFrame, cap: int, plain: str | None, symmetric: str | None) -> DataFrame:
+    """samples with the least distance of the text as column `plain` and of its images as column `symmetric`, in one search.
+
+    Null beyond null texts only where a text has no images, and cap + 1 beyond the cap.
+    """
+    texts = samples.select("text").where("text IS NOT NULL").distinct()
+    own = texts.select("text", F.col("text").alias("q"))
+    images = texts.select("text", F.explode(orbit(F.col("text"))).alias("q"), F.lit(True).alias("image")) if symmetric else own.withColumn("image", F.lit(False))
+    pairs = cut((images.unionByName(own.withColumn("image", F.lit(False))) if plain and symmetric else images).distinct())
+    found = pairs.join(nearest_texts(pairs.select("q").distinct(), corpus, cap), "q")
+    of = lambda image, name: F.min(F.when(F.col("image") == image, F.col("d"))).alias(name)
+    least = found.groupBy(F.col("text").alias("_text")).agg(*([of(False, plain)] if plain else []), *([of(True, symmetric)] if symmetric else []))
+    return samples.join(least, F.col("text") == F.col("_text"), "left").drop("_text")
+
+
+def nearest_edit(samples: DataFrame, corpus: DataFrame, cap: int = 20, symmetric: bool = False) -> DataFrame:
+    """JOIN-2, JOIN-3: the least edit distance of each sample, or of its images, to any corpus text as column `nearest`."""
+    return with_nearest(samples, corpus, cap, *((None, "nearest") if symmetric else ("nearest", None)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.grid import bucket_of, is_valid, sample_status
 from gridspark.operators.dataset import BUCKETS
-from gridspark.operators.neighbours import close_pairs, nearest_edit, novel, novel_k
+from gridspark.operators.neighbours import close_pairs, novel, novel_k, with_nearest
 from gridspark.operators.rounds import cut
 
 #: Ranges of ids that a value's rows are ranked in.
@@ -29,10 +29,8 @@ def scored(samples: DataFrame, corpus: DataFrame, edges: DataFrame, k: int = 5)
 
 
 def with_distances(rows: DataFrame, corpus: DataFrame, cap: int = 20) -> DataFrame:
-    """JOIN-2, JOIN-3 as columns nn_edit and nn_edit_sym of scored rows; for a stated query set, as each row meets the whole corpus."""
-    for name, symmetric in (("nn_edit", False), ("nn_edit_sym", True)):
-        rows = nearest_edit(rows, corpus, cap, symmetric).withColumnRenamed("nearest", name)
-    return rows
+    """JOIN-2, JOIN-3 as columns nn_edit and nn_edit_sym of scored rows, from one search; for a stated query set, as each row meets the whole corpus."""
+    return with_nearest(rows, corpus, cap, "nn_edit", "nn_edit_sym")
 
 
 def ordinal_rank(rows: DataFrame, column: str, rank: str, *group: str) -> DataFrame:
