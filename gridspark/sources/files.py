@@ -99,7 +99,8 @@ def table_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, key = F.col("doc_id"), F.col("doc_id").cast("string")
     number = F.substring("source", 4, 9).cast("int")
     twin = (d % 7 == 0) & (d > 0)
-    rows = docs.withColumn("text", F.when(twin, transform(grid_of((d - 1).cast("string")), (d % 8).cast("int"))).otherwise(grid_of(key)))
+    rows = docs.withColumn("grid", grid_of(F.when(twin, d - 1).otherwise(d).cast("string")))
+    rows = rows.withColumn("text", F.when(twin, transform(F.col("grid"), (d % 8).cast("int"))).otherwise(F.col("grid")))
     share = byte_of(key, ":s")
     rank = F.when(number <= 1, 0).when(number <= 4, 1).when(number == 5, 2).otherwise(3)
     rows = rows.select(
@@ -118,9 +119,10 @@ def table_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = F.col("conv_id") * 1000 + F.col("turn")
     rows = turns.select(sid.alias("sample_id"), sid.cast("string").alias("key"))
     kind, tile = byte_of(F.col("key"), ":k") % 8, byte_of(F.col("key"), ":m") % 64
-    old = grid_of((F.col("sample_id") % 97).cast("string"))
+    rows = rows.withColumn("grid", grid_of(F.when(kind.between(1, 3), (F.col("sample_id") % 97).cast("string")).otherwise(F.concat(F.lit("s"), F.col("key")))))
     place = 12 + F.floor(tile / 8).cast("int") * 11 + tile % 8 + 1
-    text = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, old).when(kind == 2, transform(old, byte_of(F.col("key"), ":r") % 8)).when(kind == 3, F.overlay(old, F.lit("#"), place)).otherwise(grid_of(F.concat(F.lit("s"), F.col("key"))))
+    grid = F.col("grid")
+    text = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 2, transform(grid, byte_of(F.col("key"), ":r") % 8)).when(kind == 3, F.overlay(grid, F.lit("#"), place)).otherwise(grid)
     target = F.when(F.col("sample_id") % 5 != 0, byte_of(F.col("key"), ":t") % 10)
     solved = byte_of(F.col("key"), ":s") < 220
     return rows.select("sample_id", target.alias("target"), text.alias("text"), F.when(solved, "solved").otherwise("budget_exceeded").alias("solver_status"), (4 + byte_of(F.col("key"), ":n") % 120).alias("solver_moves"))
