@@ -1,26 +1,27 @@
 """Novelty and edit distance.
 
-The decision joins (is any text within k - 1 edits?) cut a text into k pieces, of which one at
-least survives k - 1 edits. Some piece i survives with i edits at most before it and k - 1 - i after
-it, which bounds how far it has moved. Pieces meet in an equi-join, together with the number of walls
-in steps of k, and pairs are verified by `levenshtein`. Exact copies are collapsed first, so no
-copies pair up.
+The decision joins (is any text within k - 1 edits?) meet in an equi-join on rare pieces of the texts, and pairs
+are verified by `levenshtein`. Exact copies are collapsed first, so no copies pair up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions import edit
+from gridspark.functions import edit, grams
 from gridspark.functions.grid import canonical, orbit
 from gridspark.operators.rounds import cut
 
 #: Characters of the query texts of one block of an exhaustive search; bounds what is broadcast.
 BLOCK_BYTES = 8_000_000
+#: Pairs that one key makes in one part, and bits of the map of posted pieces, by their number within these.
+KEY_PAIRS = 100_000
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 27
 
 
 def novel(samples: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -31,37 +32,56 @@ def novel(samples: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.withColumn("novel", F.when(F.col("_form").isNotNull(), F.col("_known").isNull())).drop("_form", "_known")
 
 
-def pieces(text: Column, k: int, length: Column, shift: Column | None = None) -> Column:
-    """The k pieces of a text of the given length, or what stands at their places moved by shift."""
-    def piece(i: int) -> Column:
-        lo, hi = F.floor(length * i / k).cast("int"), F.floor(length * (i + 1) / k).cast("int")
-        at = lo if shift is None else lo + shift
-        return F.when((at >= 0) & (at + hi - lo <= F.length(text)), F.struct(F.lit(i).alias("i"), length.alias("n"), F.substring(text, at + 1, hi - lo).alias("p")))
-
-    return F.array_compact(F.array(*(piece(i) for i in range(k))))
-
-
 def walls(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "#", ""))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, k: int, ordered: bool = False) -> DataFrame:
-    """Distinct (ta, tb, distance) of texts under k edits apart; left (ta), right (tb), both distinct.
+def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value of `key` modulo bits, as bytes; a row of 4 KB for each 32,768 bits comes to the driver."""
+    bit = F.pmod("key", F.lit(bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bytes")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["bytes"], np.uint8)
+        out[(r["at"] - 1) * len(part) : r["at"] * len(part)] = part
+    return out
+
 
-    Wall counts that differ by k or more can't be under k edits apart: they are part of the key. Texts
-    on the right post their pieces only for lengths that the left has.
+def met_pairs(left: DataFrame, right: DataFrame, k: int, ordered: bool = False) -> DataFrame:
+    """(ta, tb) of all texts of left (ta) and right (tb) that share a piece near its place, repeats included; no other pair is under k edits apart.
+
+    Texts of the left post the k disjoint pieces that are rarest on the right (see functions.grams), those on the right what the left
+    has posted, as far as a bit map of bounded size can tell. A key that would make more than KEY_PAIRS pairs
+    is split: its longer side is dealt over parts, its shorter side repeated in each.
     """
-    near, step = range(-(k - 1), k), lambda w: F.floor(w / k).cast("int")
-    posted = left.select("ta", walls(F.col("ta")).alias("wa"), F.explode(pieces(F.col("ta"), k, F.length("ta"))).alias("key")).withColumn("w", step(F.col("wa")))
-    lengths = left.select(F.length("ta").alias("n")).distinct()
-    moved = right.select("tb", walls(F.col("tb")).alias("wb"), F.explode(F.array(*(F.length("tb") + d for d in near))).alias("n")).where("n >= 0").join(lengths, "n")
-    moved = moved.select("tb", "wb", F.explode(F.sequence(F.lit(near[0]), F.lit(near[-1]))).alias("d"), "n")
-    moved = moved.select("tb", "wb", "n", "d", F.explode(pieces(F.col("tb"), k, F.col("n"), F.col("d"))).alias("key"))
-    moved = moved.where((F.abs("d") <= F.col("key.i")) & (F.abs(F.length("tb") - F.col("n") - F.col("d")) <= k - 1 - F.col("key.i")))
-    moved = moved.withColumn("w", F.explode(F.array(*(step(F.col("wb")) + x for x in (-1, 0, 1)))))
-    pairs = posted.join(moved, (posted["key"] == moved["key"]) & (posted["w"] == moved["w"]) & (F.abs(F.col("wa") - F.col("wb")) < k))
-    pairs = pairs.where("ta < tb") if ordered else pairs
-    pairs = pairs.select("ta", "tb").distinct()
+    context = left.sparkSession.sparkContext
+    left, right = left.select("ta"), right.select("tb")
+    table = np.zeros(grams.BUCKETS, np.int64)
+    for r in right.mapInArrow(grams.counts(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        table[r["bucket"]] = r["n"]
+    mine = cut(left.mapInArrow(grams.chosen(context.broadcast(table), k), "key long, at int, text string"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (64 * mine.count()).bit_length()))
+    theirs = cut(right.mapInArrow(grams.met(context.broadcast(bit_map(mine, bits)), bits, k), "key long, at int, text string"))
+
+    sizes = mine.groupBy("key").agg(F.count("*").alias("na")).join(theirs.groupBy("key").agg(F.count("*").alias("nb")), "key")
+    heavy = sizes.select("key", F.ceil(F.col("na") * F.col("nb") / KEY_PAIRS).cast("int").alias("parts"), (F.col("na") >= F.col("nb")).alias("deal_a")).where("parts > 1")
+    heavy = cut(heavy)
+
+    def split(rows: DataFrame, dealt: Column) -> DataFrame:
+        one = F.array(F.lit(0))
+        part = F.when(F.col("parts").isNull(), one).when(dealt, F.array(F.pmod(F.xxhash64("text", "at"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        return rows.join(heavy, "key", "left").select("key", "at", "text", F.explode(part).alias("part"))
+
+    x = split(mine, F.col("deal_a")).select("key", "part", F.col("at").alias("at_a"), F.col("text").alias("ta"), F.length("text").alias("na"), walls(F.col("text")).alias("wa"))
+    y = split(theirs, ~F.col("deal_a")).select("key", "part", F.col("at").alias("at_b"), F.col("text").alias("tb"), F.length("text").alias("nb"), walls(F.col("text")).alias("wb"))
+    near = (F.abs(F.col("at_a") - F.col("at_b")) < k) & (F.abs(F.col("na") - F.col("nb")) < k) & (F.abs(F.col("wa") - F.col("wb")) < k)
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["part"] == y["part"]) & near & (F.col("ta") < F.col("tb") if ordered else F.lit(True)))
+    return pairs.select("ta", "tb")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, k: int, ordered: bool = False) -> DataFrame:
+    """Distinct (ta, tb, distance) of texts under k edits apart; left (ta), right (tb), both distinct."""
+    pairs = met_pairs(cut(left), cut(right), k, ordered).distinct()
     return pairs.withColumn("distance", F.levenshtein("ta", "tb", k - 1)).where("distance >= 0")
 
 
@@ -140,7 +160,7 @@ def with_nearest(samples: DataFrame, corpus: DataFrame, cap: int, plain: str | N
     own = texts.select("text", F.col("text").alias("q"))
     images = texts.select("text", F.explode(orbit(F.col("text"))).alias("q"), F.lit(True).alias("image")) if symmetric else own.withColumn("image", F.lit(False))
     pairs = cut((images.unionByName(own.withColumn("image", F.lit(False))) if plain and symmetric else images).distinct())
-    found = pairs.join(nearest_texts(pairs.select("q").distinct(), corpus, cap), "q")
+    found = pairs.join(nearest_texts(pairs.select("q").distinct(), corpus, cap), "q", "left").withColumn("d", F.coalesce("d", F.lit(cap + 1)))
     of = lambda image, name: F.min(F.when(F.col("image") == image, F.col("d"))).alias(name)
     least = found.groupBy(F.col("text").alias("_text")).agg(*([of(False, plain)] if plain else []), *([of(True, symmetric)] if symmetric else []))
     return samples.join(least, F.col("text") == F.col("_text"), "left").drop("_text")

@@ -1,12 +1,14 @@
 """Images by permutation and edit distances by machine words against plain versions."""
 
+import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.functions import edit, grid, images
+from gridspark.functions import edit, grams, grid, images
 from gridspark.operators import neighbours
 
 
@@ -45,9 +47,9 @@ def test_nearest_distances_equal_the_plain_recurrence(monkeypatch, pairs):
 
 def test_far_pairs_end_early_and_close_ones_do_not():
     rng = random.Random(2)
-    texts = ["".join(rng.choices("# $.@", k=109)) for _ in range(400)]
-    queries = [edited(rng, t, 25) for t in texts[:40]] + ["".join(rng.choices("# $.@", k=109)) for _ in range(40)]
-    got = edit.nearest(iter([texts[:150], [], texts[150:]]), queries, 20, "#").tolist()
+    texts = ["".join(rng.choices("# $.@", k=109)) for _ in range(60)]
+    queries = [edited(rng, t, 25) for t in texts[:20]] + ["".join(rng.choices("# $.@", k=109)) for _ in range(10)]
+    got = edit.nearest(iter([texts[:25], [], texts[25:]]), queries, 20, "#").tolist()
     assert got == [min(min(distance(q, t) for t in texts), 21) for q in queries]
 
 
@@ -67,6 +69,49 @@ def test_nearest_edit_of_odd_texts(spark):
     assert neighbours.nearest_edit(samples.where("sample_id < 0"), corpus, symmetric=True).count() == 0
 
 
+def test_near_pairs_of_all_lengths(spark):
+    rng = random.Random(5)
+    texts = {"", "#", "ab"}
+    for _ in range(8):
+        base = "".join(rng.choices("ab#", k=rng.choice([2, 4, 5, 9, 20, 60, 109])))
+        texts |= {edited(rng, base, 6) for _ in range(9)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for k in (1, 2, 5):
+        got = {(r["a"], r["b"], r["distance"]) for r in neighbours.close_pairs(df, k).collect()}
+        assert got == {(a, b, distance(a, b)) for a in texts for b in texts if a < b and distance(a, b) < k}
+    assert neighbours.close_pairs(df.where("text = 'none'")).count() == 0
+
+
+def test_pieces_are_disjoint_and_rare():
+    rng = np.random.default_rng(3)
+    for q, k, n in ((3, 4, 14), (1, 3, 3), (2, 5, 10)):
+        cost = rng.integers(0, 9, (20, n - q + 1))
+        starts = grams.rarest(cost, q, k)
+        assert (np.diff(starts, axis=1) >= q).all() and starts.min() >= 0 and starts.max() <= n - q
+        every = [c for c in itertools.combinations(range(n - q + 1), k) if all(b - a >= q for a, b in itertools.pairwise(c))]
+        assert np.take_along_axis(cost, starts, axis=1).sum(axis=1).tolist() == [min(sum(row[i] for i in c) for c in every) for row in cost.tolist()]
+
+
+def test_walls_of_a_third_of_the_texts_are_no_hot_task(spark, monkeypatch):
+    """A third of the texts is walls but for a row, a few tiles of which differ; no task gets more than 3 % of the join's rows."""
+    rng, wall = random.Random(6), "\n".join(["#" * 10] * 9)
+    line = lambda: "".join(rng.choices("# $.", k=10))
+    texts = {f"{wall[:33]}{line()}\n{wall[44:]}" for _ in range(400)} | {"\n".join(line() for _ in range(10)) for _ in range(800)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    monkeypatch.setattr(neighbours, "KEY_PAIRS", 1000)
+    settings = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in settings}
+    try:
+        for c, v in settings.items():
+            spark.conf.set(c, v)
+        rows = neighbours.met_pairs(df.toDF("ta"), df.toDF("tb"), 5, ordered=True)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) > 10_000 and max(sizes) <= 0.03 * sum(sizes)
+
+
 def turned(text):
     rows = text.split("\n")
     if not rows[0] or any(len(r) != len(rows[0]) for r in rows):
