@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import bucket_labels, bucket_of
+from gridspark.operators.ranks import percentiles, running_sums
+from gridspark.operators.rounds import cut
 
 #: Statuses, and the names of outcomes and figures below.
 STATUSES = ["solved", "unsolvable", "budget_exceeded", "invalid"]
@@ -35,8 +37,8 @@ def kept(levels: DataFrame) -> DataFrame:
 
 def edges_of(train: DataFrame, n: int = BUCKETS) -> DataFrame:
     """AGG-3: one row `edges`, exact interior quantiles of the moves, rounded to nine digits."""
-    points = F.array(*(F.lit(k / n) for k in range(1, n)))
-    return train.agg(F.transform(F.percentile("moves", points), lambda e: F.round(e, 9)).alias("edges"))
+    found = percentiles(train, [], "moves", [k / n for k in range(1, n)], "edges")
+    return found.select(F.transform("edges", lambda e: F.round(e, 9)).alias("edges"))
 
 
 def bucketed(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,10 +58,11 @@ def split_stats(levels: DataFrame) -> DataFrame:
 
 def move_stats(levels: DataFrame) -> DataFrame:
     """AGG-4: move percentiles cut to whole numbers, medians of pushes and nodes."""
-    p = F.percentile("moves", F.array(*map(F.lit, (0.0, 0.1, 0.5, 0.9, 1.0))))
-    rows = levels.groupBy("split").agg(p.alias("p"), F.percentile("pushes", 0.5).cast("int").alias("pushes_median"), F.percentile("nodes_expanded", 0.5).cast("long").alias("nodes_median"))
+    levels = cut(levels.select("split", "moves", "pushes", "nodes_expanded"))
+    of = lambda column, name, *points: percentiles(levels, ["split"], column, points, name)
+    rows = of("moves", "p", 0.0, 0.1, 0.5, 0.9, 1.0).join(of("pushes", "pushes", 0.5), "split", "left").join(of("nodes_expanded", "nodes", 0.5), "split", "left")
     names = ("moves_min", "moves_p10", "moves_median", "moves_p90", "moves_max")
-    return rows.select("split", *(F.col("p")[k].cast("int").alias(n) for k, n in enumerate(names)), "pushes_median", "nodes_median")
+    return rows.select("split", *(F.col("p")[k].cast("int").alias(n) for k, n in enumerate(names)), F.col("pushes")[0].cast("int").alias("pushes_median"), F.col("nodes")[0].cast("long").alias("nodes_median"))
 
 
 def bucket_counts(levels: DataFrame) -> DataFrame:
@@ -104,12 +107,7 @@ def nearest_rank(rows: DataFrame, column: str, points: tuple[float, ...]) -> Dat
     Equal values are counted first, so the running count runs over distinct values.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.max("v").alias("largest"))
-    parts = counts.withColumn("part", F.floor(F.log2(F.col("v") + 1)))
-    sums = parts.groupBy("part").agg(F.sum("n").alias("m"))
-    before = sums.alias("a").join(F.broadcast(sums.alias("b")), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("below"))
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    ranked = parts.join(F.broadcast(before), "part").withColumn("upto", upto).crossJoin(F.broadcast(total))
-    hits = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("total")), F.col("v"))).alias(f"p{round(100 * p)}") for p in points]
-    return ranked.agg(*hits, F.first("largest").alias("largest"))
-
+    ranked = cut(running_sums(counts, [], ["v"], F.col("n"), "below"))
+    total = ranked.agg(F.sum("n").alias("total"), F.max("v").alias("largest"))
+    hits = [F.min(F.when(F.col("below") + F.col("n") > F.floor(F.lit(p) * F.col("total")), F.col("v"))).alias(f"p{round(100 * p)}") for p in points]
+    return ranked.crossJoin(F.broadcast(total)).agg(*hits, F.first("largest").alias("largest"))
