@@ -207,3 +207,8 @@ ORACLES["rwd6_runs"] = f"{RUN(0, '1.5::double AS cost, NULL::double AS latency')
 ORACLES["join5_close_links"] = f"""{SAMPLES}, cls AS MATERIALIZED (SELECT text, min(sample_id) AS class_id, count(*) AS copies FROM sm WHERE text IS NOT NULL GROUP BY text),
     near AS (SELECT a.text AS t, sum(b.copies) AS n FROM cls a, cls b WHERE a.text <> b.text AND levenshtein(a.text, b.text) < 5 GROUP BY a.text)
     SELECT sample_id, class_id, (copies - 1 + coalesce(n, 0))::bigint AS links FROM sm LEFT JOIN cls USING (text) LEFT JOIN near ON t = text"""
+ORACLES["src1_level_files"] = level("split, file, index, text")
+ORACLES["src3_split_read"] = level("id, bucket", "bucketed WHERE split = 'train'")
+ORACLES["snk2_splits"] = level("split, id, text, bucket", "bucketed")
+ORACLES["src4_samples"] = f"{SAMPLES} SELECT sample_id, target::int AS target, text FROM sm"
+ORACLES["src5_external_labels"] = f"{LEVELS}, {THEIRS} SELECT f AS file, i AS index, steps FROM theirs"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from gridspark.sources.files import byte_of, table_levels, table_samples
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Fixed edges for queries on samples; those of the levels come from their quantiles.
 EDGES = (10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 75.0, 90.0, 105.0)
+SPLITS = ("test", "val", "hard", "train")
 MIDDLES = {b: float(5 + 12 * b) for b in range(10)}
 
 
@@ -143,6 +145,44 @@ def snk3_edges(spark, d):
     return files.read_json(spark, path, rows).select("n_edges", F.posexplode("edges").alias("k", "edge"))
 
 
+@query
+def src1_level_files(spark, d):
+    """The levels as level files, written and read by split (SRC-1, SRC-2)."""
+    files.write_levels(table_levels(spark, d), path := f"{folder(spark)}/levels")
+    parts = [files.read_levels(spark, f"{path}/split={s}", s) for s in SPLITS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def src3_split_read(spark, d):
+    """Chosen columns of one split of a dataset that is partitioned by split."""
+    files.write_splits(in_buckets(spark, d), path := f"{folder(spark)}/splits")
+    return files.read_split(spark, path, "train", "id", F.col("bucket").cast("int").alias("bucket"))
+
+
+@query
+def snk2_splits(spark, d):
+    """All splits as a job writes and reads them."""
+    files.write_splits(in_buckets(spark, d), path := f"{folder(spark)}/splits")
+    return spark.read.parquet(path).select("split", "id", "text", F.col("bucket").cast("int").alias("bucket"))
+
+
+@query
+def src4_samples(spark, d):
+    """The samples as JSON lines, written and read."""
+    files.write_json(table_samples(spark, d).select("sample_id", "target", "text"), path := f"{folder(spark)}/samples")
+    return files.read_samples(spark, path)
+
+
+@query
+def src5_external_labels(spark, d):
+    """Label files in CSV, two for each key: the one that comes last by name counts."""
+    rows, path = theirs(spark, d).select(F.col("file").alias("File"), F.col("index").alias("Level"), F.col("steps").alias("Steps")), f"{folder(spark)}/labels"
+    for name, steps in (("a", F.lit("open")), ("b", F.col("Steps"))):
+        rows.withColumn("Steps", steps).write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
+    return files.read_external_labels(spark, f"{path}/*")
+
+
 @query
 def agg14_nearest_rank(spark, d):
     return dataset.nearest_rank(table_levels(spark, d), "nodes_expanded", (0.5, 0.99))
@@ -356,7 +396,7 @@ def snk1_label_cache(spark, d):
     rows = cut(table_levels(spark, d).select("doc_id", "text", "status", "moves"))
     table, path = rows.groupBy("text").agg(F.min_by(F.struct("status", "moves"), "doc_id").alias("l")).select("text", "l.*"), f"{folder(spark)}/labels"
     for run, part in enumerate((rows.where("doc_id % 2 = 0"), rows)):
-        found = files.cached_labels(part, path, lambda missing, run=run: missing.join(table, "text").withColumn("run", F.lit(run)))
+        found = files.cached_labels(part, path, lambda missing, run=run: missing.join(table, "text").withColumn("run", F.lit(run)), "table", 1000)
     return found.select("text", "status", "moves", "run")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,47 +15,91 @@ from pyspark.sql import types as T
 def read_levels(spark: SparkSession, path: str, split: str) -> DataFrame:
     """SRC-1, SRC-2: split, file, index, text of all `*.txt` below a folder.
 
-    A block begins with `;` and its number; text before the first `;` and empty rows are left out, rows
-    of floor stay. A file is one value (a thousand levels, some hundred KB), so that its start is known.
+    A block begins with `;` and its number; text before a file's first `;` and empty rows are left out, rows
+    of floor stay. Blocks are the records of a splittable read, so one large file is many tasks. A file's
+    number is that of its folder `file=...`, as write_levels names it, or else its name's.
     """
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), F.col("_metadata.file_name").alias("name"))
-    blocks = files.select("name", F.posexplode(F.split("value", ";", -1)).alias("k", "block")).where("k > 0")
-    lines = F.split(F.regexp_replace("block", "^\n+|\n+$", ""), "\n", -1)
+    files = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).option("lineSep", ";").text(path)
+    records = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    blocks = records.mapInArrow(after_first_mark, "value string, path string")
+    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^\n+|\n+$", ""), "\n", -1)
     rows = F.filter(lines, lambda x, i: (i > 0) & (F.length(x) > 0))
-    out = blocks.select(F.lit(split).alias("split"), F.regexp_extract("name", r"(\d+)\.txt$", 1).try_cast("int").alias("file"), F.trim(lines[0]).try_cast("int").alias("index"), F.array_join(rows, "\n").alias("text"))
+    number = F.coalesce(F.regexp_extract("path", r"/file=(\d+)/[^/]*$", 1).try_cast("int"), F.regexp_extract("path", r"(\d+)\.txt$", 1).try_cast("int"))
+    out = blocks.select(F.lit(split).alias("split"), number.alias("file"), F.trim(lines[0]).try_cast("int").alias("index"), F.array_join(rows, "\n").alias("text"))
     return out.where("index IS NOT NULL")
 
 
+def after_first_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (value, path, start of the split) without the first of each file: a split's records follow each other, and the first of the split at 0 is the file's."""
+    last = None
+    for batch in batches:
+        at = list(zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True))
+        first = [x != before and x[1] == 0 for x, before in zip(at, [last, *at], strict=False)]
+        last = at[-1] if at else last
+        yield batch.filter(pa.array([not f for f in first], pa.bool_())).select(["value", "path"])
+
+
+def write_levels(levels: DataFrame, path: str) -> None:
+    """Levels (split, file, index, text) as level files below split=.../file=..., which read_levels reads; a null text has no such form and is left out."""
+    rows = levels.where("text IS NOT NULL").select("split", "file", "index", F.format_string("; %d\n%s\n", "index", "text").alias("value"))
+    rows.repartition("split", "file").sortWithinPartitions("split", "file", "index").drop("index").write.mode("overwrite").partitionBy("split", "file").text(path)
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: generated samples from JSON lines; blank lines are left out."""
     return spark.read.schema("sample_id long, target int, text string").json(path).where("sample_id IS NOT NULL")
 
 
 def read_external_labels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: file, index, steps of gzip CSV labels; of repeated keys the last row stays, by file name, then place in the file."""
+    """SRC-5: file, index, steps of gzip CSV labels; of repeated keys the last row stays, by path, then place in the file."""
     names = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.option("header", True).schema(schema).csv(path).withColumn("_at", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
+    rows = spark.read.option("header", True).schema(schema).csv(path).withColumn("_at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     last = rows.groupBy(F.col("File").try_cast("int").alias("file"), F.col("Level").try_cast("int").alias("index")).agg(F.max_by("Steps", "_at").alias("steps"))
     return last
 
 
 def unlabelled(levels: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
-    """SNK-1: the rows whose label is not cached; the key holds the text, the budget and the solver."""
+    """SNK-1: the rows whose key is not cached."""
     return levels.join(cache.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def cached_labels(levels: DataFrame, path: str, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """SNK-1: the label table at `path` after the texts it lacks have been labelled and appended; what it has is used again."""
-    spark = levels.sparkSession
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        missing = unlabelled(levels.select("text").distinct(), spark.read.parquet(path), "text")
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        missing = levels.select("text").distinct()
-    label(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        return None
+
+
+def label_cache(spark: SparkSession, path: str, solver: str = "") -> DataFrame | None:
+    """SNK-1: one row a text of all committed batches of a solver: a verdict before an exceeded budget, then the larger budget, then the least batch."""
+    labels, commits = read_if_there(spark, f"{path}/labels"), read_if_there(spark, f"{path}/commits")
+    if labels is None or commits is None:
+        return None
+    rows = labels.where(F.col("solver") == solver).join(commits.select("batch").distinct(), "batch", "left_semi")
+    columns = [c for c in rows.columns if c not in ("text", "solver", "batch")]
+    rank = F.struct(F.col("status") == "budget_exceeded", -F.col("max_nodes"), "batch")
+    return rows.groupBy("text").agg(F.min_by(F.struct(*columns), rank).alias("label")).select("text", "label.*")
+
+
+def cached_labels(levels: DataFrame, path: str, label: Callable[[DataFrame], DataFrame], solver: str = "", max_nodes: int = 0) -> DataFrame:
+    """SNK-1: the label table of a solver at `path` after what it lacks has been labelled; what it has is used again.
+
+    A text is labelled once for a solver, and again where the budget was exceeded and is larger now. Each run
+    writes a batch of its own and then commits it; batches that were not committed don't count, and of two runs at
+    once that label the same text one counts.
+    """
+    # Not to be taken for a number when the folders are listed.
+    spark, batch = levels.sparkSession, f"batch-{uuid4().hex}"
+    texts, known = levels.select("text").distinct(), label_cache(spark, path, solver)
+    if known is not None:
+        texts = unlabelled(texts, known.where((F.col("status") != "budget_exceeded") | (F.col("max_nodes") >= max_nodes)), "text")
+    rows = label(texts).withColumns({"solver": F.lit(solver), "max_nodes": F.lit(max_nodes).cast("long"), "batch": F.lit(batch)})
+    rows.write.mode("append").partitionBy("batch").parquet(f"{path}/labels")
+    spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{path}/commits")
+    return label_cache(spark, path, solver)
 
 
 def write_splits(levels: DataFrame, path: str, parts: int = 8) -> None:
