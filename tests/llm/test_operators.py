@@ -76,6 +76,16 @@ def test_links_do_not_rest_on_one_hash(monkeypatch):
     assert confirmed.column("b").to_pylist() == [b"2"]
 
 
+def test_words_of_a_pattern_stay_apart(spark):
+    """The Thue-Morse word and its complement, which defeat every polynomial hash modulo 2^64, alone and among others."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word.upper(), f"{word} x y", f"{other} x y", f"{word} {other} {word}", f"{other} {word} {other}", f"{word} {word} {other} {other} {word}"]
+    rows = list(enumerate(texts, 1))
+    got = {tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == set(brute.near_duplicates(rows, 3, 85)) and {(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)} <= got
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_dedup.deduplicated(docs, 3, 85)
     assert kept.columns == docs.columns
