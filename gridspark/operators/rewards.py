@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import canonical
+from gridspark.operators.scoring import summary
 
 
 def rewards(rows: DataFrame, middles: dict[int, float], sigma: float = 10.0, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -45,11 +46,11 @@ def selected(rows: DataFrame) -> DataFrame:
     return good.join(first, "sample_id", "left_semi").drop("_form")
 
 
-def runs_table(summaries: dict[str, DataFrame], more: dict[str, dict[str, float | None]] | None = None) -> DataFrame:
-    """RWD-6: the summaries of several runs, one row a run and group, with cost and latency where `more` gives them."""
-    out = None
-    for run, rows in summaries.items():
-        given = (more or {}).get(run, {})
-        named = rows.withColumns({"run": F.lit(run), **{c: F.lit(given.get(c)).cast("double") for c in ("cost", "latency")}})
-        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
-    return out
+def runs_table(rows: DataFrame, run: str, more: dict[str, dict[str, float | None]] | None = None) -> DataFrame:
+    """RWD-6: summaries of scored rows by the column `run`, one row a run and group, with cost and latency where `more` gives them.
+
+    The runs are a key of the summary's jobs, so the scored rows are read as often for many runs as for one.
+    """
+    given = [(name, *(float(x) if (x := figures.get(c)) is not None else None for c in ("cost", "latency"))) for name, figures in (more or {}).items()]
+    table = rows.sparkSession.createDataFrame(given, "_run string, cost double, latency double")
+    return summary(rows, run=run).join(F.broadcast(table), F.col("run") == F.col("_run"), "left").drop("_run")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import orbit
@@ -10,6 +10,8 @@ from gridspark.functions.tokens import encode, pick, uniform
 
 #: Rows of a part, about; parts grow in number with the rows.
 PART_ROWS, LEAST_PARTS = 1_000_000, 64
+#: Values of half a hash.
+HALF = 1 << 16
 
 
 def ranked(rows: DataFrame, value, *ties: str) -> DataFrame:
@@ -25,9 +27,29 @@ def ranked(rows: DataFrame, value, *ties: str) -> DataFrame:
 
 
 def fraction(rows: DataFrame, share: float, seed: str, key: str = "id") -> DataFrame:
-    """SMP-1: exactly int(n * share) rows without replacement; samples of larger shares hold those of smaller ones."""
-    total = rows.agg(F.count("*").alias("_n"))
-    return ranked(rows, uniform(seed, F.col(key)), key).crossJoin(F.broadcast(total)).where(F.col("rank") < F.floor(F.col("_n") * share)).drop("rank", "_n")
+    """SMP-1: exactly int(n * share) rows without replacement; samples of larger shares hold those of smaller ones.
+
+    The rows of least hash are found without sorting: counts by the upper half of the hash give the half that the
+    threshold lies in, counts by the lower half within it the threshold. Only rows at the threshold itself are ordered, by key.
+    """
+    hashed = rows.withColumn("_h", F.floor(uniform(seed, F.col(key)) * float(HALF * HALF)))
+    upper, lower = F.floor(F.col("_h") / HALF), F.col("_h") % HALF
+    found = reached(hashed, upper, int(rows.count() * share))
+    if found is None:
+        return rows
+    digit, left = reached(hashed.where(upper == found[0]), lower, found[1])
+    edge = found[0] * HALF + digit
+    below = hashed.where(F.col("_h") < edge)
+    return (below.unionByName(hashed.where(F.col("_h") == edge).orderBy(key).limit(left)) if left else below).drop("_h")
+
+
+def reached(rows: DataFrame, digit: Column, left: int) -> tuple[int, int] | None:
+    """The digit (of HALF values) whose rows, taken in order, hold row number `left`, and what is left of it before them; None if there are too few rows."""
+    for value, n in sorted(map(tuple, rows.groupBy(digit).agg(F.count("*")).collect())):
+        if n > left:
+            return value, left
+        left -= n
+    return None
 
 
 def sequences(levels: DataFrame) -> DataFrame:

@@ -36,10 +36,11 @@ def ordinal_rank(rows: DataFrame, column: str, rank: str, *group: str) -> DataFr
     return ordered_rank(rows, group, [column, "sample_id"], rank)
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Each row once for every summary it counts in: all, conditional or unconditional, and its bucket."""
+def grouped(rows: DataFrame, run: str | None = None) -> DataFrame:
+    """Each row once for every summary it counts in: all, conditional or unconditional, and its bucket. With a column of runs the group is (run, name)."""
     names = F.array(F.lit("all"), F.when(F.col("target").isNull(), "unconditional").otherwise("conditional"), F.when(F.col("target").isNotNull(), F.concat(F.lit("d"), F.col("target").cast("string"))))
-    return rows.withColumn("group", F.explode(F.array_compact(names)))
+    named = F.explode(F.array_compact(names))
+    return rows.withColumn("group", named) if run is None else rows.withColumn("_name", named).withColumn("group", F.struct(F.col(run).alias("run"), F.col("_name").alias("name"))).drop("_name")
 
 
 def spearman(rows: DataFrame) -> DataFrame:
@@ -54,12 +55,13 @@ def share(of: Column) -> Column:
     return F.round(F.avg(of.cast("double")), 9)
 
 
-def summary(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def summary(rows: DataFrame, buckets: int = BUCKETS, run: str | None = None) -> DataFrame:
     """AGG-6, AGG-7, AGG-8: metrics of all, conditional, unconditional and each bucket; empty groups have n = 0.
 
+    With a column of runs the groups of all runs are summed in the same jobs, one row a run and group.
     Fixed values: the names of metrics and groups.
     """
-    members = grouped(rows)
+    members = grouped(rows, run)
     playable, on = F.col("valid") & F.col("solved"), F.when(F.col("solved") & F.col("target").isNotNull(), F.col("bucket") - F.col("target"))
     sums = members.groupBy("group").agg(
         F.count("*").alias("n"), share(F.col("valid")).alias("valid"), share(playable).alias("playable"), share(F.col("novel_k")).alias("novel"), share(F.coalesce("novel_strict", F.lit(False))).alias("novel_strict"),
@@ -67,11 +69,15 @@ def summary(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         F.round(F.avg((on == 0).cast("double")), 9).alias("bucket_exact"), F.round(F.avg((F.abs(on) <= 1).cast("double")), 9).alias("bucket_within1"),
     )
     names = F.array(*map(F.lit, ["all", "conditional", "unconditional", *(f"d{b}" for b in range(buckets))]))
-    spine = rows.sparkSession.range(1).select(F.explode(names).alias("group"))
-    score = headline(rows).select("group", "score")
+    if run is None:
+        spine = rows.sparkSession.range(1).select(F.explode(names).alias("group"))
+    else:
+        spine = rows.select(F.col(run).alias("run")).distinct().select("run", F.explode(names).alias("name")).select(F.struct("run", "name").alias("group"))
+    score = headline(rows, run=run).select("group", "score")
     medians = percentiles(members, ["group"], "moves", [0.5], "median").select("group", F.col("median")[0].alias("moves_median"))
     out = spine.join(sums, "group", "left").join(medians, "group", "left").join(spearman(members), "group", "left").join(score, "group", "left")
-    return out.withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumn("n", F.coalesce("n", F.lit(0)))
+    return out if run is None else out.withColumn("run", F.col("group.run")).withColumn("group", F.col("group.name"))
 
 
 def confusion(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -178,9 +184,9 @@ def peeled(state: DataFrame, edges: DataFrame, held: DataFrame) -> tuple[DataFra
     return state, cut(edges.join(alive("a"), ["group", "a"], "left_semi").join(alive("b"), ["group", "b"], "left_semi"))
 
 
-def headline(rows: DataFrame, k: int = 5) -> DataFrame:
+def headline(rows: DataFrame, k: int = 5, run: str | None = None) -> DataFrame:
     """AGG-11: diversity of playable and novel rows over all rows, by group."""
-    members = grouped(rows)
+    members = grouped(rows, run)
     sizes = members.groupBy("group").agg(F.count("*").alias("n"))
     good = diversity(members.where("valid AND solved AND novel_k"), k)
     return sizes.join(good, "group", "left").select("group", "n", F.coalesce("diversity", F.lit(0)).alias("diversity"), F.round(F.coalesce("diversity", F.lit(0)) / F.col("n"), 9).alias("score"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import dataset, ranks, scoring
+from gridspark.functions.tokens import uniform
+from gridspark.operators import dataset, ranks, rewards, sampling, scoring
 
 
 def test_ranks_of_one_group_lie_in_many_ranges(spark):
@@ -52,6 +53,31 @@ def test_percentiles_equal_numpy(spark):
     assert [r["edges"] for r in dataset.edges_of(df.where("g = 'none'").withColumnRenamed("v", "moves")).collect()] == [None]
 
 
+def test_samples_are_exact_nested_and_unsorted(spark):
+    rows = spark.range(700).select(F.concat(F.lit("r"), F.pmod("id", F.lit(690))).alias("id"))
+    order = sorted(((r["u"], r["id"]) for r in rows.select("id", uniform("s", F.col("id")).alias("u")).collect()))
+    for share in (0.0, 0.001, 0.3, 0.5, 0.999, 1.0):
+        df = sampling.fraction(rows, share, "s")
+        assert sorted(r["id"] for r in df.collect()) == sorted(i for _, i in order[: int(700 * share)])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort " not in plan
+    assert sampling.fraction(rows.where("id = ''"), 0.5, "s").count() == 0
+
+
+def test_runs_are_a_key_of_the_summaries(spark):
+    """The summaries of two runs at once equal those of each run alone, and the scored rows are read no oftener for two runs than for one."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=14)) for _ in range(12)]
+    texts += [texts[0][1:], texts[1] + "q"]
+    rows = [(i, rng.choice([None, 0, 3]), rng.choice(texts), rng.random() < 0.8, rng.random() < 0.7, rng.randrange(50), rng.randrange(4), rng.random() < 0.5, rng.random() < 0.9, f"run{i % 2}") for i in range(120)]
+    rows = [(i, t, x, v, s and v, m if s and v else None, b if s and v else None, n, k, r) for i, t, x, v, s, m, b, n, k, r in rows]
+    df = spark.createDataFrame(rows, "sample_id long, target int, text string, valid boolean, solved boolean, moves int, bucket int, novel_strict boolean, novel_k boolean, run string")
+    both = rewards.runs_table(df, "run", {"run1": {"cost": 2.0}})
+    got = sorted((tuple(r) for r in both.select("run", "group", "n", "valid", "unique", "moves_median", "spearman", "score", "cost").collect()), key=repr)
+    want = [(f"run{k}", *r, 2.0 if k else None) for k in (0, 1) for r in scoring.summary(df.where(F.col("run") == f"run{k}")).select("group", "n", "valid", "unique", "moves_median", "spearman", "score").collect()]
+    assert got == sorted(want, key=repr) and len(got) == 26
+
+
 def greedy(nodes, near):
     """What is left of nodes {name: ids} when the row with most neighbours goes, lowest id on ties; rows of a node are neighbours too."""
     rows = {v: sorted(ids, reverse=True) for v, ids in nodes.items()}
