@@ -76,6 +76,8 @@ ORACLES = {
     "win2_ordinal_rank": level("split, moves, doc_id AS sample_id, row_number() OVER (PARTITION BY split ORDER BY moves, doc_id) - 1 AS rank"),
     "win3_first_of_source": level("id", "(SELECT id, row_number() OVER (PARTITION BY source ORDER BY file, index, id) AS k FROM lv) WHERE k <= 25"),
     "agg1_source_stats": level("source, count(*) AS levels, " + ", ".join(f"count_if(status = '{s}')::bigint AS {s}" for s in ("solved", "unsolvable", "budget_exceeded", "invalid")), "lv GROUP BY source"),
+    "win1_by_source": level("id, split, outcome", "outcome"),
+    "set2_first_levels": level("canonical, id AS first_id", "ranked WHERE rn = 1 AND canonical IS NOT NULL"),
     "agg2_split_stats": level("split, count_if(outcome = 'kept')::bigint AS kept, count_if(outcome = 'duplicate')::bigint AS duplicates_removed, count_if(outcome = 'unsolved')::bigint AS unsolved_removed", "outcome GROUP BY split"),
     "agg3_edges": level("(generate_subscripts(edges, 1) - 1)::int AS k, unnest(edges) AS edge", "edges"),
     "agg4_move_stats": level("split, min(moves)::int AS moves_min, trunc(quantile_cont(moves::double, 0.1))::int AS moves_p10, trunc(quantile_cont(moves::double, 0.5))::int AS moves_median, trunc(quantile_cont(moves::double, 0.9))::int AS moves_p90, max(moves)::int AS moves_max, trunc(quantile_cont(pushes::double, 0.5))::int AS pushes_median, trunc(quantile_cont(nodes_expanded::double, 0.5))::bigint AS nodes_median", "kept GROUP BY split"),
@@ -180,6 +182,7 @@ ORACLES |= {
     "fn16_status": f"{SAMPLES} SELECT sample_id, CASE WHEN text IS NULL THEN 'undecodable' WHEN NOT {valid('text')} THEN 'invalid' ELSE solver_status END AS status FROM sm",
     "smp7_plan": "WITH c AS (SELECT count(*) // 20 AS per, count(*) // 10 AS un FROM conversations) SELECT i AS sample_id, CASE WHEN i < per * 10 THEN (i // greatest(per, 1))::int END AS target FROM c, LATERAL (SELECT unnest(range(0, per * 10 + un)) AS i)",
     "join1_novel": f"{SAMPLES} SELECT sample_id, CASE WHEN im.images IS NOT NULL THEN list_min(im.images) NOT IN (SELECT canonical FROM corpus) END AS novel FROM sm LEFT JOIN im ON im.sid = sample_id",
+    "join1_bucketed": f"{SAMPLES} SELECT sample_id, CASE WHEN im.images IS NOT NULL THEN list_min(im.images) NOT IN (SELECT canonical FROM corpus) END AS novel FROM sm LEFT JOIN im ON im.sid = sample_id",
     "join2_nearest_edit": f"{SAMPLES}, q AS (SELECT sample_id, text FROM sm WHERE sample_id % 50 = 0), d AS (SELECT q.sample_id AS s, min(least(levenshtein(q.text, c.text), 21)) AS d FROM q, corpus c WHERE q.text IS NOT NULL GROUP BY ALL) SELECT sample_id, d::int AS nearest FROM q LEFT JOIN d ON s = sample_id",
     "join3_nearest_edit_symmetric": f"{SAMPLES}, q AS (SELECT sample_id, unnest(images) AS text FROM im JOIN sm ON sid = sample_id WHERE sample_id % 50 = 0), d AS (SELECT q.sample_id AS s, min(least(levenshtein(q.text, c.text), 21)) AS d FROM q, corpus c GROUP BY ALL) SELECT sample_id, d::int AS nearest FROM sm LEFT JOIN d ON s = sample_id WHERE sample_id % 50 = 0",
     "join4_novel_k": f"{SAMPLES}, near AS MATERIALIZED {NEAR} SELECT sample_id, text IS NOT NULL AND text NOT IN (SELECT t FROM near) AS novel_k FROM sm",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import grid, tokens
-from gridspark.operators import dataset, labelling, neighbours, rewards, sampling, scoring
+from gridspark.operators import dataset, growing, labelling, neighbours, rewards, sampling, scoring
 from gridspark.operators.rounds import cut, shared_folder
 from gridspark.sources import files
 from gridspark.sources.files import byte_of, table_levels, table_samples
@@ -93,6 +93,26 @@ def win1_dedup(spark, d):
     return dataset.deduplicated(table_levels(spark, d)).select("id", "split", "outcome")
 
 
+def grown(spark, d):
+    """A store of all levels, added split by split, the last in level order first."""
+    rows, path = cut(table_levels(spark, d)), f"{folder(spark)}/store"
+    for split in reversed(SPLITS):
+        growing.add_source(rows.where(F.col("split") == split), path, split)
+    return path
+
+
+@query
+def win1_by_source(spark, d):
+    """Deduplication that grows by a split at a time, earlier levels coming later."""
+    return growing.outcomes(spark, grown(spark, d)).select("id", "split", "outcome")
+
+
+@query
+def set2_first_levels(spark, d):
+    """The canonical forms of the same store, each with its first level."""
+    return growing.forms(spark, grown(spark, d))
+
+
 @query
 def win2_ordinal_rank(spark, d):
     rows = table_levels(spark, d).select("split", "moves", F.col("doc_id").alias("sample_id"))
@@ -274,6 +294,14 @@ def join1_novel(spark, d):
     return neighbours.novel(table_samples(spark, d), corpus(spark, d)).select("sample_id", "novel")
 
 
+@query
+def join1_bucketed(spark, d):
+    """Novelty against a corpus that is stored by canonical form and stays where it is."""
+    known, name = solved(spark, d).where("split = 'train'").select("text", "canonical"), f"corpus_{uuid4().hex}"
+    table = files.write_bucketed(known, name, f"{folder(spark)}/corpus", "canonical", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return neighbours.novel(table_samples(spark, d), table).select("sample_id", "novel")
+
+
 @query
 def join2_nearest_edit(spark, d):
     asked = cut(table_samples(spark, d).where("sample_id % 50 = 0"))

@@ -65,10 +65,11 @@ def unlabelled(levels: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """None where nothing, or no row of any partition, has been written."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
@@ -112,6 +113,22 @@ def read_split(spark: SparkSession, path: str, split: str, *columns: str) -> Dat
     return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, by: str, buckets: int) -> DataFrame:
+    """SNK-2: an external table whose files are dealt by the hash of a column with few rows a value, so that joins and groupings by it don't move the table.
+
+    Each task writes one bucket. A bucket is read by one task: take as many as keep it small.
+    """
+    rows.repartition(buckets, by).write.mode("overwrite").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, name: str, path: str, by: str, buckets: int) -> DataFrame:
+    """SRC-3: what write_bucketed has written, in a session whose catalog doesn't know it."""
+    columns = spark.read.parquet(path).schema.toDDL()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """SNK-3, SNK-4: JSON lines that keep nulls: the bucket edges, scored rows."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
