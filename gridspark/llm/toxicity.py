@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
 Examples are a bounded, class-balanced sample of the labelled training rows: EXAMPLES of either
-class in the order of a hash, as far as SAMPLE_BYTES of text hold them. Tasks count their words; the
+class in the order of a hash, until they hold SAMPLE_BYTES of text. Tasks count their words; the
 driver gets the counts, no text. All their words are terms, with document frequencies counted
-over all documents; a word that stands with label 1 beyond chance in the examples weighs more by
-sqrt(1 + chi-squared), no word weighs less than its TF-IDF. A query's own length scales all its
-cosines alike, which neither order nor votes see: words that no example holds change nothing.
+over all documents. A query's own length scales all its cosines alike, which neither order nor
+votes see: words that no example holds change nothing.
+
+What else there is to choose is chosen by FOLDS of the examples, never by held-out rows: how many
+neighbours vote, with what power of their cosine, and whether a word that stands with label 1 beyond
+chance weighs more by sqrt(1 + chi-squared) than its TF-IDF. Each fold is scored by an index of the
+others, with weights that its own labels had no part in; texts of the same words share a fold. The least
+squared error wins, and of equals the first of SETTINGS, plain TF-IDF before weights that lean.
 
 The index lists each term's examples with their weights. Rare terms are summed from their lists;
 of the COMMON most frequent terms each block of examples keeps the largest weight. Bounds are a
 block's best rare sum and those maxima; blocks are scored from the largest bound down until no
 bound reaches the k-th best cosine, so the neighbours are exact.
-Neighbours vote with the square of their cosine, weighted back to the class shares of the
-labels; a monotone fit over the examples, each scored without itself, turns votes into scores.
+Neighbours vote with that power of their cosine, weighted back to the class shares of the
+labels; a monotone fit over the examples' votes out of their folds turns votes into scores.
 The EVIDENCE neighbours of most votes come with the score: their doc_id, label and share of the votes.
 
 Null and empty texts, and texts without a term, have no neighbour and get the share of label 1
@@ -35,7 +40,10 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import NOT_ALNUM, U64, chunks, cut, held_out, training_row, words_of
 
-EXAMPLES, SAMPLE_BYTES, BLOCK, NEIGHBOURS, EVIDENCE = 2500, 64_000_000, 64, 15, 3
+EXAMPLES, SAMPLE_BYTES, BLOCK, EVIDENCE = 2500, 64_000_000, 64, 3
+#: What the folds choose from: whether weights lean to label 1, neighbours, power of the cosine.
+FOLDS = 5
+SETTINGS = [(leans, k, power) for leans in (False, True) for k in (15, 5, 45) for power in (1, 2, 4)]
 #: Terms with block maxima, and the most list entries and queries that are summed at once.
 COMMON, ENTRIES, QUERIES = 1024, 2_000_000, 128
 #: The least chi-squared value, and examples that hold it, of a term that weighs more.
@@ -54,7 +62,8 @@ def example_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, in
     for value in (0, 1):
         left = SAMPLE_BYTES
         for r in keys.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(EXAMPLES).collect():
-            if r["size"] <= left:
+            # The last one may pass the bound: whether a text is taken doesn't depend on its length.
+            if left > 0:
                 left -= r["size"]
                 chosen.append((r["doc_id"], r["h"], value, len(chosen)))
     if not chosen:
@@ -69,7 +78,7 @@ def example_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, in
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "doc_id", "toxic")), *columns], names=["place", "doc_id", "toxic", "words", "times"])
 
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int, place int"))
-    # 2 * EXAMPLES rows of 2 * SAMPLE_BYTES of text at most; of repeated rows one.
+    # 2 * EXAMPLES rows, of 2 * SAMPLE_BYTES and two texts at most; of repeated rows one.
     got = rows.join(ids, ["doc_id", "h"]).select("place", "doc_id", "toxic", "text").mapInArrow(counted, "place int, doc_id long, toxic int, words array<long>, times array<long>").dropDuplicates(["place"]).toArrow()
     order = np.argsort(got.column("place").to_numpy())
     array = lambda c, i: got.column(c)[i].values.to_numpy()
@@ -107,7 +116,7 @@ def entries(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     terms: tuple[np.ndarray, np.ndarray]
-    #: Inverse document frequency times leaning.
+    #: Inverse document frequency, times leaning where weights lean.
     idf: np.ndarray
     #: Postings of term t are at first[t]:first[t + 1]. The first terms are the common ones: of
     #: these `cut[t]` has where each block begins in the postings, `most[t]` each block's largest weight.
@@ -122,6 +131,8 @@ class Index:
     raw: np.ndarray
     score: np.ndarray
     none: float
+    k: int = SETTINGS[0][1]
+    power: int = SETTINGS[0][2]
     dense: dict[int, np.ndarray] = field(default_factory=dict)
 
     def block(self, b: int) -> np.ndarray:
@@ -133,7 +144,7 @@ class Index:
             self.dense[b] = out
         return self.dense[b]
 
-    def batch(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine of n queries, best first, and their cosines; 0 where there are fewer."""
         common, blocks = self.most.shape
         wide, rare = blocks * BLOCK, term >= common
@@ -154,8 +165,6 @@ class Index:
             for at in np.flatnonzero(want.any(0)):
                 asked = np.flatnonzero(want[:, at])
                 sims[asked, at] = sums[asked, at] + query[asked] @ self.block(at)
-            if without is not None:
-                flat[np.arange(n), without] = 0
             least = np.partition(flat, wide - k, axis=1)[:, wide - k]
         ids = np.argpartition(-flat, k - 1, axis=1)[:, :k]
         for i in np.flatnonzero((flat >= least[:, None]).sum(1) > k):
@@ -164,33 +173,38 @@ class Index:
         best = np.lexsort((ids, -got))
         return np.take_along_axis(ids, best, 1), np.take_along_axis(got, best, 1)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0, and their cosines (times the query's length)."""
-        ids, sims = self.batch(np.zeros(len(term), np.int64), term, weight, 1, None if without < 0 else np.array([without]), k)
+        ids, sims = self.batch(np.zeros(len(term), np.int64), term, weight, 1, k)
         return ids[sims > 0], sims[sims > 0]
 
-    def votes(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, left_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Share of label 1 among the neighbours' votes for each of n texts, -1 without any; the examples of most votes and their shares, 0 where there are fewer. left_out: text i is example i."""
-        out, best, part = np.full(n, -1.0), np.zeros((n, EVIDENCE), np.int64), np.zeros((n, EVIDENCE))
-        if not len(self.vote):
-            return out, best, part
+    def near(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Texts a to b of n, their k nearest examples and cosines, best first; a cosine of 0 is no neighbour."""
         bounds = np.searchsorted(doc, np.arange(n + 1))
         work = np.append(0, np.cumsum(np.where(term >= len(self.most), self.first[term + 1] - self.first[term], 0)))[bounds]
-        a = 0
+        a = 0 if len(self.vote) else n
         while a < n:
             b = min(max(a + 1, int(np.searchsorted(work, work[a] + ENTRIES))), a + QUERIES, n)
             x = slice(bounds[a], bounds[b])
-            ids, sims = self.batch(doc[x] - a, term[x], (1 + np.log(times[x])) * self.idf[term[x]], b - a, np.arange(a, b) if left_out else None, NEIGHBOURS)
-            ids = np.minimum(ids, len(self.vote) - 1)
-            vote = sims**2 * self.vote[ids]
-            has = sims[:, 0] > 0
-            total = np.where(has, vote.sum(1), 1)
-            out[a:b][has] = ((vote * self.toxic[ids]).sum(1) / total)[has]
-            most = np.argsort(-vote, axis=1, kind="stable")[:, :EVIDENCE]
-            k = most.shape[1]
-            best[a:b, :k] = np.take_along_axis(ids, most, 1)
-            part[a:b, :k] = np.take_along_axis(vote, most, 1) / total[:, None]
+            ids, sims = self.batch(doc[x] - a, term[x], (1 + np.log(times[x])) * self.idf[term[x]], b - a, k)
+            yield a, b, np.minimum(ids, len(self.vote) - 1), sims
             a = b
+
+    def share(self, ids: np.ndarray, sims: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+        """Share of label 1 among the votes, -1 without any, and each neighbour's share."""
+        vote = sims**power * self.vote[ids]
+        vote /= np.where(sims[:, :1] > 0, vote.sum(1, keepdims=True), 1)
+        return np.where(sims[:, 0] > 0, (vote * self.toxic[ids]).sum(1), -1.0), vote
+
+    def votes(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Share of label 1 among the neighbours' votes for each of n texts, -1 without any; the examples of most votes and their shares, 0 where there are fewer."""
+        out, best, part = np.full(n, -1.0), np.zeros((n, EVIDENCE), np.int64), np.zeros((n, EVIDENCE))
+        for a, b, ids, sims in self.near(doc, term, times, n, self.k):
+            out[a:b], vote = self.share(ids, sims, self.power)
+            most = np.argsort(-vote, axis=1, kind="stable")[:, :EVIDENCE]
+            width = most.shape[1]
+            best[a:b, :width] = np.take_along_axis(ids, most, 1)
+            part[a:b, :width] = np.take_along_axis(vote, most, 1)
         return out, best, part
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
@@ -210,6 +224,63 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.maximum.accumulate(np.array(ys)) if ys else np.array(ys)
 
 
+def indexed(doc: np.ndarray, term: np.ndarray, times: np.ndarray, toxic: np.ndarray, names: np.ndarray, idf: np.ndarray, terms: tuple[np.ndarray, np.ndarray], shares: dict[int, int], leans: bool) -> Index:
+    """The index of examples, (doc, term, times) being their words."""
+    n_terms, n = len(idf), len(toxic)
+    if leans:
+        idf = idf * leaning(doc, term, toxic, n_terms)
+    value = (1 + np.log(times)) * idf[term]
+    value /= np.sqrt(np.bincount(doc, value**2, minlength=n))[doc]
+    # Examples with the same strongest term stand together, so that few blocks matter to a query.
+    lead = np.full(n, n_terms)
+    strongest = np.argsort(value, kind="stable")
+    lead[doc[strongest]] = term[strongest]
+    order = np.lexsort((np.arange(n), toxic, lead))
+    doc, toxic, names = np.argsort(order)[doc], toxic[order], names[order]
+    by = np.lexsort((doc, term))
+    doc_by, term_by, value_by = doc[by], term[by], value[by]
+    first = np.searchsorted(term_by, np.arange(n_terms + 1))
+    n_blocks, common = max(1, -(-n // BLOCK)), min(COMMON, n_terms)
+    cuts, most = np.zeros((common, n_blocks + 1), np.int64), np.zeros((common, n_blocks))
+    for t in range(common):
+        lo, hi = first[t], first[t + 1]
+        cuts[t] = lo + np.searchsorted(doc_by[lo:hi], np.arange(n_blocks + 1) * BLOCK)
+        np.maximum.at(most[t], doc_by[lo:hi] // BLOCK, value_by[lo:hi])
+    return Index(terms, idf, first, doc_by.astype(np.int32), value_by, cuts, most, class_weights(toxic, shares), toxic, names, np.zeros(0), np.zeros(0), 0.0)
+
+
+def class_weights(toxic: np.ndarray, shares: dict[int, int]) -> np.ndarray:
+    """How many labelled rows an example stands for."""
+    have = {v: max(1, int((toxic == v).sum())) for v in (0, 1)}
+    return np.array([shares[int(v)] / have[int(v)] for v in toxic])
+
+
+def out_of_fold(fold: np.ndarray, doc: np.ndarray, term: np.ndarray, times: np.ndarray, toxic: np.ndarray, names: np.ndarray, *model) -> list[np.ndarray]:
+    """For each of SETTINGS the examples' shares of label 1 among neighbours of other folds."""
+    raw = [np.full(len(toxic), -1.0) for _ in SETTINGS]
+    own = np.lexsort((term, doc))
+    doc, term, times = doc[own], term[own], times[own]
+    for f in range(FOLDS):
+        mine, ask = fold == f, (fold == f)[doc]
+        place = np.where(mine, np.cumsum(mine), np.cumsum(~mine)) - 1
+        at = np.flatnonzero(mine)
+        for leans in (False, True):
+            index = indexed(place[doc[~ask]], term[~ask], times[~ask], toxic[~mine], names[~mine], *model, leans)
+            for a, b, ids, sims in index.near(place[doc[ask]], term[ask], times[ask], len(at), max(k for _, k, _ in SETTINGS)):
+                for out, (with_lean, k, power) in zip(raw, SETTINGS, strict=True):
+                    if with_lean == leans:
+                        out[at[a:b]] = index.share(ids[:, :k], sims[:, :k], power)[0]
+    return raw
+
+
+def calibrate(index: Index, raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """Sets the index's scores by the examples' votes; gives their mean squared error."""
+    none = raw < 0
+    index.none = float((weight * toxic)[none].sum() / weight[none].sum()) if none.any() else 0.0
+    index.raw, index.score = monotone(raw[~none], toxic[~none], weight[~none])
+    return float((weight * (index.calibrated(raw) - toxic) ** 2).sum() / weight.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     rows, shares = example_rows(docs, labels)
     names, toxic = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
@@ -236,34 +307,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     got = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(n_terms + 1)
     df[got.column("term").to_numpy()] = got.column("n").to_numpy()
-    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * leaning(doc, term, toxic, n_terms)
-    value = (1 + np.log(times)) * idf[term]
-    value /= np.sqrt(np.bincount(doc, value**2, minlength=len(rows)))[doc]
-    # Examples with the same strongest term stand together, so that few blocks matter to a query.
-    lead = np.full(len(rows), n_terms)
-    strongest = np.argsort(value, kind="stable")
-    lead[doc[strongest]] = term[strongest]
-    order = np.lexsort((np.arange(len(rows)), toxic, lead))
-    doc, toxic, names = np.argsort(order)[doc], toxic[order], names[order]
-    by = np.lexsort((doc, term))
-    doc_by, term_by, value_by = doc[by], term[by], value[by]
-    first = np.searchsorted(term_by, np.arange(n_terms + 1))
-    n_blocks, common = max(1, -(-len(rows) // BLOCK)), min(COMMON, n_terms)
-    cuts, most = np.zeros((common, n_blocks + 1), np.int64), np.zeros((common, n_blocks))
-    for t in range(common):
-        lo, hi = first[t], first[t + 1]
-        cuts[t] = lo + np.searchsorted(doc_by[lo:hi], np.arange(n_blocks + 1) * BLOCK)
-        np.maximum.at(most[t], doc_by[lo:hi] // BLOCK, value_by[lo:hi])
-    have = {v: max(1, int((toxic == v).sum())) for v in (0, 1)}
-    vote = np.array([shares[int(v)] / have[int(v)] for v in toxic])
-    index = Index(terms, idf, first, doc_by.astype(np.int32), value_by, cuts, most, vote, toxic, names, np.zeros(0), np.zeros(0), 0.0)
-    own = np.lexsort((term, doc))
-    raw, _, _ = index.votes(doc[own], term[own], times[own], len(rows), left_out=True)
-    if len(raw):
-        none = raw < 0
-        index.none = float((vote * toxic)[none].sum() / vote[none].sum()) if none.any() else 0.0
-        index.raw, index.score = monotone(raw[~none], toxic[~none], vote[~none])
-    index.dense = {}
+    words, model = (doc, term, times, toxic, names), (np.log((1 + df[-1]) / (1 + df[:-1])) + 1, terms, shares)
+    if not len(rows):
+        return indexed(*words, *model, False)
+    # Texts of the same words share a fold.
+    fold = np.array([int(np.bitwise_xor.reduce(r[2])) % FOLDS if len(r[2]) else 0 for r in rows])
+    weight, votes = class_weights(toxic, shares), out_of_fold(fold, *words, *model)
+    index = indexed(*words, *model, False)
+    errors = [calibrate(index, raw, toxic, weight) for raw in votes]
+    best = int(np.argmin(np.round(errors, 12)))
+    leans, k, power = SETTINGS[best]
+    index = indexed(*words, *model, leans) if leans else index
+    index.k, index.power = k, power
+    calibrate(index, votes[best], toxic, weight)
     return index
 
 

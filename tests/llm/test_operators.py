@@ -348,12 +348,14 @@ def test_toxicity_equals_plain_neighbours(spark):
     n1, n = sum(toxic.values()), len(toxic)
     n0 = n - n1
     held = Counter(w for i in toxic for w in bags[i])
+    index = toxicity.fit(docs, labels)
+    leans = bool((index.idf > math.log(1 + len(texts)) + 1).any())
     hot = Counter(w for i in toxic if toxic[i] for w in bags[i])
 
     def weight(w):
         a, b = hot[w], held[w] - hot[w]
         chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(1, held[w] * (n - held[w]) * n1 * n0)
-        lean = (1 + chi) ** 0.5 if held[w] >= toxicity.LEAST_DF and a * n0 > b * n1 and chi >= toxicity.CHI2 else 1
+        lean = (1 + chi) ** 0.5 if leans and held[w] >= toxicity.LEAST_DF and a * n0 > b * n1 and chi >= toxicity.CHI2 else 1
         return (math.log((1 + len(texts)) / (1 + df[w])) + 1) * lean
 
     value = {w: weight(w) for w in held}
@@ -362,12 +364,12 @@ def test_toxicity_equals_plain_neighbours(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
     for i in texts:
         sims = {j: sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / (length[i] * length[j] or 1) for j in toxic}
-        best = sorted(sims.values(), reverse=True)[: toxicity.NEIGHBOURS]
+        best = sorted(sims.values(), reverse=True)[: index.k]
         evidence = got[i]["evidence"]
         assert len(evidence) == min(toxicity.EVIDENCE, sum(x > 0 for x in best))
-        votes = sum(x * x for x in best)
+        votes = sum(x**index.power for x in best)
         for e, x in zip(evidence, best):
-            assert e["toxic"] == toxic[e["doc_id"]] and abs(sims[e["doc_id"]] - x) < 1e-9 and abs(e["share"] - x * x / votes) < 1e-9
+            assert e["toxic"] == toxic[e["doc_id"]] and abs(sims[e["doc_id"]] - x) < 1e-9 and abs(e["share"] - x**index.power / votes) < 1e-9
 
 
 def test_held_out_accuracy(spark):
@@ -405,7 +407,7 @@ def test_nearest_is_exact():
     for i in range(0, n, 20):
         t = np.flatnonzero(dense[i])
         if len(t):
-            ids, sims = index.nearest(t, dense[i, t])
+            ids, sims = index.nearest(t, dense[i, t], 15)
             all_sims = np.sort(dense @ dense[i])[::-1][: len(sims)]
             assert np.allclose(sims, all_sims)
 
