@@ -10,6 +10,8 @@ class Text(NamedTuple):
     #: Phrases of lower-case words that must stand where the text is found.
     mandatory: tuple[str, ...]
     text: str
+    #: Words that no key phrase of it may lack.
+    never_missing: tuple[str, ...] = ()
 
 
 TEXTS = (
@@ -42,6 +44,7 @@ TEXTS = (
         BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
         TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
         THE POSSIBILITY OF SUCH DAMAGE.""",
+        ("binary", "reproduce"),
     ),
     Text(
         "bsd-3",
@@ -53,6 +56,7 @@ TEXTS = (
         materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
         contributors may be used to endorse or promote products derived from this software without specific prior
         written permission.""",
+        ("neither", "endorse"),
     ),
     Text(
         "isc",
@@ -88,6 +92,7 @@ TEXTS = (
         be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
         such copies or derivative works are solely in the form of machine-executable object code generated by a source
         language processor.""",
+        ("executable",),
     ),
     Text(
         "unlicense",
@@ -99,6 +104,7 @@ TEXTS = (
         We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
         We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
         this software under copyright law.""",
+        ("unencumbered", "public"),
     ),
     Text(
         "apache-2",
@@ -108,6 +114,7 @@ TEXTS = (
         required by applicable law or agreed to in writing, software distributed under the License is distributed on an
         "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
         specific language governing permissions and limitations under the License.""",
+        ("apache", "2"),
     ),
     Text(
         "gpl-2",
@@ -117,6 +124,7 @@ TEXTS = (
         any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
         without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
         Public License for more details.""",
+        ("gnu", "2"),
     ),
     Text(
         "gpl-3",
@@ -126,6 +134,7 @@ TEXTS = (
         any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
         without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
         Public License for more details.""",
+        ("gnu", "3"),
     ),
     Text(
         "lgpl",
@@ -135,6 +144,7 @@ TEXTS = (
         your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
         Lesser General Public License for more details.""",
+        ("lesser",),
     ),
     Text(
         "agpl-3",
@@ -144,12 +154,14 @@ TEXTS = (
         option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
         Affero General Public License for more details.""",
+        ("affero", "3"),
     ),
     Text(
         "mpl-2",
         ("mozilla public license v 2 0",),
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
         not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        ("mozilla", "2"),
     ),
     Text(
         "wtfpl",

@@ -301,6 +301,57 @@ def test_licence_texts(spark):
     assert all((s > 0) == bool(x) and 0 <= s <= 1 for x, s in got.values()) and got[0][1] == 1.0
 
 
+def edited(words, n, seed):
+    """words with n of them put in or left out at random places."""
+    rng, out = random.Random(seed), list(words)
+    for _ in range(n):
+        k = rng.randrange(len(out))
+        if rng.random() < 0.5:
+            out.insert(k, rng.choice(["newly", "given", "words", "stand", "here"]))
+        else:
+            del out[k]
+    return out
+
+
+def test_edited_licence_texts_are_found(spark):
+    """Recall over 20 random edits of each text, by the number of edited words."""
+    from gridspark.llm.license_texts import TEXTS as texts
+
+    least = {1: 0.95, 2: 0.9, 4: 0.9}
+    rows, want = [], {}
+    for t, x in enumerate(texts):
+        for n in least:
+            for k in range(20):
+                want[len(rows)] = (n, x.label)
+                rows.append((len(rows), "some words before it " + " ".join(edited(license_scan.words_of_text(x.text), n, 1000 * t + 20 * n + k))))
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shares = {n: [label in got[i] for i, (m, label) in want.items() if m == n] for n in least}
+    shares = {n: sum(x) / len(x) for n, x in shares.items()}
+    assert all(shares[n] >= x for n, x in least.items()), shares
+    # No other licence is read into an edited text, but what a lost version makes of it.
+    assert sum(set(got[i]) - {label, ""} != set() for i, (_, label) in want.items()) <= 0.01 * len(rows)
+
+
+def test_names_of_licences_in_other_contexts(spark):
+    from gridspark.llm.license_texts import TEXTS as texts
+
+    text = {t.label: t.text for t in texts}
+    cases = [
+        ("Copyright 1990 X. All rights reserved.\n" + text["bsd-3"], "bsd-3"),
+        ("Copyright 1990 X. All rights reserved.\n" + text["bsd-3"] + text["bsd-2"], "bsd-3"),
+        ("All rights reserved.", "proprietary"),
+        ("No. All rights reserved.", ""),
+        ("the Creative Commons Attribution-NonCommercial 4.0 licence", ""),
+        ("the Creative Commons Attribution 4.0 licence", "cc-by"),
+        ("it is not released into the public domain", ""),
+        ("it is released into the public domain", "unlicense"),
+        ("not under the MIT license", "mit"),  # a base phrase counts wherever it stands
+        ("under the GNU Lesser General Public License version 3", "lgpl"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
 def test_language_equals_plain_naive_bayes(spark, monkeypatch):
     """n-grams that are not hashed, in plain Python; and the same rows where languages come in blocks."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
