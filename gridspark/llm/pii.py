@@ -4,17 +4,19 @@ Base kinds (email, ip, card, phone) are matched by fixed patterns and checks. Hi
 generators propose further, possibly overlapping spans. Boosted trees (trained by Spark's own
 GBTClassifier) see format and context features; they become one nested CASE expression, so scoring
 needs no shuffle and no Python. A candidate is kept where its probability reaches its generator's
-threshold and no base span overlaps it; of overlapping candidates the one of highest probability
-stays, then the longest, then the first, then the first generator's.
+threshold and no base span overlaps it; of overlapping candidates the longest stays, then the one of
+highest probability, then the first, then the first generator's.
 
 There are no labelled spans, so the trees learn from planted ones: about PLANTS snippets of the
-documents' own texts get a made-up span each, either personal data (keys of known and unknown
-forms, social security numbers, IBANs of several countries, with or without words before them that
-announce them) or something that looks like it (chains of words, digests, serial numbers, numbers
-of a bad checksum or structure). What was planted is the label, whatever its format check says;
-the check is a feature among others. Thresholds are the smallest that hold PRECISION on the held-out
-half of the plants; a generator where none does keeps candidates that pass its format check.
-Without documents nothing is trained.
+documents' own texts get a made-up span each, either personal data (keys of known and unknown forms,
+web tokens, key headers, social security numbers, IBANs, dates of birth, numbers of documents) or
+something that looks like it (chains of words, digests, dotted names, certificates, serial numbers,
+other dates, numbers of a bad checksum or structure). What was planted is the label, for the
+candidate of the generator that it was planted for, whatever its format check says; the check is a
+feature among others. The held-out half has other words before the spans, other alphabets, vendors
+and countries than the fitting half. Thresholds are the smallest that hold PRECISION on it; recall
+counts every plant, also those that no generator proposed. A generator where no threshold holds
+keeps candidates that pass its format check. Without documents nothing is trained.
 
 Offsets are code points, end exclusive. Null texts are empty and have no spans. Repeated rows
 are judged alike; an empty table gives an empty result. A long text is read whole: running sums
@@ -34,7 +36,7 @@ from gridspark.llm.common import packed
 
 #: Planted spans that the trees learn from and are held against, and the snippets they stand in.
 PLANTS, SNIPPET, PRECISION = 8_000, 48, 0.95
-TREES, DEPTH = 10, 4
+TREES, DEPTH = 12, 4
 #: A threshold that no probability reaches.
 NEVER = 2.0
 CONTEXT = 32
@@ -147,17 +149,26 @@ def iban_of(m: Column) -> Column:
     return F.when(mod97(m), m).when(mod97(shorter), shorter).when(mod97(shortest), shortest).otherwise(m)
 
 
-KEY = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:ghp|gho|ghs)_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[bp]-[A-Za-z0-9-]{10,}$|^(?=[^A-Za-z]*[A-Za-z])(?=(?:[^0-9]*[0-9]){5})[a-z0-9]{24,}$"
+KEY = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:ghp|gho|ghs)_[A-Za-z0-9]{36}$|^(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}$|^github_pat_[A-Za-z0-9_]{22,}$|^glpat-[A-Za-z0-9_-]{20,}$|^AIza[A-Za-z0-9_-]{35}$|^npm_[A-Za-z0-9]{36}$|^xox[bp]-[A-Za-z0-9-]{10,}$|^(?=[^A-Za-z]*[A-Za-z])(?=(?:[^0-9]*[0-9]){5})[a-z0-9]{24,}$"
 #: A key of any alphabet where a word for secrets is assigned to: all of upper case, lower case and digits, three changes between letters and digits.
 MIXED = r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9]).{20,}$"
 CHANGE = "[A-Za-z][0-9]|[0-9][A-Za-z]"
 ASSIGNED = "(?i)(?:key|token|secret|passw)[a-z_]*[\\x20\"']*[:=]+[\\x20\"']*$"
 
+#: What announces a social security number of blanks, a date of birth, the number of a document.
+SSN_BEFORE = "(?i)(?:ssn|social security)[^0-9]{0,12}$"
+BORN_BEFORE = "(?i)(?:born|birth|birth ?date|birthday|dob)(?: on)?[\\x20:=-]*$"
+DOCUMENT_BEFORE = "(?i)(?:passport|identity card|driv[a-z']* licen[cs]e)(?: no| number| nr)?[\\x20.:=#-]*$"
+
 #: Proposals beyond the base kinds, each with a word list that often stands before it.
 GENERATORS = (
     Generator("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+", lambda m, before: m.rlike(KEY) | (m.rlike(MIXED) & (F.regexp_count(m, F.lit(CHANGE)) >= 3) & before.rlike(ASSIGNED)), "(?i)(?:key|token|secret|passw)"),
-    Generator("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m, before: m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "(?i)(?:ssn|social)"),
+    Generator("ssn", r"(?<![0-9-])[0-9]{3}([\x20-])[0-9]{2}\1[0-9]{4}(?![0-9-])", lambda m, before: m.rlike(r"^(?!000|666|9)[0-9]{3}[ -](?!00)[0-9]{2}[ -](?!0000)[0-9]{4}$") & (m.contains("-") | before.rlike(SSN_BEFORE)), "(?i)(?:ssn|social)"),
     Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m, before: mod97(m), "(?i)(?:iban|bank|konto)"),
+    Generator("webtoken", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{12,}+(?![.])", lambda m, before: m.rlike(r"^eyJ[^.]*\.eyJ"), "(?i)(?:token|bearer|authorization|jwt)"),
+    Generator("privatekey", r"-----BEGIN [A-Z0-9 ]{3,40}-----(?:\s[A-Za-z0-9+/=\s]*+-----END [A-Z0-9 ]{3,40}-----)?", lambda m, before: m.rlike(r"^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"), "(?i)key"),
+    Generator("birthdate", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9/-])", lambda m, before: before.rlike(BORN_BEFORE), "(?i)(?:born|birth|dob)"),
+    Generator("document", r"(?<![A-Za-z0-9.,:-])[A-Z]{0,2}[0-9]{6,9}[A-Z]?(?![A-Za-z0-9]|[.,:-][0-9])", lambda m, before: before.rlike(DOCUMENT_BEFORE), "(?i)(?:passport|identity card|driv)"),
 )
 
 
@@ -177,7 +188,7 @@ def base_spans(text: Column) -> Column:
 
 FEATURES = ("kind", "length", "digits", "upper", "lower", "marks", "hint", "assigned", "switches", "check", "other")
 #: Words before numbers and digests that are no personal data.
-OTHER = "(?i)(?:commit|sha|md5|digest|order|part|isbn|ref|file|path|serial|version)"
+OTHER = "(?i)(?:commit|sha|md5|digest|checksum|revision|order|invoice|part|isbn|ref|file|path|serial|version)"
 
 
 def proposals(text: Column) -> Column:
@@ -227,56 +238,87 @@ class Model:
 
 
 def plants(docs: DataFrame, number: int = PLANTS) -> DataFrame:
-    """text, s, e, label, part: snippets of docs with a made-up span from s to e each; label 1 if it stands for personal data."""
+    """text, s, e, kind, label, part: snippets of docs with a made-up span from s to e each; label 1 if it stands for personal data of the kind."""
     texts = docs.where(F.length("text") > 0)
     n = texts.count()
-    some = texts.select(F.substring("text", 1, 100_000).alias("text"), F.length("text").alias("n")).sample(min(1.0, number / max(1, n)), seed=3)
+    some = texts.select("text", F.length("text").alias("n"), F.sha2("text", 256).alias("id")).sample(min(1.0, number / max(1, n)), seed=3)
     rows = some.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max(1, number // max(1, min(n, number)))))))
-    rows = rows.withColumn("h", F.sha2(F.concat_ws(":", F.col("k").cast("string"), F.col("text")), 512))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws(":", F.col("k").cast("string"), "id"), 512))
+    # Snippets start anywhere in the text.
+    place = F.conv(F.substring("h", 1, 12), 16, 10).cast("long") % F.greatest(F.col("n") - 2 * SNIPPET, F.lit(1))
+    rows = rows.select("h", F.substring("text", place.cast("int") + 1, F.lit(400)).alias("piece"))
     number_of = lambda at, most: F.conv(F.substring("h", at, 7), 16, 10).cast("long") % most
     hexes = lambda at, size: F.substring("h", at, size)
-    spelled = lambda at, size, alphabet: F.translate(hexes(at, size), "0123456789abcdef", alphabet)
-    upper, mixed, figures = "A7QK2ZM9XB4TRV6J", "aB3dE5gH7jK9mN2p", "0123456789012345"
+    rows, part = rows.withColumn("part", number_of(120, 2)), F.col("part")
+    #: What the fitting half has, and what the held-out half has instead.
+    either = lambda fit, held: F.when(part == 0, fit).otherwise(held)
     one_of = lambda at, *values: F.get(F.array(*map(F.lit, values)), number_of(at, len(values)).cast("int"))
-    place = (number_of(1, 100_003) % F.greatest(F.least(F.col("n"), F.lit(100_000)) - 2 * SNIPPET, F.lit(1))).cast("int")
-    snippet = F.translate(F.substring("text", place + 1, F.lit(2 * SNIPPET)), "\n", " ")
-    letters = F.regexp_replace(F.substring("text", place + 1, F.lit(400)), r"[^A-Za-z]+", "")
-    chain = F.concat(F.lower(letters), spelled(9, 18, "abcdefghijklmnop"))
-    ssn = F.concat_ws("-", F.lpad((1 + number_of(20, 665)).cast("string"), 3, "0"), F.lpad((1 + number_of(30, 99)).cast("string"), 2, "0"), F.lpad((1 + number_of(40, 9999)).cast("string"), 4, "0"))
-    no_ssn = F.concat(one_of(25, "000", "666", "912", "987"), F.substring(ssn, 4, 8))
-    country = one_of(27, "DE", "FR", "ES", "GB", "NL", "NO", "IT")
-    account = F.concat(F.when(country.isin("GB", "NL"), spelled(33, 4, "ABCDEFGHIJKLMNOP")).otherwise(""), F.substring(spelled(50, 23, figures), 1, (11 + number_of(44, 13)).cast("int")))
-    check = 98 - remainder97(F.concat(account, country, F.lit("00")))
+    words = lambda at, fit, held: either(one_of(at, *fit), one_of(at, *held))
+    figures = "0123456789012345"
+    written_in = lambda at, size, alphabet: F.translate(hexes(at, size), "0123456789abcdef", alphabet)
+    spelled = lambda at, size, fit, held="": either(written_in(at, size, fit), written_in(at, size, held)) if held else written_in(at, size, fit)
+    upper, mixed = ("A7QK2ZM9XB4TRV6J", "C3WN8YH5PD1SEL0G"), ("aB3dE5gH7jK9mN2p", "qR4sT6uV8wX0yZ1c")
+    letters = F.regexp_replace("piece", r"[^A-Za-z]+", "")
+    rows, chain = rows.withColumn("chain", F.concat(F.lower(letters), spelled(9, 18, "abcdefghijklmnop"))), F.col("chain")
+    two = lambda at, most: F.lpad((1 + number_of(at, most)).cast("string"), 2, "0")
+    ssn = F.concat_ws("-", F.lpad((1 + number_of(20, 665)).cast("string"), 3, "0"), two(30, 99), F.lpad((1 + number_of(40, 9999)).cast("string"), 4, "0"))
+    no_ssn = F.concat(words(25, ("000", "666", "912"), ("987", "666", "934")), F.substring(ssn, 4, 8))
+    rows, country = rows.withColumn("country", words(27, ("DE", "FR", "ES", "GB"), ("NL", "NO", "IT", "AT"))), F.col("country")
+    letters4 = F.when(country.isin("GB", "NL"), spelled(33, 4, "ABCDEFGHIJKLMNOP")).otherwise("")
+    rows, account = rows.withColumn("account", F.concat(letters4, F.substring(spelled(50, 23, figures), 1, (11 + number_of(44, 13)).cast("int")))), F.col("account")
+    rows, check = rows.withColumn("check", 98 - remainder97(F.concat(account, country, F.lit("00")))), F.col("check")
     iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
     no_iban = F.concat(country, F.lpad(((check + 1 + number_of(60, 90)) % 97).cast("string"), 2, "0"), account)
     grouped = lambda x: F.when(number_of(70, 2) == 0, x).otherwise(F.trim(F.regexp_replace(x, "(.{4})", "$1 ")))
-    secret_words = ("key = \"", "secret: ", "token=", "api_key = '", "password: ", "access token = \"")
-    other_words = ("commit ", "sha256 ", "md5 ", "file ", "path ", "digest: ")
-    numbers = ("order ", "part no ", "ref ", "isbn ", "serial ")
-    # (label, words before it, span)
+    year = (1930 + number_of(52, 90)).cast("string")
+    mark = one_of(56, ".", "/")
+    date = F.when(number_of(58, 2) == 0, F.concat_ws("-", year, two(62, 12), two(66, 28))).otherwise(F.concat(two(66, 28), mark, two(62, 12), mark, year))
+    document = F.concat(one_of(57, "", "C", "X", "AB"), spelled(60, 7, figures), one_of(68, "", "", "P"))
+    web = F.concat(F.lit("eyJ"), spelled(40, 17, *mixed), F.lit(".eyJ"), spelled(58, 24, *mixed), F.lit("."), spelled(84, 32, *mixed))
+    dotted = F.concat_ws(".", F.substring(chain, 1, 13), F.substring(chain, 3, 14), F.substring(chain, 2, 12))
+    block = lambda what: F.concat(F.lit("-----BEGIN "), what, F.lit("-----"))
+    secret = (("key = \"", "secret: ", "token=", "api_key = '"), ("password: ", "access token = \"", "client_secret = ", "auth_token=\""))
+    maybe_secret = (("", "", "key ", *secret[0]), ("", "", "with ", *secret[1]))
+    other = (("commit ", "sha256 ", "md5 ", "file "), ("path ", "digest: ", "checksum: ", "revision "))
+    numbers = (("order ", "part no ", "ref "), ("isbn ", "serial ", "invoice "))
+    # (label, kind, words before it, span)
     kinds = (
-        (1, one_of(80, "", "", "key ", *secret_words), F.concat(one_of(85, "AKIA", "ASIA"), spelled(90, 16, upper))),
-        (1, one_of(80, "", "", *secret_words), F.concat(one_of(85, "ghp_", "gho_", "ghs_"), spelled(90, 36, mixed))),
-        (1, one_of(80, "", "", *secret_words), F.concat(F.lit("sk_live_"), spelled(90, 24, mixed))),
-        (1, one_of(80, *secret_words), hexes(88, 40)),
-        (1, one_of(80, *secret_words), F.concat(spelled(86, 20, mixed), one_of(84, "/", "+", "x"), spelled(108, 19, mixed))),
-        (1, one_of(80, "", "", "ssn ", "ssn: ", "social security number "), ssn),
-        (1, one_of(80, "", "", "iban ", "iban: ", "bank account "), grouped(iban)),
-        (0, one_of(80, "", "", "", "key ", *secret_words, *other_words), F.substring(chain, 1, (16 + number_of(83, 12)).cast("int"))),
-        (0, one_of(80, "", *other_words), F.concat(F.substring(chain, 1, 6), one_of(82, "/", "-", "_"), F.substring(chain, 7, 9), F.lit("-"), spelled(90, 4, figures))),
-        (0, one_of(80, *other_words), hexes(88, 40)),
-        (0, one_of(80, "", *other_words), F.concat(spelled(86, 20, mixed), one_of(84, "/", "+", "x"), spelled(108, 19, mixed))),
-        (0, one_of(80, "", "", *numbers), spelled(90, 17, figures)),
-        (0, one_of(80, "", "ssn ", *numbers), no_ssn),
-        (0, one_of(80, *numbers), ssn),
-        (0, one_of(80, "", "iban ", *numbers), grouped(no_iban)),
+        (1, "secret", words(80, *maybe_secret), F.concat(either(F.lit("AKIA"), F.lit("ASIA")), spelled(90, 16, *upper))),
+        (1, "secret", words(80, *maybe_secret), F.concat(words(85, ("ghp_", "gho_"), ("ghs_", "npm_")), spelled(90, 36, *mixed))),
+        (1, "secret", words(80, *maybe_secret), F.concat(words(85, ("sk_live_", "glpat-"), ("rk_test_", "github_pat_")), spelled(90, 24, *mixed))),
+        (1, "secret", words(80, *maybe_secret), F.concat(F.lit("AIza"), spelled(84, 35, *mixed))),
+        (1, "secret", words(80, *secret), hexes(88, 40)),
+        (1, "secret", words(80, *secret), F.concat(spelled(86, 20, *mixed), one_of(84, "/", "+", "x"), spelled(108, 19, *mixed))),
+        (1, "ssn", words(80, ("", "", "ssn ", "ssn: "), ("", "", "social security number ", "SSN ")), ssn),
+        (1, "ssn", words(80, ("ssn ", "ssn: "), ("social security number ", "SSN ")), F.translate(ssn, "-", " ")),
+        (1, "iban", words(80, ("", "", "iban "), ("", "", "iban: ", "bank account ")), grouped(iban)),
+        (1, "webtoken", words(80, ("", "token=", "bearer "), ("", "authorization: ", "jwt ")), web),
+        (1, "privatekey", words(80, ("", "key: ", "path "), ("", "file ")), block(words(85, ("RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY"), ("OPENSSH PRIVATE KEY", "EC PRIVATE KEY")))),
+        (1, "birthdate", words(80, ("born ", "date of birth: ", "dob "), ("born on ", "birth date ", "DOB: ")), date),
+        (1, "document", words(80, ("passport no. ", "passport number: "), ("passport: ", "identity card no. ", "driving licence ")), document),
+        (0, "secret", words(80, ("", "", "key ", *secret[0], *other[0]), ("", "", *secret[1], *other[1])), F.substring(chain, 1, (16 + number_of(83, 12)).cast("int"))),
+        (0, "secret", words(80, ("", *other[0]), ("", *other[1])), F.concat(F.substring(chain, 1, 6), one_of(82, "/", "-", "_"), F.substring(chain, 7, 9), F.lit("-"), spelled(90, 4, figures))),
+        (0, "secret", words(80, *other), hexes(88, 40)),
+        (0, "secret", words(80, ("", *other[0]), ("", *other[1])), F.concat(spelled(86, 20, *mixed), one_of(84, "/", "+", "x"), spelled(108, 19, *mixed))),
+        (0, "secret", words(80, ("", "", *numbers[0]), ("", "", *numbers[1])), spelled(90, 17, figures)),
+        (0, "ssn", words(80, ("", "ssn ", *numbers[0]), ("", "SSN ", *numbers[1])), no_ssn),
+        (0, "ssn", words(80, *numbers), F.when(number_of(70, 2) == 0, ssn).otherwise(F.translate(ssn, "-", " "))),
+        (0, "iban", words(80, ("", "iban ", *numbers[0]), ("", "iban: ", *numbers[1])), grouped(no_iban)),
+        (0, "webtoken", words(80, ("", "token=", *other[0]), ("", "module ", *other[1])), dotted),
+        (0, "privatekey", words(80, ("", "key: ", "path "), ("", "file ")), block(words(85, ("CERTIFICATE", "RSA PUBLIC KEY", "X509 CRL", "PGP PUBLIC KEY BLOCK", "EC PUBLIC KEY", "NEW CERTIFICATE REQUEST"), ("PUBLIC KEY", "CERTIFICATE REQUEST")))),
+        (0, "birthdate", words(80, ("", "on ", "published ", "order date "), ("", "due ", "since ", "in force from ")), date),
+        (0, "document", words(80, ("", "over ", *numbers[0]), ("", "about ", *numbers[1])), document),
     )
-    kind = number_of(75, len(kinds)).cast("int")
-    made = F.coalesce(*(F.when(kind == i, F.struct(F.lit(y).alias("label"), w.alias("words"), x.alias("span"))) for i, (y, w, x) in enumerate(kinds)))
-    rows = rows.select(F.substring(snippet, 1, SNIPPET).alias("left"), F.substring(snippet, SNIPPET + 1, SNIPPET).alias("right"), made.alias("made"), (number_of(120, 2)).alias("part"))
+    rows, kind = rows.withColumn("of", number_of(75, len(kinds)).cast("int")), F.col("of")
+    made = F.coalesce(*(F.when(kind == i, F.struct(F.lit(y).alias("label"), F.lit(g).alias("kind"), w.alias("words"), x.alias("span"))) for i, (y, g, w, x) in enumerate(kinds)))
+    snippet = F.translate("piece", "\n", " ")
+    rows = rows.select(F.substring(snippet, 1, SNIPPET).alias("left"), F.substring(snippet, SNIPPET + 1, SNIPPET).alias("right"), made.alias("made"), "part")
     before = F.concat("left", F.lit(" "), "made.words")
     closing = F.when(F.col("made.words").endswith('"'), '"').when(F.col("made.words").endswith("'"), "'").otherwise("")
-    return rows.select(F.concat(before, "made.span", closing, F.lit(" "), "right").alias("text"), F.length(before).alias("s"), (F.length(before) + F.length("made.span")).alias("e"), F.col("made.label").cast("double").alias("label"), "part")
+    return rows.select(
+        F.concat(before, "made.span", closing, F.lit(" "), "right").alias("text"), F.length(before).alias("s"), (F.length(before) + F.length("made.span")).alias("e"),
+        "made.kind", F.col("made.label").cast("double").alias("label"), "part",
+    )
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -284,8 +326,10 @@ def train(docs: DataFrame) -> Model | None:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = plants(docs).withColumn("c", F.explode(proposals(F.col("text")))).where("c.s = s AND c.e = e")
-    rows = rows.select("c.f", "c.k", "label", "part", array_to_vector("c.f").alias("features")).persist()
+    planted = plants(docs).persist()
+    rows = planted.withColumn("c", F.explode(proposals(F.col("text")))).where("c.s = s AND c.e = e")
+    label = F.when(F.col("c.kind") == F.col("kind"), F.col("label")).otherwise(0.0)
+    rows = rows.select("c.f", "c.k", label.alias("label"), "part", array_to_vector("c.f").alias("features")).persist()
     try:
         fitting = rows.where("part = 0")
         if fitting.select("label").distinct().count() < 2:
@@ -295,15 +339,17 @@ def train(docs: DataFrame) -> Model | None:
         grid = [x / 20 for x in range(10, 20)]
         held = rows.where("part = 1").withColumn("p", model.probability(F.col("f")))
         true, asked = (lambda t: F.sum(F.when(F.col("p") >= t, F.col("label")))), (lambda t: F.count_if(F.col("p") >= t))
-        sums = held.groupBy("k").agg(F.sum("label").alias("all"), *(x.alias(f"{n}{i}") for i, t in enumerate(grid) for n, x in (("true", true(t)), ("asked", asked(t)))))
+        sums = held.groupBy("k").agg(*(x.alias(f"{n}{i}") for i, t in enumerate(grid) for n, x in (("true", true(t)), ("asked", asked(t)))))
         by = {r["k"]: r for r in sums.collect()}  # a row a generator
+        due = {r["kind"]: r["n"] for r in planted.where("part = 1").groupBy("kind").agg(F.sum("label").alias("n")).collect()}
         share = lambda a, b: (a or 0) / b if b else 0.0
-        curves = [tuple((t, share(r[f"true{i}"], r[f"asked{i}"]), share(r[f"true{i}"], r["all"])) for i, t in enumerate(grid)) if r else () for r in (by.get(len(BASE) + k) for k in range(len(GENERATORS)))]
+        curves = [tuple((t, share(r[f"true{i}"], r[f"asked{i}"]), share(r[f"true{i}"], due.get(g.kind))) for i, t in enumerate(grid)) if r else () for g, r in ((g, by.get(len(BASE) + k)) for k, g in enumerate(GENERATORS))]
         model.curve = tuple(curves)
         model.thresholds = tuple(next((t for t, precision, _ in c if precision >= PRECISION), NEVER) for c in curves)
         return model
     finally:
         rows.unpersist()
+        planted.unpersist()
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -320,7 +366,7 @@ def added(base: Column, candidates: Column, model: Model | None) -> Column:
     good = F.filter(rated, lambda c: (c["p"] >= limit(c)) | (c["ok"] & (limit(c) == NEVER)))
     fixed = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), b["kind"].alias("kind"), F.lit(NEVER).alias("p"), F.lit(True).alias("ok")))
     size = lambda a: a["e"] - a["s"]
-    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((size(a) > size(b)) | ((size(a) == size(b)) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
+    better = lambda a, b: (size(a) > size(b)) | ((size(a) == size(b)) & ((a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))))
     best = lambda g: F.filter(g, lambda c: (c["k"] >= len(BASE)) & ~F.exists(g, lambda o: overlaps(o, c) & better(o, c)))
     kept = lambda g: F.flatten(F.transform(clusters(g), best))
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
