@@ -8,8 +8,11 @@ but for a chance of MISS at the threshold itself, so they share one of the rares
 Each key's group has a pivot, the member with the fewest coordinates of its own. Each class is
 first held against the greatest of its pivots, then against those of other components than its
 own, so that a family of copies costs about one link a member. Links unite components; then only
-classes of other components than the pivot's meet the rest of the group, each pair under the
+classes of other components than the largest of their group meet the rest of it, each pair under the
 least key it shares. For these, shingles that no other such class holds bound what a pair can share.
+That join runs in rounds over growing shares of the pairs, to all of them at last: links of one round
+unite components before the next, so that a family of many links gives a few of them a member, not their
+square. Pairs of components that stay apart are all held against each other.
 
 A class also carries the parities of its shingles by hash bucket. Two sets whose parities differ
 in d buckets differ in d shingles at least, which leaves out the many half-similar pairs of a
@@ -39,6 +42,8 @@ from gridspark.llm.common import BLANKS, U64, Words, chunks, components, cut, mi
 MISS = 1e-6
 #: 64-bit words of shingle parities a class carries.
 PARITY_WORDS = 8
+#: Classes of a group whose pairs are all tried at once, and how much the share of pairs grows from round to round.
+GROUP, GROWTH = 128, 32
 
 
 def least_matches(coordinates: int, percent: int) -> int:
@@ -130,6 +135,14 @@ def exploded(n: int):
     return run
 
 
+def first_share(largest: int) -> int:
+    """One in how many pairs to try, so that a class of the largest group has GROUP partners or fewer."""
+    out = 1
+    while largest > GROUP * out:
+        out *= GROWTH
+    return out
+
+
 def similar(n: int, percent: int):
     """Confirm pairs on the full sets of both texts, by other hashes than those that made them meet."""
 
@@ -194,25 +207,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     near = near.unionByName(linked(apart.select("a", "b")))
     comps = components(near)
 
-    placed = prefix.join(groups, "key").join(comps, prefix["vid"] == comps["id"], "left").select("key", "vid", "pivot", F.coalesce("comp", "vid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("vid") == F.col("pivot"), F.col("comp"))).alias("home"))
-    members = cut(placed.join(mixed.where("low <> high").select("key", "home"), "key").where("vid <> pivot").drop("pivot"))
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of groups (key, vid) of several components, with their component, the group's largest and its size."""
+        placed = cut(rows.join(comps, rows["vid"] == comps["id"], "left").select(*rows.columns, F.coalesce("comp", "vid").alias("comp")))
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+        several = parts.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("home"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
+        return placed.join(several.drop("comps"), "key")
+
+    # Pairs with the pivot are settled.
+    members = cut(mixed(prefix.join(groups, "key")).where("vid <> pivot").select("key", "vid"))
     texts = texts_of(members.select("vid").distinct())
     single = texts.mapInArrow(exploded(shingle), "vid binary, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).where("k = 1")
     own = single.groupBy("vid").agg(F.count("*").alias("own")).withColumnRenamed("vid", "of")
     able = sigs.join(own, sigs["vid"] == own["of"], "left").select(*sigs.columns, (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
-    # A pair that shares several keys meets under the least of them only.
+    # A pair that shares several keys meets under the least of them only; while its components differ, no round leaves any of them out.
     keys = members.groupBy("vid").agg(F.collect_list("key").alias("keys"))
-    members = cut(members.join(able.join(keys, "vid"), "vid"))
-    columns = ("comp", "most", "keys", *sigs.columns)
-    left = members.where("comp <> home").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = members.select("key", "home", *(F.col(c).alias(f"{c}_b") for c in columns))
+    able = cut(able.join(keys, "vid"))
+    members = cut(members.join(able.select("vid"), "vid"))
+    columns = ("comp", *able.columns)
     once = (F.col("comp_b") == F.col("home")) | (F.col("vid_a") < F.col("vid_b"))
     both = F.least("most_a", "most_b")
     possible = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & alike & (F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]))
-    more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"))), texts)
-    comps = components(near.unionByName(more)) if more.limit(1).count() else comps
+    share = None
+    while share != 1:
+        now = cut(mixed(members))
+        largest = now.agg(F.max("k")).first()[0]
+        if largest is None:
+            break
+        share = min(share // GROWTH if share else first_share(largest), first_share(largest))
+        slot = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.lit(share), "vid"), F.lit(share)).alias("slot")  # noqa: E731, B023
+        full = now.join(able, "vid")
+        left = full.where("comp <> home").select("key", slot(1), *(F.col(c).alias(f"{c}_a") for c in columns))
+        right = full.select("key", slot(2), "home", *(F.col(c).alias(f"{c}_b") for c in columns))
+        meet = (left["key"] == right["key"]) & (left["slot"] == right["slot"]) & (F.col("comp_a") != F.col("comp_b")) & once & in_size & possible & alike
+        across = left.join(right, meet & (F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]))
+        more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"))), texts)
+        if more.limit(1).count():
+            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     found = classes.join(comps, classes["vid"] == comps["id"], "left").select("vid", "least", F.coalesce("comp", "vid").alias("comp"))
     names = found.groupBy("comp").agg(F.min("least").alias("component_id"))

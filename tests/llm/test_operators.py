@@ -86,6 +86,31 @@ def test_words_of_a_pattern_stay_apart(spark):
     assert got == set(brute.near_duplicates(rows, 3, 85)) and {(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)} <= got
 
 
+def test_a_family_of_many_links_gives_few_pairs(spark, monkeypatch):
+    """Few hubs link with many copies that hardly link with each other: the pairs follow the rows, not their square."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows, made = [word() for _ in range(150)], [], []
+    for i in range(500):
+        w = list(base)
+        for at in rng.sample(range(150), 1 if i % 20 == 0 else 3):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    cut = near_dedup.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    for name, x in (("GROUP", 32), ("GROWTH", 8)):
+        monkeypatch.setattr(near_dedup, name, x, raising=False)
+    got = {tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == set(brute.near_duplicates(rows, 3, 85)) and max(made) <= 8 * len(rows)
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_dedup.deduplicated(docs, 3, 85)
     assert kept.columns == docs.columns
