@@ -204,8 +204,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     comps = components(near)
     of = lambda x: comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
     apart = pivots.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-    near = near.unionByName(linked(apart.select("a", "b")))
-    comps = components(near)
+    united = lambda more: components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    comps = united(linked(apart.select("a", "b")))
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows of groups (key, vid) of several components, with their component, the group's largest and its size."""
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         across = left.join(right, meet & (F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]))
         more = confirmed(cut(across.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"))), texts)
         if more.limit(1).count():
-            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+            comps = united(more)
 
     found = classes.join(comps, classes["vid"] == comps["id"], "left").select("vid", "least", F.coalesce("comp", "vid").alias("comp"))
     names = found.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from gridspark.llm import bpe, decontaminate, langid, license_scan, near_dedup, pii, quality, sharding, suffix_dedup, toxicity
+from gridspark.llm import bpe, common, decontaminate, langid, license_scan, near_dedup, pii, quality, sharding, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rk string"
 
@@ -111,6 +111,35 @@ def test_a_family_of_many_links_gives_few_pairs(spark, monkeypatch):
     assert got == set(brute.near_duplicates(rows, 3, 85)) and max(made) <= 8 * len(rows)
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    """Each step is a checkpoint of several stages, all of whose tasks the driver keeps."""
+    steps = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: steps.append(1) or cut(df))
+
+    def found(edges):
+        steps.clear()
+        got = {r.id: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        up = {x: x for e in edges for x in e if len(set(e)) > 1 or any(x in f and f[0] != f[1] for f in edges)}
+        for _ in up:
+            for a, b in edges:
+                if a != b:
+                    up[a] = up[b] = min(up[a], up[b])
+        return got, {x: y for x, y in up.items() if x != y}
+
+    for edges, most in (
+        ([(1, 1)], 1),
+        ([(k, 1) for k in range(2, 40)] + [(1, 2), (50, 49)], 1),
+        ([(k, k - 1) for k in range(2, 34)], 6),
+        ([(9, 1), (9, 2), (8, 2), (8, 3), (3, 3)], 4),
+    ):
+        got, expected = found(edges)
+        assert got == expected and len(steps) <= most
+    draw = random.Random(5)
+    for n in (20, 60, 100):
+        got, expected = found([(draw.randrange(80), draw.randrange(80)) for _ in range(n)])
+        assert got == expected
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_dedup.deduplicated(docs, 3, 85)
     assert kept.columns == docs.columns
