@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.functions import edit
+from gridspark.functions.grid import canonical
+from gridspark.operators import neighbours
 from test_kernels import distance
 
 
@@ -85,3 +88,19 @@ def test_limits_are_shared_within_groups(start):
     got = edit.nearest(iter([texts[:20], texts[20:]]), queries, 20, "#", group, own, known)
     assert got[own].tolist() == want[own].tolist()
     assert got.reshape(6, 3).min(axis=1).tolist() == want.reshape(6, 3).min(axis=1).tolist()
+
+
+def test_a_corpus_in_two_shares_and_blocks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    known = levels(rng, 90)
+    rows = list(enumerate([*known[:3], *(t.replace(" ", "#", 2) for t in known[3:8]), *levels(rng, 4), None, "#.\n#", "##\n#."]))
+    samples, corpus = spark.createDataFrame(rows, "sample_id long, text string"), spark.createDataFrame([(t,) for t in [*known, "#\n#."]], "text string")
+    run = lambda: sorted(map(tuple, neighbours.with_nearest(samples, corpus, 20, "plain", "sym").select("sample_id", "plain", "sym").collect()))
+    whole = run()
+    assert [r[1] for r in whole] == [None if t is None else min(min(distance(t, c) for c in [*known, "#\n#."]), 21) for _, t in rows]
+    images = samples.select("sample_id", F.explode(neighbours.orbit(F.col("text"))).alias("text"), canonical(F.col("text")).alias("form"))
+    each = neighbours.with_nearest(images, corpus, 20, "d", None).groupBy("sample_id").agg(F.min("d").alias("d")).collect()
+    assert {r[0]: r[2] for r in whole if r[2] is not None} == dict(map(tuple, each))
+    monkeypatch.setattr(neighbours, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 4000)
+    assert run() == whole
